@@ -96,7 +96,7 @@ def synthetic_rows(
     gap = F.col("draw") * GAP_FACTOR % GAP_STEPS / F.lit(float(GAP_STEPS))
     return draws.join(per_rank, [*features, "_rank"]).select(
         *(
-            F.round(F.col(f) + gap * (F.col(f"neighbour.{f}") - F.col(f)), 4).alias(f)
+            (F.col(f) + gap * (F.col(f"neighbour.{f}") - F.col(f))).alias(f)
             for f in features
         ),
         "draw",

@@ -15,6 +15,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from basketry.operators.sizing import small_side
 
 ACCURACY = 10_000
+# Half widths of a bracket, in units of the sketch's error. Large groups use the first; a group of
+# few rows needs a larger share of them to hold the two values around its target.
+MARGINS = (2, 10, 100, 1000)
 
 
 def _sketch(df: DataFrame, targets: Sequence[tuple[str, float]], by: list[str], accuracy: int) -> DataFrame:
@@ -22,10 +25,9 @@ def _sketch(df: DataFrame, targets: Sequence[tuple[str, float]], by: list[str],
 
     Ranks count from 0 among the values of the column, ``(n - 1) * p`` as in linear interpolation.
     """
-    margin = 2.0 / accuracy
     columns = list(dict.fromkeys(c for c, _ in targets))
     ends = {
-        c: [min(max(p + s * margin, 0.0), 1.0) for t, p in targets if t == c for s in (-1, 1)]
+        c: [min(max(p + s * m / accuracy, 0.0), 1.0) for t, p in targets if t == c for m in MARGINS for s in (-1, 1)]
         for c in columns
     }
     rows = df.select(*by, *(F.col(c).cast("double").alias(c) for c in columns))
@@ -33,14 +35,25 @@ def _sketch(df: DataFrame, targets: Sequence[tuple[str, float]], by: list[str],
         *(F.count(c).alias(f"_n_{c}") for c in columns),
         *(F.percentile_approx(c, ends[c], accuracy).alias(f"_ends_{c}") for c in columns),
     )
+
+    def bracket(c: str, start: int, everything: float) -> Column:
+        """The end at the narrowest margin that the group is large enough for."""
+        n, chosen = F.col(f"_n_{c}"), F.lit(everything)
+        for j, margin in reversed(list(enumerate(MARGINS))):
+            # one rank for the neighbour of the target and one for rounding, besides the error
+            enough = n * (margin - 1) >= 2 * accuracy
+            chosen = F.when(enough, F.col(f"_ends_{c}")[start + 2 * j]).otherwise(chosen)
+        return chosen
+
     parts, seen = [], dict.fromkeys(columns, 0)
     for i, (c, p) in enumerate(targets):
+        rank = F.lit(float(p)) * (F.col(f"_n_{c}") - 1)
         parts += [
-            F.col(f"_ends_{c}")[seen[c]].alias(f"_low_{i}"),
-            F.col(f"_ends_{c}")[seen[c] + 1].alias(f"_high_{i}"),
-            F.when(F.col(f"_n_{c}") > 0, F.lit(float(p)) * (F.col(f"_n_{c}") - 1)).alias(f"_rank_{i}"),
+            bracket(c, seen[c], float("-inf")).alias(f"_low_{i}"),
+            bracket(c, seen[c] + 1, float("inf")).alias(f"_high_{i}"),
+            F.when(F.col(f"_n_{c}") > 0, rank).alias(f"_rank_{i}"),
         ]
-        seen[c] += 2
+        seen[c] += 2 * len(MARGINS)
     return found.select(*by, *parts)
 
 
@@ -88,9 +101,10 @@ def exact_quantiles(
         low, high = at(i, F.floor("_rank")), at(i, F.ceil("_rank"))
         rank = F.max(F.when(F.col("_i") == i, F.col("_rank")))
         missed = rank.isNotNull() & (low.isNull() | high.isNull())
-        return F.when(missed, F.raise_error(F.lit("quantile bracket missed its rank"))).otherwise(
-            low + (high - low) * (rank - F.floor(rank))
-        )
+        share, gap = rank - F.floor(rank), high - low
+        # measured from the nearer neighbour, as array libraries do
+        value = F.when(share < 0.5, low + gap * share).otherwise(high - gap * (1 - share))
+        return F.when(missed, F.raise_error(F.lit("quantile bracket missed its rank"))).otherwise(value)
 
     return placed.groupBy(*by).agg(*(pick(i).cast("double").alias(name) for i, name in enumerate(targets)))
 

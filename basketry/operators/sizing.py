@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from basketry.session import cut_lineage
 
 MAX_BROADCAST_ROWS = 20_000
+ROWS_PER_TASK = 10_000
 
 
 def small_side(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
@@ -19,3 +20,11 @@ def small_side(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     if rows.num_rows <= max_rows:
         return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
     return cut_lineage(df)
+
+
+def for_iterations(df: DataFrame) -> DataFrame:
+    """Fewer partitions for a frame an iterative fit reads many times, if its rows are few.
+
+    Partitions are only merged, never below the parallelism that the number of rows can use.
+    """
+    return df.coalesce(max(1, -(-df.count() // ROWS_PER_TASK)))

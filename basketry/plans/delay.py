@@ -14,6 +14,7 @@ from basketry.functions import round_digits
 from basketry.operators.filters import available, drop_missing_features
 from basketry.operators.metrics import classification_report, confusion_matrix, roc_auc, roc_curve
 from basketry.operators.oversample import smote_oversample, train_test_split
+from basketry.operators.sizing import for_iterations
 from basketry.session import cut_lineage
 
 # Features the model takes if the frame has them.
@@ -73,7 +74,7 @@ def fit_gbt(
     classifier = GBTClassifier(
         maxIter=trees, stepSize=rate, maxDepth=depth, seed=seed, labelCol="label", featuresCol="features"
     )
-    vectors = feature_vectors(train, features).select("features", "label").persist()
+    vectors = for_iterations(feature_vectors(train, features).select("features", "label")).persist()
     try:
         return classifier.fit(vectors)
     finally:

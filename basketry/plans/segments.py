@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 from typing import Sequence
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, functions as F
@@ -14,6 +16,7 @@ from basketry.operators.aggregates import distinct_orders, group, latest_purchas
 from basketry.operators.filters import filter_iqr_in_turn
 from basketry.operators.quantiles import exact_quantiles
 from basketry.operators.scaling import nearest_centroid, standard_scale
+from basketry.operators.sizing import for_iterations
 from basketry.session import cut_lineage
 
 MEASURES = ("recency", "frequency", "monetary", "satisfaction")
@@ -59,15 +62,25 @@ class Segmentation:
 
 
 def fit_kmeans(
-    scaled: DataFrame, k: int = 4, seed: int = 42, restarts: int = 10, max_iter: int = 300, tol: float = 1e-4
+    scaled: DataFrame,
+    k: int = 4,
+    seed: int = 42,
+    restarts: int = 10,
+    max_iter: int = 300,
+    tol: float = 1e-4,
+    parallelism: int = 5,
 ) -> tuple[KMeansModel, list[float]]:
     """Best of several restarts by total squared distance."""
     assembler = VectorAssembler(inputCols=list(SCALED), outputCol="features")
-    vectors = assembler.transform(scaled).select("features").persist()
+    vectors = for_iterations(assembler.transform(scaled).select("features")).persist()
+
+    def fit(restart: int) -> KMeansModel:
+        return KMeans(k=k, seed=seed + restart, maxIter=max_iter, tol=tol).fit(vectors)
+
     try:
-        models = [
-            KMeans(k=k, seed=seed + i, maxIter=max_iter, tol=tol).fit(vectors) for i in range(restarts)
-        ]
+        # the jobs of a fit are short and wait on the driver, so several fits share the cluster
+        with ThreadPool(min(parallelism, restarts)) as pool:
+            models = pool.map(inheritable_thread_target(scaled.sparkSession)(fit), range(restarts))
     finally:
         vectors.unpersist()
     costs = [model.summary.trainingCost for model in models]
