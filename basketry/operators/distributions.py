@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from typing import Mapping
+from typing import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -11,27 +11,41 @@ from basketry.operators.aggregates import group
 from basketry.operators.filters import known
 from basketry.operators.quantiles import exact_quantiles
 from basketry.operators.sizing import small_side
+from basketry.session import cut_lineage
 
 
-def _extent(df: DataFrame, column: str) -> Column:
-    x = F.col(column).cast("double")
-    return df.agg(F.struct(F.min(x).alias("low"), F.max(x).alias("high"))).scalar()
+def collapsed(df: DataFrame, column: str) -> DataFrame:
+    """The different values of a column and how many rows have each."""
+    values = known(df.select(F.col(column).cast("double").alias("value")), "value")
+    return values.groupBy("value").agg(F.count(F.lit(1)).alias("weight"))
+
+
+def distribution(df: DataFrame, column: str, bins: int, points: int = 200) -> tuple[DataFrame, DataFrame]:
+    """Histogram and density curve of a column from one pass over its rows."""
+    weighted = cut_lineage(collapsed(df, column))
+    return weighted_histogram(weighted, bins), weighted_density(weighted, bins, points)
 
 
 def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
-    """Equal-width bins from minimum to maximum, the last one closed; empty bins are listed.
+    """Equal-width bins from minimum to maximum, the last one closed; empty bins are listed."""
+    return weighted_histogram(collapsed(df, column), bins)
 
-    A constant column gets the range of one unit around its value.
-    """
-    rows = known(df.select(F.col(column).cast("double").alias("_x")), "_x")
-    extent = _extent(df, column)
+
+def density(df: DataFrame, column: str, bins: int, points: int = 200) -> DataFrame:
+    """Gaussian kernel density on a grid from minimum to maximum, scaled to counts per bin."""
+    return weighted_density(collapsed(df, column), bins, points)
+
+
+def weighted_histogram(weighted: DataFrame, bins: int) -> DataFrame:
+    """A constant column gets the range of one unit around its value."""
+    extent = weighted.agg(F.struct(F.min("value").alias("low"), F.max("value").alias("high"))).scalar()
     flat = extent["low"] == extent["high"]
     low = F.when(flat, extent["low"] - 0.5).otherwise(extent["low"])
     high = F.when(flat, extent["high"] + 0.5).otherwise(extent["high"])
     # multiplied before it is divided: a rounded bin width would move values between bins
-    bin_of = F.least(F.floor((F.col("_x") - low) * bins / (high - low)), F.lit(bins - 1))
-    counted = rows.groupBy(bin_of.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("row_count"))
-    every = df.sparkSession.range(bins, numPartitions=1).select(F.col("id").cast("int").alias("bin"))
+    bin_of = F.least(F.floor((F.col("value") - low) * bins / (high - low)), F.lit(bins - 1))
+    counted = weighted.groupBy(bin_of.cast("int").alias("bin")).agg(F.sum("weight").alias("row_count"))
+    every = weighted.sparkSession.range(bins, numPartitions=1).select(F.col("id").cast("int").alias("bin"))
 
     def edge(i: Column) -> Column:
         return low + i * (high - low) / bins
@@ -45,81 +59,112 @@ def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
     )
 
 
-def density(df: DataFrame, column: str, bins: int, points: int = 200) -> DataFrame:
-    """Gaussian kernel density on a grid from minimum to maximum, scaled to counts per bin.
+def _shape(weighted: DataFrame) -> Column:
+    """Rows, extent and kernel width (Scott's rule) of a collapsed column.
 
-    Rows are collapsed to one per different value before they meet the grid, and the kernel sums
-    of a task are combined before the exchange.
+    Deviations are taken from the mean in a second pass: sums of squares would lose digits.
     """
-    values = known(df.select(F.col(column).cast("double").alias("_x")), "_x")
-    weighted = values.groupBy("_x").agg(F.count(F.lit(1)).alias("_w"))
-    stats = values.agg(
+    rows = weighted.agg(
         F.struct(
-            F.count("_x").alias("n"),
-            F.min("_x").alias("low"),
-            F.max("_x").alias("high"),
-            (F.stddev_samp("_x") * F.pow(F.count("_x").cast("double"), F.lit(-0.2))).alias("width"),
+            F.sum("weight").alias("n"),
+            F.min("value").alias("low"),
+            F.max("value").alias("high"),
+            (F.sum(F.col("value") * F.col("weight")) / F.sum("weight")).alias("mean"),
+        ).alias("s")
+    ).scalar()
+    gap = F.col("value") - rows["mean"]
+    variance = F.try_divide(F.sum(F.col("weight") * gap * gap), F.sum("weight") - 1)
+    scott = F.pow(F.sum("weight").cast("double"), F.lit(-0.2))
+    return weighted.agg(
+        F.struct(
+            F.min("value").alias("low"),
+            F.max("value").alias("high"),
+            (F.sqrt(variance) * scott).alias("width"),
         )
     ).scalar()
-    step = (stats["high"] - stats["low"]) / (points - 1)
-    spread = weighted.select(
-        "_x", "_w", stats.alias("_s"), F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point")
+
+
+def weighted_density(weighted: DataFrame, bins: int, points: int = 200) -> DataFrame:
+    """Every value adds its kernel to the grid; the sums of a task are combined before the exchange."""
+    s = _shape(weighted)
+
+    def at(point: Column) -> Column:
+        return s["low"] + point * (s["high"] - s["low"]) / (points - 1)
+
+    spread = weighted.where(s["width"] > 0).select(
+        "value", "weight", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point")
     )
-    s = F.col("_s")
-    at = s["low"] + F.col("point") * (s["high"] - s["low"]) / (points - 1)
-    z = (at - F.col("_x")) / s["width"]
-    kernel = F.sum(F.col("_w") * F.exp(-0.5 * z * z)).alias("_k")
-    sums = spread.where(s["width"] > 0).groupBy("point").agg(kernel)
+    z = (at(F.col("point")) - F.col("value")) / s["width"]
+    sums = spread.groupBy("point").agg(F.sum(F.col("weight") * F.exp(-0.5 * z * z)).alias("_k"))
     # count of rows times bin width, over n times the kernel's own norm
-    bin_width = (stats["high"] - stats["low"]) / bins
-    norm = stats["width"] * math.sqrt(2 * math.pi)
+    bin_width = (s["high"] - s["low"]) / bins
+    norm = s["width"] * math.sqrt(2 * math.pi)
     return sums.select(
-        "point",
-        (stats["low"] + F.col("point") * step).alias("position"),
-        (F.col("_k") * bin_width / norm).alias("density"),
+        "point", at(F.col("point")).alias("position"), (F.col("_k") * bin_width / norm).alias("density")
     )
 
 
-def _fences(df: DataFrame, value: str, by: str) -> DataFrame:
-    targets = {"q1": (value, 0.25), "median": (value, 0.5), "q3": (value, 0.75)}
-    quartiles = exact_quantiles(df, targets, [by])
-    reach = 1.5 * (F.col("q3") - F.col("q1"))
-    return small_side(
-        quartiles.withColumns({"_low": F.col("q1") - reach, "_high": F.col("q3") + reach})
+def _with_fences(df: DataFrame, values: Sequence[str], by: str, rows: int | None) -> DataFrame:
+    """Rows with the quartiles ``<value>_q1`` … ``_q3`` of their group and the ends of its fences."""
+    targets = {f"{v}_q{i}": (v, 0.25 * i) for v in values for i in (1, 2, 3)}
+    quartiles = small_side(exact_quantiles(df, targets, [by], rows=rows))
+    joined = known(df, by).join(quartiles, by, "left")
+    for v in values:
+        q1, q3 = F.col(f"{v}_q1"), F.col(f"{v}_q3")
+        reach = 1.5 * (q3 - q1)
+        joined = joined.withColumns({f"{v}_low": q1 - reach, f"{v}_high": q3 + reach})
+    return joined
+
+
+def _inside(value: str) -> Column:
+    return F.col(value).cast("double").between(F.col(f"{value}_low"), F.col(f"{value}_high"))
+
+
+def box_summaries(
+    df: DataFrame, values: Sequence[str], by: str, rows: int | None = None, **more: Column
+) -> DataFrame:
+    """Box statistics of several columns per group in one pass, and further aggregates beside them."""
+    parts: dict[str, Column] = {}
+    for v in values:
+        x, inside = F.col(v).cast("double"), _inside(v)
+        parts |= {f"{v}_q{i}": F.max(f"{v}_q{i}") for i in (1, 2, 3)}
+        parts |= {
+            f"{v}_whisker_low": F.least(F.min(F.when(inside, x)), F.max(f"{v}_q1")),
+            f"{v}_whisker_high": F.greatest(F.max(F.when(inside, x)), F.max(f"{v}_q3")),
+            f"{v}_outliers": F.count_if(~inside),
+            f"{v}_rows": F.count(v),
+        }
+    return group(_with_fences(df, values, by, rows), [by], **parts, **more)
+
+
+def one_box(summaries: DataFrame, value: str, by: str) -> DataFrame:
+    """The box statistics of one column, groups without a value left out."""
+    names = {
+        "q1": "q1",
+        "median": "q2",
+        "q3": "q3",
+        "whisker_low": "whisker_low",
+        "whisker_high": "whisker_high",
+        "outliers": "outliers",
+        "row_count": "rows",
+    }
+    return summaries.where(F.col(f"{value}_rows") > 0).select(
+        by, *(F.col(f"{value}_{part}").alias(name) for name, part in names.items())
     )
 
 
-def box_stats(df: DataFrame, value: str, by: str) -> DataFrame:
+def box_stats(df: DataFrame, value: str, by: str, rows: int | None = None) -> DataFrame:
     """Quartiles, whiskers and number of outliers per group.
 
     Whiskers end at the farthest values within 1.5 interquartile ranges of the box.
     """
-    x = F.col(value).cast("double")
-    inside = x.between(F.col("_low"), F.col("_high"))
-    return group(
-        known(df, value).join(_fences(df, value, by), by),
-        [by, "q1", "median", "q3"],
-        _min=F.min(F.when(inside, x)),
-        _max=F.max(F.when(inside, x)),
-        outliers=F.count_if(~inside),
-        row_count=F.count(F.lit(1)),
-    ).select(
-        by,
-        "q1",
-        "median",
-        "q3",
-        F.least("_min", "q1").alias("whisker_low"),
-        F.greatest("_max", "q3").alias("whisker_high"),
-        "outliers",
-        "row_count",
-    )
+    return one_box(box_summaries(df, [value], by, rows), value, by)
 
 
-def box_outliers(df: DataFrame, value: str, by: str) -> DataFrame:
+def box_outliers(df: DataFrame, value: str, by: str, rows: int | None = None) -> DataFrame:
     """The single values outside the whiskers of their group."""
-    x = F.col(value).cast("double")
-    joined = known(df, value).join(_fences(df, value, by), by)
-    return joined.where(~x.between(F.col("_low"), F.col("_high"))).select(by, x.alias(value))
+    fenced = _with_fences(df, [value], by, rows)
+    return fenced.where(~_inside(value)).select(by, F.col(value).cast("double").alias(value))
 
 
 def scatter(df: DataFrame, x: str, y: str, extra: Mapping[str, Column] | None = None) -> DataFrame:

@@ -24,6 +24,9 @@ from basketry.operators.sizing import small_side
 from basketry.session import cut_lineage
 
 LEVELS = 40
+MAX_CURVE_DIMENSIONS = 5
+CURVE_REACH = 2
+CELL_REACHES = 2
 # A grid cell with more points than this is split over several join keys.
 CELL_ROWS = 50_000
 
@@ -39,40 +42,44 @@ def _squared_distance(features: Sequence[str], a: str, b: str) -> Column:
     return reduce(lambda x, y: x + y, [g * g for g in gaps])
 
 
-def _curve(features: Sequence[str], lows: Sequence[float], side: float) -> Column:
-    """Bits of the scaled coordinates, interleaved: near positions are mostly near in space."""
-    bits = 52 // len(features)
-    top = (1 << bits) - 1
-    cells = [
-        F.least(F.greatest(F.floor((F.col(f) - low) / side * top), F.lit(0)), F.lit(top)).cast("bigint")
-        for f, low in zip(features, lows)
-    ]
-    spread = [
-        F.shiftleft(F.shiftright(cell, bit).bitwiseAND(F.lit(1).cast("bigint")), bit * len(features) + d)
-        for d, cell in enumerate(cells)
-        for bit in range(bits)
+def _curve(points: DataFrame, features: Sequence[str], sides: dict[str, tuple[float, float]]) -> DataFrame:
+    """Add ``_curve``: scaled coordinates with interleaved bits. Near positions are mostly near in space.
+
+    The binary digits of a coordinate, read as digits of base 2^d, have d − 1 zeros between them.
+    """
+    widest = sorted(features, key=lambda f: sides[f][0] - sides[f][1])[:MAX_CURVE_DIMENSIONS]
+    side = max(high - low for low, high in sides.values()) or 1.0
+    base = 2 ** len(widest)
+    top = (1 << 52 // len(widest)) - 1
+    cells = {
+        f"_g{d}": F.least(F.greatest(F.floor((F.col(f) - sides[f][0]) / side * top), F.lit(0)), F.lit(top))
+        for d, f in enumerate(widest)
+    }
+    terms = [
+        F.shiftleft(F.conv(F.bin(F.col(c).cast("bigint")), base, 10).cast("bigint"), d) for d, c in enumerate(cells)
     ]
-    return reduce(lambda x, y: x.bitwiseOR(y), spread)
+    placed = points.withColumns(cells)
+    return placed.withColumn("_curve", reduce(lambda x, y: x + y, terms).cast("double")).drop(*cells)
 
 
 def _with_bound(points: DataFrame, features: Sequence[str], k: int) -> DataFrame:
     """Add ``bound``: a squared distance within which each point has k other points or copies."""
     n = points.count()
     edges = points.approxQuantile(list(features), [0.01, 0.99], 0.002)
-    side = max(high - low for low, high in edges) or 1.0
-    placed = points.withColumn("_curve", _curve(features, [low for low, _ in edges], side).cast("double"))
+    placed = _curve(points, features, {f: tuple(e) for f, e in zip(features, edges)})
     buckets = max(1, min(BUCKETS, n // ROWS_PER_BUCKET))
     placed = with_bucket(placed, "_curve", cut_points(placed, "_curve", buckets) if buckets > 1 else [])
     along = Window.partitionBy("_bucket").orderBy("_curve", *features)
-    here = F.struct(*features)
+    here, reach = F.struct(*features), CURVE_REACH * k
 
     def gap(other: Column) -> Column:
         gaps = [F.col(f) - other[f] for f in features]
         return reduce(lambda x, y: x + y, [g * g for g in gaps])
 
-    steps = [move(here, i).over(along) for i in range(1, k + 1) for move in (F.lag, F.lead)]
-    near = placed.withColumn("_near", F.sort_array(F.array_compact(F.array(*(gap(s) for s in steps)))))
-    bound = F.when(F.col("copies") > k, F.lit(0.0)).otherwise(F.get("_near", F.lit(k - 1)))
+    # the point itself is among them, at distance 0
+    around = F.collect_list(here).over(along.rowsBetween(-reach, reach))
+    near = placed.withColumn("_around", around).withColumn("_near", F.sort_array(F.transform("_around", gap)))
+    bound = F.when(F.col("copies") > k, F.lit(0.0)).otherwise(F.get("_near", F.lit(k)))
     return near.select(*features, "copies", bound.alias("bound"))
 
 
@@ -101,10 +108,11 @@ def _split_crowded_cells(
 
 
 def nearest_neighbours(
-    df: DataFrame, features: Sequence[str], k: int = 5, queries: DataFrame | None = None
+    points: DataFrame, features: Sequence[str], k: int = 5, queries: DataFrame | None = None
 ) -> DataFrame:
     """The k nearest other rows of every different point, by Euclidean distance.
 
+    ``points`` is read several times, so hand in a checkpointed frame of ``distinct_points``.
     Output: the point, its number of ``copies``, and for every neighbour a row with the struct
     ``neighbour``, ``distance2`` and the ranks ``rank_from`` … ``rank_to`` that this neighbour and
     its copies fill, counted from 1. Equally distant points are ordered by their features. With
@@ -112,7 +120,7 @@ def nearest_neighbours(
     """
     features = list(features)
     # the bound is read by both sides of the join
-    points = cut_lineage(_with_bound(cut_lineage(distinct_points(df, features)), features, k))
+    points = cut_lineage(_with_bound(points, features, k))
     lows, side = _extent(points, features)
     asked = points if queries is None else points.join(queries.select(*features), features, "left_semi")
 
@@ -122,7 +130,7 @@ def nearest_neighbours(
     reach = F.sqrt(reach2) * (1 + 1e-9)
     # cells of level l have sides of side / 2^l and must be at least twice the reach wide
     level = F.when(reach <= 0, F.lit(LEVELS)).otherwise(
-        F.greatest(F.least(F.floor(F.log2(F.lit(side) / (2 * reach))), F.lit(LEVELS)), F.lit(0))
+        F.greatest(F.least(F.floor(F.log2(F.lit(side) / (CELL_REACHES * reach))), F.lit(LEVELS)), F.lit(0))
     )
     asked = asked.withColumns({"bound": reach2, "_reach": reach, "_level": level.cast("int")})
 
@@ -183,7 +191,7 @@ def nearest_neighbours(
 
 def neighbour_rows(df: DataFrame, features: Sequence[str], k: int = 5) -> DataFrame:
     """One row per row of the frame and rank 1 … k: the row, its neighbour and their distance."""
-    found = nearest_neighbours(df, features, k)
+    found = nearest_neighbours(cut_lineage(distinct_points(df, features)), features, k)
     return found.withColumn(
         "neighbour_rank", F.explode(F.sequence("rank_from", "rank_to"))
     ).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies")))).select(

@@ -33,13 +33,13 @@ def _scatter(features: Sequence[str]) -> Column:
     return F.pmod(total, F.lit(SCATTER_RANGE))
 
 
-def numbered_points(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """Different points with the row numbers ``first_row`` … ``first_row + copies - 1``.
+def numbered_points(points: DataFrame, features: Sequence[str]) -> DataFrame:
+    """Distinct points with the row numbers ``first_row`` … ``first_row + copies - 1``.
 
     Rows are numbered from 0 in the order of a scattered key and then of the features. The key
     spreads evenly, so the numbering runs in many tasks of similar size.
     """
-    points = distinct_points(df, features).withColumn("_key", _scatter(features))
+    points = points.withColumn("_key", _scatter(features))
     width = SCATTER_RANGE // NUMBERING_BUCKETS + 1
     points = points.withColumn("_bucket", F.floor(F.col("_key") / width).cast("int"))
     totals = points.groupBy("_bucket").agg(F.sum("copies").alias("_n"))
@@ -67,11 +67,13 @@ def synthetic_rows(
     """
     if minority_rows <= k:
         raise ValueError(f"{minority_rows} minority rows are too few for {k} neighbours")
-    points = numbered_points(minority, features)
+    points = cut_lineage(distinct_points(minority, features))
+    bases = numbered_points(points, features)
     if needed < minority_rows:
-        points = points.where(F.col("first_row") < needed)
-    bases = cut_lineage(points)
-    found = nearest_neighbours(minority, features, k, queries=bases)
+        # only rows that are drawn need neighbours
+        bases = bases.where(F.col("first_row") < needed)
+    bases = cut_lineage(bases)
+    found = nearest_neighbours(points, features, k, queries=bases)
 
     # a point serves the rows first_row … first_row + copies - 1, each drawn once per round
     rounds = -(-needed // minority_rows)

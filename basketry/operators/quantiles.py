@@ -18,6 +18,8 @@ ACCURACY = 10_000
 # Half widths of a bracket, in units of the sketch's error. Large groups use the first; a group of
 # few rows needs a larger share of them to hold the two values around its target.
 MARGINS = (2, 10, 100, 1000)
+# A frame known to have no more rows than this may be sorted as lists.
+SMALL_ROWS = 500_000
 
 
 def _sketch(df: DataFrame, targets: Sequence[tuple[str, float]], by: list[str], accuracy: int) -> DataFrame:
@@ -30,8 +32,8 @@ def _sketch(df: DataFrame, targets: Sequence[tuple[str, float]], by: list[str],
         c: [min(max(p + s * m / accuracy, 0.0), 1.0) for t, p in targets if t == c for m in MARGINS for s in (-1, 1)]
         for c in columns
     }
-    rows = df.select(*by, *(F.col(c).cast("double").alias(c) for c in columns))
-    found = rows.dropna(subset=by).groupBy(*by).agg(
+    values = df.select(*by, *(F.col(c).cast("double").alias(c) for c in columns))
+    found = known_keys(values, by).groupBy(*by).agg(
         *(F.count(c).alias(f"_n_{c}") for c in columns),
         *(F.percentile_approx(c, ends[c], accuracy).alias(f"_ends_{c}") for c in columns),
     )
@@ -57,23 +59,54 @@ def _sketch(df: DataFrame, targets: Sequence[tuple[str, float]], by: list[str],
     return found.select(*by, *parts)
 
 
+def _between(low: Column, high: Column, rank: Column) -> Column:
+    """Linear interpolation, measured from the nearer neighbour as array libraries do."""
+    share, gap = rank - F.floor(rank), high - low
+    return F.when(share < 0.5, low + gap * share).otherwise(high - gap * (1 - share))
+
+
+def _from_sorted_lists(df: DataFrame, targets: Mapping[str, tuple[str, float]], by: list[str]) -> DataFrame:
+    columns = list(dict.fromkeys(c for c, _ in targets.values()))
+    lists = known_keys(df, by).groupBy(*by).agg(
+        *(F.sort_array(F.collect_list(F.col(c).cast("double"))).alias(f"_v_{c}") for c in columns)
+    )
+
+    def pick(c: str, p: float) -> Column:
+        values = F.col(f"_v_{c}")
+        rank = F.lit(float(p)) * (F.size(values) - 1)
+        low, high = (F.get(values, f(rank).cast("int")) for f in (F.floor, F.ceil))
+        return F.when(F.size(values) > 0, _between(low, high, rank))
+
+    filled = F.greatest(*(F.size(f"_v_{c}") for c in columns), F.lit(0)) > 0
+    picked = lists.where(filled) if by else lists
+    return picked.select(*by, *(pick(c, p).alias(name) for name, (c, p) in targets.items()))
+
+
+def known_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return df.dropna(subset=list(keys)) if keys else df
+
+
 def exact_quantiles(
     df: DataFrame,
     targets: Mapping[str, tuple[str, float]],
     by: Sequence[str] = (),
     accuracy: int = ACCURACY,
+    rows: int | None = None,
 ) -> DataFrame:
     """One row per group with one column per target, ``{name: (column, probability)}``.
 
     Nulls do not take part, rows with a null key are dropped, and groups without any value have
-    no row. The sketch is computed when this is called, the rest is lazy.
+    no row. The sketch is computed when this is called, the rest is lazy. A caller that knows
+    the number of ``rows`` saves the sketch if they are few.
     """
     by, wanted = list(by), list(targets.values())
+    if rows is not None and rows <= SMALL_ROWS:
+        return _from_sorted_lists(df, targets, by)
     sketch = _sketch(df, wanted, by, accuracy)
     if by:
-        rows = df.join(small_side(sketch), by)
+        bracketed = df.join(small_side(sketch), by)
     else:
-        rows = df.withColumns({k: F.lit(v).cast("double") for k, v in sketch.first().asDict().items()})
+        bracketed = df.withColumns({k: F.lit(v).cast("double") for k, v in sketch.first().asDict().items()})
 
     def hit(i: int, column: str) -> Column:
         # below the bracket only the number of rows matters, so those rows share one null value
@@ -84,7 +117,7 @@ def exact_quantiles(
 
     hits = F.array_compact(F.array(*(hit(i, c) for i, (c, _) in enumerate(wanted))))
     counts = (
-        rows.select(*by, F.inline(hits))
+        bracketed.select(*by, F.inline(hits))
         .groupBy(*by, "_i", "_x")
         .agg(F.count(F.lit(1)).alias("_c"), F.max("_rank").alias("_rank"))
     )
@@ -101,17 +134,20 @@ def exact_quantiles(
         low, high = at(i, F.floor("_rank")), at(i, F.ceil("_rank"))
         rank = F.max(F.when(F.col("_i") == i, F.col("_rank")))
         missed = rank.isNotNull() & (low.isNull() | high.isNull())
-        share, gap = rank - F.floor(rank), high - low
-        # measured from the nearer neighbour, as array libraries do
-        value = F.when(share < 0.5, low + gap * share).otherwise(high - gap * (1 - share))
-        return F.when(missed, F.raise_error(F.lit("quantile bracket missed its rank"))).otherwise(value)
+        return F.when(missed, F.raise_error(F.lit("quantile bracket missed its rank"))).otherwise(
+            _between(low, high, rank)
+        )
 
     return placed.groupBy(*by).agg(*(pick(i).cast("double").alias(name) for i, name in enumerate(targets)))
 
 
 def quantile_values(
-    df: DataFrame, column: str, probabilities: Sequence[float], accuracy: int = ACCURACY
+    df: DataFrame,
+    column: str,
+    probabilities: Sequence[float],
+    accuracy: int = ACCURACY,
+    rows: int | None = None,
 ) -> list[float | None]:
     """Quantiles of a whole column as plain numbers, nulls when there is no value."""
     targets = {f"q{i}": (column, p) for i, p in enumerate(probabilities)}
-    return list(exact_quantiles(df, targets, accuracy=accuracy).first())
+    return list(exact_quantiles(df, targets, accuracy=accuracy, rows=rows).first())

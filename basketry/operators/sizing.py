@@ -8,6 +8,7 @@ from basketry.session import cut_lineage
 
 MAX_BROADCAST_ROWS = 20_000
 ROWS_PER_TASK = 10_000
+SMALL_TABLE_ROWS = 10_000_000
 
 
 def small_side(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
@@ -28,3 +29,14 @@ def for_iterations(df: DataFrame) -> DataFrame:
     Partitions are only merged, never below the parallelism that the number of rows can use.
     """
     return df.coalesce(max(1, -(-df.count() // ROWS_PER_TASK)))
+
+
+def spread_if_small(df: DataFrame) -> DataFrame:
+    """Give a small table a partition per core.
+
+    A small file is one row group, which a single task reads. A larger table is left as its files
+    are split. The count comes from the file footers.
+    """
+    if df.count() > SMALL_TABLE_ROWS:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)

@@ -14,6 +14,7 @@ from basketry.functions import (
 )
 from basketry.operators import aggregates as agg
 from basketry.operators.joins import region_lookup, with_region
+from basketry.operators.sizing import small_side
 from basketry.sources.schemas import STATES_OF_REGION
 
 
@@ -29,9 +30,8 @@ def state_sales(fact: DataFrame, regions: Column | DataFrame | None = None) -> D
     return with_region(states, region_lookup(STATES_OF_REGION) if regions is None else regions)
 
 
-def state_sales_table(fact: DataFrame, regions: Column | DataFrame | None = None) -> DataFrame:
-    """Sales per state, largest first, with the texts of the printed table."""
-    table = state_sales(fact, regions).withColumns(
+def _table(states: DataFrame) -> DataFrame:
+    table = states.withColumns(
         {
             "total_price_text": format_currency("total_price"),
             "mean_freight_text": format_currency("mean_freight"),
@@ -41,9 +41,27 @@ def state_sales_table(fact: DataFrame, regions: Column | DataFrame | None = None
     return agg.sort_desc(table, "total_price", "customer_state")
 
 
+def _heatmap(states: DataFrame) -> DataFrame:
+    return agg.sort_desc(states.select("customer_state", "region", "total_price"), "total_price", "customer_state")
+
+
+def _months(fact: DataFrame) -> DataFrame:
+    return agg.group(
+        fact,
+        ["order_month"],
+        order_count=agg.distinct_orders(),
+        total_price=money_sum("price"),
+        mean_delivery_time=exact_mean("delivery_time", 0),
+    )
+
+
+def state_sales_table(fact: DataFrame, regions: Column | DataFrame | None = None) -> DataFrame:
+    """Sales per state, largest first, with the texts of the printed table."""
+    return _table(state_sales(fact, regions))
+
+
 def sales_heatmap(fact: DataFrame, regions: Column | DataFrame | None = None) -> DataFrame:
-    sales = state_sales(fact, regions).select("customer_state", "region", "total_price")
-    return agg.sort_desc(sales, "total_price", "customer_state")
+    return _heatmap(state_sales(fact, regions))
 
 
 def top_states_sales(fact: DataFrame, regions: Column | DataFrame | None = None, k: int = 10) -> DataFrame:
@@ -51,10 +69,11 @@ def top_states_sales(fact: DataFrame, regions: Column | DataFrame | None = None,
 
 
 def monthly_sales(fact: DataFrame) -> DataFrame:
-    months = agg.group(
-        fact, ["order_month"], order_count=agg.distinct_orders(), total_price=money_sum("price")
-    )
-    return months.orderBy("order_month")
+    return _months(fact).select("order_month", "order_count", "total_price").orderBy("order_month")
+
+
+def monthly_delivery_time(fact: DataFrame) -> DataFrame:
+    return _months(fact).select("order_month", "mean_delivery_time").orderBy("order_month")
 
 
 def top_categories(fact: DataFrame, k: int = 10) -> DataFrame:
@@ -67,11 +86,6 @@ def top_categories(fact: DataFrame, k: int = 10) -> DataFrame:
     return agg.top_k(totals, "total_price", "product_category_name", k)
 
 
-def monthly_delivery_time(fact: DataFrame) -> DataFrame:
-    months = agg.group(fact, ["order_month"], mean_delivery_time=exact_mean("delivery_time", 0))
-    return months.orderBy("order_month")
-
-
 def top_sellers(fact: DataFrame, k: int = 10) -> DataFrame:
     totals = agg.group(
         fact,
@@ -82,3 +96,17 @@ def top_sellers(fact: DataFrame, k: int = 10) -> DataFrame:
     )
     best = agg.top_k(totals, "total_price", "seller_id", k)
     return best.withColumn("seller_label", abbreviate_id("seller_id"))
+
+
+def dashboard_reports(fact: DataFrame, regions: Column | DataFrame | None = None, k: int = 10) -> dict[str, DataFrame]:
+    """All result sets of the dashboard; those per state and per month share one pass each."""
+    states, months = small_side(state_sales(fact, regions)), small_side(_months(fact))
+    return {
+        "state_sales_table": _table(states),
+        "sales_heatmap": _heatmap(states),
+        "top_states_sales": agg.top_k(states, "total_price", "customer_state", k),
+        "monthly_sales": months.select("order_month", "order_count", "total_price").orderBy("order_month"),
+        "monthly_delivery_time": months.select("order_month", "mean_delivery_time").orderBy("order_month"),
+        "top_categories": top_categories(fact, k),
+        "top_sellers": top_sellers(fact, k),
+    }

@@ -53,9 +53,10 @@ def scaled_rfm(rfm: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Segmentation:
-    """Fitted centroids in scaled units, ordered by spend, and the labelled customers."""
+    """The labelled customers, and fitted centroids in scaled units ordered by spend."""
 
     customers: DataFrame
+    rows: int
     centroids: list[list[float]]
     cost: float
     restart_costs: list[float]
@@ -91,17 +92,21 @@ def customer_segments(
     rfm: DataFrame, k: int = 4, seed: int = 42, restarts: int = 10, measures: Sequence[str] = MEASURES
 ) -> Segmentation:
     """Outlier removal, scaling and clustering; cluster 0 is the one that spends least."""
-    scaled = scaled_rfm(rfm_without_outliers(rfm, measures))
+    kept = rfm_without_outliers(rfm, measures)
+    rows = kept.count()
+    scaled = scaled_rfm(kept)
     model, costs = fit_kmeans(scaled, k, seed, restarts)
     spend = MEASURES.index("monetary")
     centroids = sorted((list(map(float, c)) for c in model.clusterCenters()), key=lambda c: c[spend])
     labelled = nearest_centroid(scaled, SCALED, centroids)
-    return Segmentation(labelled, centroids, min(costs), costs)
+    return Segmentation(labelled, rows, centroids, min(costs), costs)
 
 
-def cluster_summary(segments: DataFrame) -> DataFrame:
+def cluster_summary(segments: DataFrame, rows: int | None = None) -> DataFrame:
     """Mean and median of every measure, and the size, per cluster."""
-    medians = exact_quantiles(segments, {f"{m}_median": (m, 0.5) for m in MEASURES}, ["cluster"])
+    medians = exact_quantiles(
+        segments, {f"{m}_median": (m, 0.5) for m in MEASURES}, ["cluster"], rows=rows
+    )
     means = group(
         segments,
         ["cluster"],
@@ -132,6 +137,15 @@ def cluster_frequencies(segments: DataFrame) -> DataFrame:
     return value_counts(segments, ["cluster"], "frequency")
 
 
+def segment_reports(found: Segmentation) -> dict[str, DataFrame]:
+    return {
+        "cluster_summary": cluster_summary(found.customers, found.rows),
+        "cluster_profile": cluster_profile(found.customers),
+        "cluster_frequencies": cluster_frequencies(found.customers),
+        "segment_points": segment_points(found.customers),
+    }
+
+
 def segment_points(segments: DataFrame) -> DataFrame:
     """Recency against spend, coloured by cluster."""
     return segments.select(F.col("recency").alias("x"), F.col("monetary").alias("y"), "cluster")

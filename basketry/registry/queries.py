@@ -86,7 +86,7 @@ def fixture(spark: SparkSession, sf_dir: str) -> Fixture:
     return _FIXTURES[key]
 
 
-def _distribution(histogram: DataFrame, density: DataFrame) -> DataFrame:
+def two_parts(histogram: DataFrame, density: DataFrame) -> DataFrame:
     """Histogram bars and density points of one column in one table."""
     bars = histogram.select(
         F.lit("bar").alias("part"),
@@ -356,11 +356,11 @@ def delay_report(fx: Fixture) -> DataFrame:
 
 
 def segment_summary(fx: Fixture) -> DataFrame:
-    customers = cut_lineage(fx.segmentation.customers)
+    customers = fx.segmentation.customers
     profile = segments.cluster_frequencies(customers).groupBy("cluster").agg(
         F.max_by("frequency", "row_count").alias("commonest_frequency")
     )
-    return segments.cluster_summary(customers).join(profile, "cluster")
+    return segments.cluster_summary(customers, fx.segmentation.rows).join(profile, "cluster")
 
 
 DELIVERED_BOUGHT = ("order_delivered_customer_date", "order_purchase_timestamp")
@@ -461,16 +461,16 @@ QUERIES: dict[str, Callable[[Fixture], DataFrame]] = {
     # reports
     "prepared_fact": lambda fx: fx.fact,
     "monthly_orders": lambda fx: exploration.monthly_orders(fx.fact),
-    "delivery_time_distribution": lambda fx: _distribution(exploration.delivery_time_histogram(fx.fact), exploration.delivery_time_density(fx.fact)),
+    "delivery_time_distribution": lambda fx: two_parts(*exploration.delivery_time_distribution(fx.fact)),
     "freight_by_state_pair": lambda fx: exploration.freight_by_state_pair(fx.fact),
     "freight_same_state_box": lambda fx: exploration.freight_same_state_box(fx.fact),
     "freight_vs_price_points": lambda fx: exploration.freight_vs_price_points(fx.fact),
     "top_categories_revenue": lambda fx: exploration.top_categories_revenue(fx.fact),
     "top_states_avg_order_value": lambda fx: exploration.top_states_avg_order_value(fx.fact),
     "customer_retention": lambda fx: retention.customer_retention(fx.fact),
-    "orders_per_customer_distribution": lambda fx: _distribution(retention.orders_per_customer_histogram(fx.fact), retention.orders_per_customer_density(fx.fact)),
+    "orders_per_customer_distribution": lambda fx: two_parts(*retention.orders_per_customer_distribution(fx.fact)),
     "days_first_to_last_order": lambda fx: retention.days_first_to_last_order(fx.fact),
-    "days_first_to_last_distribution": lambda fx: _distribution(retention.days_between_histogram(fx.fact), retention.days_between_density(fx.fact)),
+    "days_first_to_last_distribution": lambda fx: two_parts(*retention.days_between_distribution(fx.fact)),
     "state_sales_table": lambda fx: dashboard.state_sales_table(fx.fact, fx.regions),
     "sales_heatmap": lambda fx: dashboard.sales_heatmap(fx.fact, fx.regions),
     "monthly_sales": lambda fx: dashboard.monthly_sales(fx.fact),
@@ -485,7 +485,7 @@ QUERIES: dict[str, Callable[[Fixture], DataFrame]] = {
     "satisfaction_vs_delivery_box": lambda fx: satisfaction.satisfaction_vs_delivery_box(fx.fact),
     "satisfaction_vs_price_box": lambda fx: satisfaction.satisfaction_vs_price_box(fx.fact),
     "satisfaction_stats": lambda fx: satisfaction.satisfaction_stats(fx.fact),
-    "score_distribution": lambda fx: exploration.score_distribution(fx.fact),
+    "score_distribution": lambda fx: satisfaction.score_distribution(fx.fact),
     "delivery_delay_model": delay_report,
 }
 # fmt: on

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from basketry.functions import add_seconds
 from basketry.operators.joins import SalesTables
+from basketry.operators.sizing import spread_if_small
 
 
 def _days(n: int) -> Column:
@@ -34,7 +35,7 @@ def sales_tables(spark: SparkSession, sf_dir: str) -> SalesTables:
         (c("o_orderdate") + _days(3)).alias("order_delivered_carrier_date"),
         (c("o_orderdate") + _days(30)).alias("order_estimated_delivery_date"),
     )
-    items = read(spark, sf_dir, "lineitem").select(
+    items = spread_if_small(read(spark, sf_dir, "lineitem")).select(
         c("l_orderkey").alias("order_id"),
         c("l_linenumber").alias("order_item_id"),
         c("l_partkey").alias("product_id"),
