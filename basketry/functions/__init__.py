@@ -1,4 +1,5 @@
 from basketry.functions.numbers import (
+    all_known,
     exact_mean,
     exact_sum,
     money_mean,
@@ -18,6 +19,7 @@ from basketry.functions.times import (
 )
 
 __all__ = [
+    "all_known",
     "abbreviate_id",
     "add_seconds",
     "day_of_week",

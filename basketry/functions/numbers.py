@@ -37,3 +37,11 @@ def ratio(part: Column | str, whole: Column | str) -> Column:
 def round_digits(c: Column | str, digits: int = 6) -> Column:
     """Round half to even, the rule of numeric array libraries."""
     return F.bround(_col(c), digits)
+
+
+def all_known(*columns: str) -> Column:
+    """None of the columns is null. Unlike a row-wise count of nulls, this reaches the scan."""
+    known = F.lit(True)
+    for i, c in enumerate(columns):
+        known = F.col(c).isNotNull() if i == 0 else known & F.col(c).isNotNull()
+    return known

@@ -6,11 +6,12 @@ from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from basketry.functions import all_known
 from basketry.operators.quantiles import quantile_values
 
 
 def drop_missing_dates(df: DataFrame) -> DataFrame:
-    return df.dropna(subset=["order_purchase_timestamp", "order_delivered_customer_date"])
+    return known(df, "order_purchase_timestamp", "order_delivered_customer_date")
 
 
 def price_positive(df: DataFrame) -> DataFrame:
@@ -28,12 +29,12 @@ def available(df: DataFrame, wanted: Sequence[str]) -> list[str]:
 
 def drop_missing_features(df: DataFrame, wanted: Sequence[str]) -> DataFrame:
     present = available(df, wanted)
-    return df.dropna(subset=present) if present else df
+    return known(df, *present)
 
 
 def known(df: DataFrame, *keys: str) -> DataFrame:
     """Drop rows with a null key, which grouping would otherwise keep as a group of its own."""
-    return df.dropna(subset=list(keys))
+    return df.where(all_known(*keys)) if keys else df
 
 
 def _one_median(df: DataFrame, column: str) -> DataFrame:

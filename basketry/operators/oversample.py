@@ -14,6 +14,7 @@ NEIGHBOUR_FACTOR, GAP_FACTOR, GAP_STEPS = 7919, 104729, 1000
 SCATTER_FACTORS = (7919, 104729, 1299709)
 SCATTER_RANGE = 1_000_003
 NUMBERING_BUCKETS = 1024
+COPIES_PER_CHUNK = 10_000
 
 
 def append_rows(df: DataFrame, extra: DataFrame) -> DataFrame:
@@ -24,7 +25,7 @@ def append_rows(df: DataFrame, extra: DataFrame) -> DataFrame:
 def _scatter(features: Sequence[str]) -> Column:
     """A number in a fixed range that neighbouring points do not share, from whole 1/10000ths."""
     terms = [
-        F.floor(F.col(f) * 10000 + 0.5) * SCATTER_FACTORS[i % len(SCATTER_FACTORS)]
+        F.pmod(F.floor(F.col(f) * 10000 + 0.5), F.lit(SCATTER_RANGE)) * SCATTER_FACTORS[i % len(SCATTER_FACTORS)]
         for i, f in enumerate(features)
     ]
     total = terms[0]
@@ -75,33 +76,38 @@ def synthetic_rows(
     bases = cut_lineage(bases)
     found = nearest_neighbours(points, features, k, queries=bases)
 
-    # a point serves the rows first_row … first_row + copies - 1, each drawn once per round
-    rounds = -(-needed // minority_rows)
-    # copies and rounds are unfolded in two steps, neither of which builds one list per crowd
-    chunk = 10_000
-    draws = (
-        bases.withColumn(
-            "_from",
-            F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("copies") - 1, F.lit(chunk).cast("bigint"))),
-        )
-        .withColumn("_to", F.least(F.col("_from") + chunk, F.col("copies")) - 1)
-        .withColumn("_salt", F.pmod(F.col("_from") / chunk, F.lit(64)).cast("int"))
-        .withColumn("_copy", F.explode(F.sequence("_from", "_to")))
-        .withColumn("_round", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(rounds - 1).cast("bigint"))))
-        .withColumn("draw", F.col("first_row") + F.col("_copy") + F.col("_round") * minority_rows)
-        .where(F.col("draw") < needed)
-        .withColumn("_rank", (F.col("draw") * NEIGHBOUR_FACTOR % k + 1).cast("int"))
+    # a point has at most k neighbours, and meets them before its draws are unfolded
+    listed = found.groupBy(*features).agg(
+        F.collect_list(F.struct("rank_from", "rank_to", "neighbour")).alias("_near")
     )
-    per_rank = found.withColumn("_rank", F.explode(F.sequence("rank_from", "rank_to"))).select(
-        *features, "_rank", "neighbour"
+    rounds = -(-needed // minority_rows)
+    crowd = bases.agg(F.max("copies")).first()[0]
+    draws = _unfolded(bases.join(listed, list(features)), features, rounds, crowd).withColumn(
+        "draw", F.col("first_row") + F.col("_copy") + F.col("_round") * minority_rows
     )
+    rank = F.col("draw") * NEIGHBOUR_FACTOR % k + 1
+    chosen = F.filter("_near", lambda x: rank.between(x["rank_from"], x["rank_to"]))[0]["neighbour"]
     gap = F.col("draw") * GAP_FACTOR % GAP_STEPS / F.lit(float(GAP_STEPS))
-    return draws.join(per_rank, [*features, "_rank"]).select(
-        *(
-            (F.col(f) + gap * (F.col(f"neighbour.{f}") - F.col(f))).alias(f)
-            for f in features
-        ),
-        "draw",
+    return (
+        draws.where(F.col("draw") < needed)
+        .withColumn("_other", chosen)
+        .select(*((F.col(f) + gap * (F.col("_other")[f] - F.col(f))).alias(f) for f in features), "draw")
+    )
+
+
+def _unfolded(points: DataFrame, features: Sequence[str], rounds: int, crowd: int) -> DataFrame:
+    """A row per point, copy ``_copy`` and round ``_round``.
+
+    The copies of a point are cut into chunks first. Where a point has several chunks, they are
+    dealt to different tasks, so that no task unfolds a whole crowd.
+    """
+    start, step = F.lit(0).cast("bigint"), F.lit(COPIES_PER_CHUNK).cast("bigint")
+    chunks = points.withColumn("_from", F.explode(F.sequence(start, F.col("copies") - 1, step)))
+    if crowd > COPIES_PER_CHUNK:
+        chunks = chunks.repartition("_from", *features)
+    last = F.least(F.col("_from") + COPIES_PER_CHUNK, F.col("copies")) - 1
+    return chunks.withColumn("_copy", F.explode(F.sequence(F.col("_from"), last))).withColumn(
+        "_round", F.explode(F.sequence(start, F.lit(rounds - 1).cast("bigint")))
     )
 
 

@@ -12,6 +12,7 @@ from typing import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from basketry.functions import all_known
 from basketry.operators.sizing import small_side
 
 ACCURACY = 10_000
@@ -83,7 +84,7 @@ def _from_sorted_lists(df: DataFrame, targets: Mapping[str, tuple[str, float]],
 
 
 def known_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return df.dropna(subset=list(keys)) if keys else df
+    return df.where(all_known(*keys)) if keys else df
 
 
 def exact_quantiles(

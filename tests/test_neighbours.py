@@ -93,7 +93,9 @@ def test_too_few_minority_rows(spark):
         oversample.smote_oversample(spark.createDataFrame(data), NAMES, "y")
 
 
-def test_copies_of_a_hot_point_are_drawn_one_by_one(spark):
+@pytest.mark.parametrize("chunk", [10_000, 7])
+def test_copies_of_a_hot_point_are_drawn_one_by_one(spark, monkeypatch, chunk):
+    monkeypatch.setattr(oversample, "COPIES_PER_CHUNK", chunk)
     rows = [(1.0, 2.0, 3.0, 1)] * 40 + [(float(i), 0.0, 0.0, 1) for i in range(10)] + [(0.0, float(i), 5.0, 0) for i in range(180)]
     result = oversample.smote_oversample(spark.createDataFrame(rows, "a double, b double, c double, y int"), NAMES, "y")
     assert result.where("y = 1").count() == 180
