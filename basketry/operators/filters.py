@@ -15,11 +15,11 @@ def drop_missing_dates(df: DataFrame) -> DataFrame:
 
 
 def price_positive(df: DataFrame) -> DataFrame:
-    return df.where(F.col("price") > 0)
+    return df.where((F.col("price") > 0) & ~F.isnan("price"))
 
 
 def freight_not_negative(df: DataFrame) -> DataFrame:
-    return df.where(F.col("freight_value") >= 0)
+    return df.where((F.col("freight_value") >= 0) & ~F.isnan("freight_value"))
 
 
 def available(df: DataFrame, wanted: Sequence[str]) -> list[str]:

@@ -21,6 +21,9 @@ ACCURACY = 10_000
 MARGINS = (2, 10, 100, 1000)
 # A frame known to have no more rows than this may be sorted as lists.
 SMALL_ROWS = 500_000
+# Brackets expected to hold more rows than this are narrowed, each time to about 4 / GRID of them.
+BRACKET_ROWS = 20_000_000
+GRID = 200
 
 
 def _sketch(df: DataFrame, targets: Sequence[tuple[str, float]], by: list[str], accuracy: int) -> DataFrame:
@@ -57,7 +60,43 @@ def _sketch(df: DataFrame, targets: Sequence[tuple[str, float]], by: list[str],
             F.when(F.col(f"_n_{c}") > 0, rank).alias(f"_rank_{i}"),
         ]
         seen[c] += 2 * len(MARGINS)
-    return found.select(*by, *parts)
+    most = F.greatest(*(F.col(f"_n_{c}") for c in columns), F.lit(0).cast("bigint"))
+    return found.select(*by, most.alias("_n"), *parts)
+
+
+def _with_brackets(df: DataFrame, brackets: DataFrame, by: list[str]) -> DataFrame:
+    if by:
+        return df.join(brackets, by)
+    return df.withColumns({k: F.lit(v).cast(brackets.schema[k].dataType) for k, v in brackets.first().asDict().items()})
+
+
+def _narrowed(bracketed: DataFrame, targets: Sequence[tuple[str, float]], by: list[str], accuracy: int) -> DataFrame:
+    """Brackets cut down by a second sketch, of the values inside them only."""
+    aggregates = [F.max("_n").alias("_n")]
+    for i, (c, _) in enumerate(targets):
+        x, low, high = F.col(c).cast("double"), F.col(f"_low_{i}"), F.col(f"_high_{i}")
+        inside = x.between(low, high)
+        steps = [j / GRID for j in range(GRID + 1)]
+        aggregates += [
+            *(F.max(f"_{part}_{i}").alias(f"_{part}_{i}") for part in ("low", "high", "rank")),
+            F.count_if(x < low).alias(f"_below_{i}"),
+            F.count_if(inside).alias(f"_m_{i}"),
+            F.percentile_approx(F.when(inside, x), steps, accuracy).alias(f"_grid_{i}"),
+        ]
+    found = bracketed.groupBy(*by).agg(*aggregates)
+    parts = []
+    for i in range(len(targets)):
+        m, grid = F.col(f"_m_{i}"), F.col(f"_grid_{i}")
+        place = F.try_divide(F.col(f"_rank_{i}") - F.col(f"_below_{i}"), m)
+        margin = 2.0 / accuracy + F.try_divide(F.lit(2.0), m)
+        first = F.greatest(F.floor((place - margin) * GRID), F.lit(0)).cast("int")
+        last = F.least(F.ceil((place + margin) * GRID), F.lit(GRID)).cast("int")
+        parts += [
+            F.coalesce(F.when(first > 0, F.get(grid, first)), f"_low_{i}").alias(f"_low_{i}"),
+            F.coalesce(F.when(last < GRID, F.get(grid, last)), f"_high_{i}").alias(f"_high_{i}"),
+            F.col(f"_rank_{i}"),
+        ]
+    return found.select(*by, "_n", *parts)
 
 
 def _between(low: Column, high: Column, rank: Column) -> Column:
@@ -103,11 +142,13 @@ def exact_quantiles(
     by, wanted = list(by), list(targets.values())
     if rows is not None and rows <= SMALL_ROWS:
         return _from_sorted_lists(df, targets, by)
-    sketch = _sketch(df, wanted, by, accuracy)
-    if by:
-        bracketed = df.join(small_side(sketch), by)
-    else:
-        bracketed = df.withColumns({k: F.lit(v).cast("double") for k, v in sketch.first().asDict().items()})
+    brackets = small_side(_sketch(df, wanted, by, accuracy))
+    bracketed = _with_brackets(df, brackets, by)
+    share = 4.0 / accuracy
+    while not brackets.where(F.col("_n") * share > BRACKET_ROWS).isEmpty():
+        brackets = small_side(_narrowed(bracketed, wanted, by, accuracy))
+        bracketed = _with_brackets(df, brackets, by)
+        share *= 4.0 / GRID
 
     def hit(i: int, column: str) -> Column:
         # below the bracket only the number of rows matters, so those rows share one null value

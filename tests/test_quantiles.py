@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from basketry.operators import distributions as dist
-from basketry.operators import filters
+from basketry.operators import filters, quantiles
 from basketry.operators.quantiles import exact_quantiles, quantile_values
 
 
@@ -19,8 +19,9 @@ def test_known_answer(spark):
     assert quantile_values(column(spark, [None]), "x", [0.5]) == [None]
 
 
-@pytest.mark.parametrize("accuracy", [50, 200, 10_000])
-def test_groups_of_all_sizes_against_numpy(spark, accuracy):
+@pytest.mark.parametrize("accuracy, bracket_rows", [(50, 10**9), (200, 10**9), (10_000, 10**9), (50, 20), (200, 1)])
+def test_groups_of_all_sizes_against_numpy(spark, monkeypatch, accuracy, bracket_rows):
+    monkeypatch.setattr(quantiles, "BRACKET_ROWS", bracket_rows)
     rng = random.Random(5)
     sizes = {"one": 1, "two": 2, "few": 17, "some": 300, "many": 4000, "third": 9000}
     rows = []
@@ -41,6 +42,20 @@ def test_groups_of_all_sizes_against_numpy(spark, accuracy):
         assert found[group]["k"] == np.median(k)
 
 
+@pytest.mark.parametrize("rows", [None, 5])
+def test_groups_without_values_have_no_row(spark, rows):
+    df = spark.createDataFrame([("a", 1.0, None), ("a", 3.0, 5.0), ("b", None, None), ("c", None, 2.0)], "g string, x double, y double")
+    found = exact_quantiles(df, {"x": ("x", 0.5), "y": ("y", 0.5)}, ["g"], rows=rows)
+    assert {tuple(r) for r in found.collect()} == {("a", 2.0, 5.0), ("c", None, 2.0)}
+
+
+def test_narrowing_of_a_whole_column(spark, monkeypatch):
+    monkeypatch.setattr(quantiles, "BRACKET_ROWS", 10)
+    values = [random.Random(i).lognormvariate(0, 3) for i in range(5000)] + [2.5] * 2500
+    got = quantile_values(column(spark, values).repartition(7), "x", [0.05, 0.5, 0.95], accuracy=100)
+    assert got == list(np.quantile(values, [0.05, 0.5, 0.95]))
+
+
 def test_no_row_exchange_in_the_plan(spark):
     df = spark.range(1000).select((F.col("id") % 3).alias("g"), F.col("id").cast("double").alias("x"))
     plan = exact_quantiles(df, {"m": ("x", 0.5)}, ["g"])._jdf.queryExecution().executedPlan().toString()
