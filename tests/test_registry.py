@@ -70,3 +70,22 @@ def test_plans_hold_no_python(spark):
     for name in ("prepared_fact", "rfm_scores", "roc_curve", "satisfaction_stats", "smote_oversample"):
         plan = QUERIES[name](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "Pandas" not in plan, name
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_agreed_numbers(spark):
+    """Numbers two engines agreed on before this library was written."""
+    sf = "/root/testdata/sf0.01"
+    fact = QUERIES["prepared_fact"](spark, sf)
+    row = fact.selectExpr(
+        "count(*)", "count(DISTINCT order_id)", "count(DISTINCT customer_unique_id)", "sum(is_late)",
+        "sum(review_score)", "sum(day_of_week_int)", "min(delivery_time)", "max(delivery_time)", "sum(delivery_time)",
+    ).first()
+    assert tuple(row) == (40110, 9743, 1497, 20094, 113949.0, 161400, -2384, 2478, 1367769)
+    assert QUERIES["rfm_without_outliers"](spark, sf).count() == 1375
+    assert QUERIES["roc_auc"](spark, sf).first()["auc"] == pytest.approx(0.502123, abs=1e-6)
+    boxes = {r["is_same_state"]: r for r in QUERIES["freight_same_state_box"](spark, sf).collect()}
+    assert boxes[False]["median"] == pytest.approx(2106.064309, abs=1e-6)
+    assert (boxes[False]["outliers"], boxes[True]["outliers"]) == (24, 2)
+    bars = {r["position"]: r["y"] for r in QUERIES["delivery_time_distribution"](spark, sf).where("part = 'bar'").collect()}
+    assert (bars[0], bars[1], bars[10]) == (113, 287, 1894)
