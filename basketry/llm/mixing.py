@@ -24,7 +24,7 @@ WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 CAP = 2
 SEED = "mix"
-ROUNDS = 4
+ROUNDS = 6
 BUCKETS = 4096
 SYMBOLS = "#*$%&|<>"
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from basketry.llm import mixing, packing, rules, simhash
+from basketry.llm import language, mixing, packing, rules, simhash
 from basketry.session import tune
 
 
@@ -24,6 +24,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(docs, packing.word_tokens(F.col("text")))
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identified(_table(spark, sf_dir, "documents"))
+
+
 def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.verdict(rules.ledger(_table(spark, sf_dir, "documents")))
 
@@ -37,6 +41,7 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_simhash": op2_simhash,
         "op4_packing": op4_packing,
+        "op6_language": op6_language,
         "op8_rules": op8_rules,
         "op10_mixing": op10_mixing,
     }

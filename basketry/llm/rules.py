@@ -24,7 +24,7 @@ RULES: tuple[tuple[str, str], ...] = (
     ("few_words", "n_words < 20"),
     ("repeated_words", "100 * n_repeat_words > 30 * n_words"),
     ("symbols", "10 * n_symbols > 2 * n_words"),
-    ("repeated_lines", "100 * n_dup_lines > 30 * n_lines"),
+    ("repeated_lines", "n_dup_lines > 2 and 100 * n_dup_lines > 30 * n_lines"),
     ("long_words", "word_chars > 40 * n_words"),
     ("short_words", "word_chars < 2 * n_words"),
     ("shouting", "10 * n_upper > 6 * word_chars"),
