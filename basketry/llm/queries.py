@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from basketry.llm import language, mixing, packing, rules, simhash, toxicity
-from basketry.session import tune
+from basketry.llm import language, mixing, packing, rules, simhash, tokens, toxicity
+from basketry.session import scratch_path, tune
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +29,14 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(docs, packing.word_tokens(F.col("text")))
 
 
+def op5_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from public_tokenizers import path
+
+    folder = scratch_path(spark, "tokens", uuid.uuid4().hex)
+    tokens.write_tokens(_table(spark, sf_dir, "documents"), folder, path("word_bpe_49k.json"))
+    return tokens.read_tokens(spark, folder)
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identified(_table(spark, sf_dir, "documents"))
 
@@ -46,6 +55,7 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_toxicity": op1_toxicity,
         "op2_simhash": op2_simhash,
         "op4_packing": op4_packing,
+        "op5_tokens": op5_tokens,
         "op6_language": op6_language,
         "op8_rules": op8_rules,
         "op10_mixing": op10_mixing,
