@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from basketry.operators.ordered import cut_points, with_bucket
 from basketry.session import cut_lineage, scratch_path
 
-__all__ = ["words", "ordered_parts", "arrow_pass", "text_bytes", "hash_share", "cut_lineage", "scratch_path", "fresh_name"]
+__all__ = ["words", "settled", "ordered_parts", "arrow_pass", "text_bytes", "hash_share", "cut_lineage", "scratch_path", "fresh_name"]
 
 # White space that ends a word: the space and the five ASCII controls from tab to carriage return.
 SPACES = "\t\n\x0b\x0c\r"
@@ -59,6 +60,13 @@ def arrow_pass(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch],
     return df.mapInArrow(run, schema)
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """The frame written as Parquet in the shared folder and read again: lineage is cut, lost executors cost nothing."""
+    path = scratch_path(df.sparkSession, "tables", uuid.uuid4().hex)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ordered_parts(df: DataFrame, key: str, name: str) -> DataFrame:
     """Add ``name``, a part number that rises with the long column ``key``; rows with equal keys share a
     part and nulls come first. Parts hold about ROWS_PER_PART rows, and there are at most MAX_PARTS."""

@@ -7,7 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from basketry.llm import language, mixing, packing, rules, simhash, tokens, toxicity
+from basketry.llm import language, mixing, packing, rules, simhash, substrings, tokens, toxicity
+from basketry.llm.common import words
 from basketry.session import scratch_path, tune
 
 
@@ -41,6 +42,12 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identified(_table(spark, sf_dir, "documents"))
 
 
+def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = F.sha2(F.array_join(words(F.col("text")), " ").cast("binary"), 256)
+    return substrings.deduplicated(docs).select("doc_id", "n_words", "n_removed", kept.alias("kept_sha256"))
+
+
 def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.verdict(rules.ledger(_table(spark, sf_dir, "documents")))
 
@@ -57,6 +64,7 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_packing": op4_packing,
         "op5_tokens": op5_tokens,
         "op6_language": op6_language,
+        "op7_substrings": op7_substrings,
         "op8_rules": op8_rules,
         "op10_mixing": op10_mixing,
     }
