@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from basketry.llm import language, mixing, packing, rules, simhash, substrings, tokens, toxicity
+from basketry.llm import fingerprints, language, mixing, packing, rules, simhash, substrings, tokens, toxicity
 from basketry.llm.common import words
 from basketry.session import scratch_path, tune
 
@@ -25,6 +25,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.versions(_table(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return packing.packed(docs, packing.word_tokens(F.col("text")))
@@ -61,6 +65,7 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
         "op2_simhash": op2_simhash,
+        "op3_fingerprints": op3_fingerprints,
         "op4_packing": op4_packing,
         "op5_tokens": op5_tokens,
         "op6_language": op6_language,
