@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from basketry.llm import fingerprints, language, mixing, packing, rules, simhash, substrings, tokens, toxicity
+from basketry.llm import fingerprints, html, language, mixing, packing, rules, simhash, substrings, tokens, toxicity
 from basketry.llm.common import words
 from basketry.session import scratch_path, tune
 
@@ -56,6 +56,10 @@ def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.verdict(rules.ledger(_table(spark, sf_dir, "documents")))
 
 
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_texts(_table(spark, sf_dir, "pages"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mixing.mixed(_table(spark, sf_dir, "documents"))
     return mix.select("doc_id", "size", "source_size", "target", "taken")
@@ -71,6 +75,7 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_language": op6_language,
         "op7_substrings": op7_substrings,
         "op8_rules": op8_rules,
+        "op9_html": op9_html,
         "op10_mixing": op10_mixing,
     }
 
