@@ -2,8 +2,10 @@
 
 Only documents are labelled, but only some of their sentences are toxic. Every sentence gets a
 probability from a linear model over hashed words; a document is toxic if at least one sentence is,
-so the probabilities are combined by noisy-or, ``1 - prod(1 - p)``. The likelihood of the document
-labels trains the sentence model, which then also locates the sentences that offend.
+so the probabilities are combined by noisy-or, ``1 - (1 - leak) * prod(1 - p)``. The leak stands for what
+words do not explain. A sentence without a telling word has probability 0, so that a long document is
+not toxic for its length. The likelihood of the document labels trains the sentence model, which then
+also locates the sentences that offend.
 
 Features of a word are its lower-case form and, if it is longer, its leading bytes, each by a 64-bit hash.
 The model is fitted in one task on a
@@ -31,6 +33,8 @@ STEP = 0.15
 PENALTY = 1.0
 # Words of fewer toxic documents of the sample than this carry no weight.
 LEAST_DOCUMENTS = 3
+# Log odds at which the words of a sentence begin to count.
+BASE = -6.0
 ENDS = b".!?\n"
 
 
@@ -50,11 +54,11 @@ _IS_END[list(ENDS)] = True
 
 @dataclass
 class Model:
-    """Weights of hashed words, by rising hash, and the constant of the sentence model."""
+    """Weights of hashed words, by rising hash, and the leak as a log odds."""
 
     keys: np.ndarray
     weights: np.ndarray
-    constant: float
+    leak: float
 
     def per_item(self, keys: np.ndarray) -> np.ndarray:
         if not len(self.keys):
@@ -63,7 +67,7 @@ class Model:
         return np.where(self.keys[at] == keys, self.weights[at], 0.0)
 
 
-NOTHING_LEARNED = Model(np.zeros(0, np.uint64), np.zeros(0), -10.0)
+NOTHING_LEARNED = Model(np.zeros(0, np.uint64), np.zeros(0), -30.0)
 
 
 def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -98,9 +102,10 @@ def fitted(
 ) -> Model:
     """The sentence model that fits the labels of the texts.
 
-    With s = sum of softplus(z) over a document's sentences, noisy-or is 1 - exp(-s): the loss is s for a clean
-    document and -log(1 - exp(-s)) for a toxic one. Gradient rounds with adaptive step sizes; a linear
-    penalty and weights of zero or more leave only words that speak for toxicity.
+    A sentence's risk is softplus(BASE + weights of its words) - softplus(BASE). With s = their sum and the leak's
+    risk, noisy-or is 1 - exp(-s): the loss is s for a clean document and -log(1 - exp(-s)) for a toxic one.
+    Gradient rounds with adaptive step sizes; a linear penalty and weights of zero or more leave only
+    words that speak for toxicity.
     """
     toxic = label[owner[sentence]] > 0
     values, codes = np.unique(feature[toxic], return_inverse=True)
@@ -114,28 +119,28 @@ def fitted(
     pair = np.unique(sentence[keep] * len(used) + column[keep])
     sentence, column = pair // len(used), pair % len(used)
     share = (weight * label).sum() / max(1e-12, weight.sum())
-    per_text = len(owner) / max(1, len(label))
     w = np.zeros(len(used))
-    constant = float(np.log(max(share, 1e-4) / max(1.0, per_text)))
+    leak = float(np.log(min(max(share, 1e-4), 0.5)))
+    w += 0.5  # without any weight no sentence would count
     m, v = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
     total = max(1e-12, weight.sum())
     for t in range(1, rounds + 1):
-        z = constant + np.bincount(sentence, w[column], minlength=len(owner))
-        s = np.bincount(owner, _softplus(z), minlength=len(label))
+        z = BASE + np.bincount(sentence, w[column], minlength=len(owner))
+        s = np.bincount(owner, _softplus(z) - _softplus(BASE), minlength=len(label)) + _softplus(leak)
         slope = np.where(label > 0, -1.0 / np.maximum(np.expm1(np.minimum(s, 50.0)), 1e-9), 1.0) * weight / total
         dz = slope[owner] / (1.0 + np.exp(-z))
-        g = np.append(np.bincount(column, dz[sentence], minlength=len(used)), dz.sum())
+        g = np.append(np.bincount(column, dz[sentence], minlength=len(used)), slope.sum() / (1.0 + np.exp(-leak)))
         m = 0.9 * m + 0.1 * g
         v = 0.99 * v + 0.01 * g * g
         pace = STEP / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
         step = pace * m / (1 - 0.9**t)
         w = np.maximum(0.0, w - step[:-1] - pace[:-1] * PENALTY / total)
-        constant -= step[-1]
-    return Model(used[w > 0], w[w > 0], constant)
+        leak -= step[-1]
+    return Model(used[w > 0], w[w > 0], leak)
 
 
 def learned_model(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """The model from the labelled rows that are not held out; no weights and a low constant if there are none.
+    """The model from the labelled rows that are not held out; no weights and a tiny leak if there are none.
 
     A document labelled more than once is toxic if one label says so; null labels and ids are no labels.
     """
@@ -180,19 +185,19 @@ def learned_model(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> M
             y = np.array(label, np.float64)
             weight = np.where(y > 0, 1 / share.get(1, 1.0), 1 / share.get(0, 1.0))
             model = fitted(np.concatenate(feature), np.concatenate(sentence), np.concatenate(owner), y, weight)
-        row = [[model.keys.tobytes()], [model.weights.tobytes()], [model.constant]]
+        row = [[model.keys.tobytes()], [model.weights.tobytes()], [model.leak]]
         columns = [pa.array(row[0], pa.binary()), pa.array(row[1], pa.binary()), pa.array(row[2], pa.float64())]
-        yield pa.RecordBatch.from_arrays(columns, ["keys", "weights", "constant"])
+        yield pa.RecordBatch.from_arrays(columns, ["keys", "weights", "leak"])
 
     sampled = arrow_pass(rows, prepared, "feature binary, sentence binary, toxic int")
     # the sample is bounded, so one task holds it
-    found = sampled.repartition(1).mapInArrow(fit, "keys binary, weights binary, constant double").first()
+    found = sampled.repartition(1).mapInArrow(fit, "keys binary, weights binary, leak double").first()
     keys = np.frombuffer(bytes(found["keys"]), np.uint64)
-    return Model(keys, np.frombuffer(bytes(found["weights"]), np.float64), found["constant"])
+    return Model(keys, np.frombuffer(bytes(found["weights"]), np.float64), found["leak"])
 
 
 def _probabilities(texts: list[bytes], model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(log of 1 - p per sentence, text, place, p)."""
+    """(risk per sentence, text, place, probability)."""
     feature, sentence, owner, place = features(texts)
     gain = model.per_item(feature)
     hit = np.flatnonzero(gain)
@@ -201,14 +206,14 @@ def _probabilities(texts: list[bytes], model: Model) -> tuple[np.ndarray, np.nda
     again = np.zeros(len(order), bool)
     again[1:] = (feature[order][1:] == feature[order][:-1]) & (sentence[order][1:] == sentence[order][:-1])
     order = order[~again]
-    z = model.constant + np.bincount(sentence[order], gain[order], minlength=len(owner))
-    return -_softplus(z), owner, place, 1.0 / (1.0 + np.exp(-z))
+    risk = _softplus(BASE + np.bincount(sentence[order], gain[order], minlength=len(owner))) - _softplus(BASE)
+    return risk, owner, place, -np.expm1(-risk)
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score, n_sentences, n_toxic, worst) per row of ``docs``.
 
-    ``score`` is the noisy-or of the sentences, 0 for null and empty texts; ``n_toxic`` counts sentences of
+    ``score`` is the noisy-or of the sentences and the leak, 0 for null and empty texts; ``n_toxic`` counts sentences of
     probability 0.5 or more, ``worst`` is the place of the most toxic one from 0, null without a sentence.
     Repeated rows score alike; other columns are not read.
     """
@@ -220,10 +225,12 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
         score, count, toxic, worst = np.zeros(n), np.zeros(n, int), np.zeros(n, int), np.full(n, -1)
         texts = batch.column(1).to_pylist()
         for rows in slices(texts):
-            clean, owner, place, p = _probabilities(texts[rows], shared.value)
+            risk, owner, place, p = _probabilities(texts[rows], shared.value)
             k = rows.stop - rows.start
-            score[rows] = -np.expm1(np.bincount(owner, clean, minlength=k))
-            count[rows] = np.bincount(owner, minlength=k)
+            found = np.bincount(owner, minlength=k)
+            leak = np.where(found > 0, _softplus(shared.value.leak), 0.0)
+            score[rows] = -np.expm1(-np.bincount(owner, risk, minlength=k) - leak)
+            count[rows] = found
             toxic[rows] = np.bincount(owner, p >= 0.5, minlength=k)
             order = np.lexsort((place, -p, owner))
             top = order[np.concatenate(([True], owner[order][1:] != owner[order][:-1]))] if len(order) else order
