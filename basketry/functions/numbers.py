@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 
+MEASURE_SCALE = 12
+
+
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -16,8 +19,12 @@ def exact_sum(c: Column | str, scale: int) -> Column:
 
 
 def exact_mean(c: Column | str, scale: int = 4) -> Column:
-    """Mean in decimal arithmetic; null for an all-null group."""
-    total = F.sum(_col(c).cast(f"decimal(18,{scale})")).cast("double")
+    """Mean in decimal arithmetic; null for an all-null group.
+
+    ``scale`` must keep every digit that counts: 4 for money, MEASURE_SCALE for values that are means themselves.
+    """
+    width = 18 if scale <= 4 else 38
+    total = F.sum(_col(c).cast(f"decimal({width},{scale})")).cast("double")
     return F.try_divide(total, F.count(_col(c)).cast("double"))
 
 

@@ -104,10 +104,10 @@ def weighted_density(weighted: DataFrame, bins: int, points: int = 200) -> DataF
     )
 
 
-def _with_fences(df: DataFrame, values: Sequence[str], by: str, rows: int | None) -> DataFrame:
+def _with_fences(df: DataFrame, values: Sequence[str], by: str) -> DataFrame:
     """Rows with the quartiles ``<value>_q1`` … ``_q3`` of their group and the ends of its fences."""
     targets = {f"{v}_q{i}": (v, 0.25 * i) for v in values for i in (1, 2, 3)}
-    quartiles = small_side(exact_quantiles(df, targets, [by], rows=rows))
+    quartiles = small_side(exact_quantiles(df, targets, [by]))
     joined = known(df, by).join(quartiles, by, "left")
     for v in values:
         q1, q3 = F.col(f"{v}_q1"), F.col(f"{v}_q3")
@@ -121,7 +121,7 @@ def _inside(value: str) -> Column:
 
 
 def box_summaries(
-    df: DataFrame, values: Sequence[str], by: str, rows: int | None = None, **more: Column
+    df: DataFrame, values: Sequence[str], by: str, **more: Column
 ) -> DataFrame:
     """Box statistics of several columns per group in one pass, and further aggregates beside them."""
     parts: dict[str, Column] = {}
@@ -134,7 +134,7 @@ def box_summaries(
             f"{v}_outliers": F.count_if(~inside),
             f"{v}_rows": F.count(v),
         }
-    return group(_with_fences(df, values, by, rows), [by], **parts, **more)
+    return group(_with_fences(df, values, by), [by], **parts, **more)
 
 
 def one_box(summaries: DataFrame, value: str, by: str) -> DataFrame:
@@ -153,17 +153,17 @@ def one_box(summaries: DataFrame, value: str, by: str) -> DataFrame:
     )
 
 
-def box_stats(df: DataFrame, value: str, by: str, rows: int | None = None) -> DataFrame:
+def box_stats(df: DataFrame, value: str, by: str) -> DataFrame:
     """Quartiles, whiskers and number of outliers per group.
 
     Whiskers end at the farthest values within 1.5 interquartile ranges of the box.
     """
-    return one_box(box_summaries(df, [value], by, rows), value, by)
+    return one_box(box_summaries(df, [value], by), value, by)
 
 
-def box_outliers(df: DataFrame, value: str, by: str, rows: int | None = None) -> DataFrame:
+def box_outliers(df: DataFrame, value: str, by: str) -> DataFrame:
     """The single values outside the whiskers of their group."""
-    fenced = _with_fences(df, [value], by, rows)
+    fenced = _with_fences(df, [value], by)
     return fenced.where(~_inside(value)).select(by, F.col(value).cast("double").alias(value))
 
 

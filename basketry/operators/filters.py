@@ -58,35 +58,33 @@ def fill_missing(df: DataFrame, column: str, value: Column) -> DataFrame:
 
 
 def fill_median(df: DataFrame, column: str) -> DataFrame:
-    """Replace nulls by the median of the column."""
-    return fill_missing(df, column, small_domain_median(df, column))
+    """Replace nulls by the median of the column, which may have any number of different values."""
+    median = quantile_values(df, column, [0.5])[0]
+    return fill_missing(df, column, F.lit(median).cast("double"))
 
 
 def same_state(customer: str = "customer_state", seller: str = "seller_state") -> Column:
     return F.col(customer) == F.col(seller)
 
 
-def iqr_fences(
-    df: DataFrame, column: str, reach: float = 1.5, rows: int | None = None
-) -> tuple[float, float] | None:
-    q1, q3 = quantile_values(df, column, [0.25, 0.75], rows=rows)
+def iqr_fences(df: DataFrame, column: str, reach: float = 1.5) -> tuple[float, float] | None:
+    q1, q3 = quantile_values(df, column, [0.25, 0.75])
     if q1 is None:
         return None
     return q1 - reach * (q3 - q1), q3 + reach * (q3 - q1)
 
 
-def filter_iqr(df: DataFrame, column: str, reach: float = 1.5, rows: int | None = None) -> DataFrame:
+def filter_iqr(df: DataFrame, column: str, reach: float = 1.5) -> DataFrame:
     """Keep rows between the outlier fences of a column, both included.
 
     The fences are two numbers, computed now; as literals they can reach the scan.
     """
-    fences = iqr_fences(df, column, reach, rows)
+    fences = iqr_fences(df, column, reach)
     return df.where(F.col(column).between(*fences)) if fences else df.limit(0)
 
 
 def filter_iqr_in_turn(df: DataFrame, columns: Sequence[str], reach: float = 1.5) -> DataFrame:
     """Remove outliers column by column; later fences only see the rows that survived."""
-    rows = df.count()
     for column in columns:
-        df = filter_iqr(df, column, reach, rows)
+        df = filter_iqr(df, column, reach)
     return df

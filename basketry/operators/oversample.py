@@ -9,12 +9,15 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from basketry.operators.neighbours import distinct_points, nearest_neighbours
 from basketry.session import cut_lineage
 
-# Fixed values of the arithmetic draws.
-NEIGHBOUR_FACTOR, GAP_FACTOR, GAP_STEPS = 7919, 104729, 1000
+# Fixed values of the arithmetic split.
+SPLIT_FACTOR = 7919
+# Hexadecimal digits of a draw's hash that choose the neighbour and the gap.
+RANK_DIGITS, GAP_DIGITS = (1, 8), (9, 8)
 SCATTER_FACTORS = (7919, 104729, 1299709)
 SCATTER_RANGE = 1_000_003
 NUMBERING_BUCKETS = 1024
-COPIES_PER_CHUNK = 10_000
+DRAWS_PER_CHUNK = 10_000
+DRAWS_PER_TASK = 500_000
 
 
 def append_rows(df: DataFrame, extra: DataFrame) -> DataFrame:
@@ -63,8 +66,9 @@ def synthetic_rows(
 ) -> DataFrame:
     """``needed`` rows on the segments between minority rows and one of their k neighbours.
 
-    Draw i takes row i mod n, its neighbour of rank (7919·i mod k) + 1 and moves towards it by
-    (104729·i mod 1000) / 1000 of the way.
+    Draw i takes row i mod n in round i div n. The MD5 of "row:round" gives the rank of the neighbour and how far the
+    new row moves towards it, in steps of 2^-32, so repeated draws of a row differ and a task that runs
+    again draws the same.
     """
     if minority_rows <= k:
         raise ValueError(f"{minority_rows} minority rows are too few for {k} neighbours")
@@ -81,33 +85,44 @@ def synthetic_rows(
         F.collect_list(F.struct("rank_from", "rank_to", "neighbour")).alias("_near")
     )
     rounds = -(-needed // minority_rows)
-    crowd = bases.agg(F.max("copies")).first()[0]
-    draws = _unfolded(bases.join(listed, list(features)), features, rounds, crowd).withColumn(
-        "draw", F.col("first_row") + F.col("_copy") + F.col("_round") * minority_rows
+    row = F.col("first_row") + F.col("_copy")
+    draws = _unfolded(bases.join(listed, list(features)), features, rounds, needed).withColumns(
+        {
+            "draw": row + F.col("_round") * minority_rows,
+            "_hash": F.md5(F.concat_ws(":", row.cast("string"), F.col("_round").cast("string"))),
+        }
     )
-    rank = F.col("draw") * NEIGHBOUR_FACTOR % k + 1
-    chosen = F.filter("_near", lambda x: rank.between(x["rank_from"], x["rank_to"]))[0]["neighbour"]
-    gap = F.col("draw") * GAP_FACTOR % GAP_STEPS / F.lit(float(GAP_STEPS))
+    rank = _digits(RANK_DIGITS) % k + 1
+    chosen = F.filter("_near", lambda x: F.col("_rank").between(x["rank_from"], x["rank_to"]))[0]["neighbour"]
+    gap = _digits(GAP_DIGITS) / float(16 ** GAP_DIGITS[1])
     return (
         draws.where(F.col("draw") < needed)
+        .withColumn("_rank", rank)
         .withColumn("_other", chosen)
         .select(*((F.col(f) + gap * (F.col("_other")[f] - F.col(f))).alias(f) for f in features), "draw")
     )
 
 
-def _unfolded(points: DataFrame, features: Sequence[str], rounds: int, crowd: int) -> DataFrame:
+def _digits(place: tuple[int, int]) -> Column:
+    """A whole number from hexadecimal digits of the draw's hash."""
+    return F.conv(F.substring("_hash", *place), 16, 10).cast("bigint")
+
+
+def _unfolded(points: DataFrame, features: Sequence[str], rounds: int, needed: int) -> DataFrame:
     """A row per point, copy ``_copy`` and round ``_round``.
 
-    The copies of a point are cut into chunks first. Where a point has several chunks, they are
-    dealt to different tasks, so that no task unfolds a whole crowd.
+    The draws of a point are cut into chunks first and the chunks dealt out by number of draws, so that
+    neither a crowd of copies nor a class with few points is unfolded in one task.
     """
-    start, step = F.lit(0).cast("bigint"), F.lit(COPIES_PER_CHUNK).cast("bigint")
-    chunks = points.withColumn("_from", F.explode(F.sequence(start, F.col("copies") - 1, step)))
-    if crowd > COPIES_PER_CHUNK:
-        chunks = chunks.repartition("_from", *features)
-    last = F.least(F.col("_from") + COPIES_PER_CHUNK, F.col("copies")) - 1
-    return chunks.withColumn("_copy", F.explode(F.sequence(F.col("_from"), last))).withColumn(
-        "_round", F.explode(F.sequence(start, F.lit(rounds - 1).cast("bigint")))
+    last_draw = F.col("copies") * rounds - 1
+    step = F.lit(DRAWS_PER_CHUNK).cast("bigint")
+    chunks = points.withColumn("_from", F.explode(F.sequence(F.lit(0).cast("bigint"), last_draw, step)))
+    tasks = max(points.sparkSession.sparkContext.defaultParallelism, -(-needed // DRAWS_PER_TASK))
+    chunks = chunks.repartition(tasks, "_from", *features)
+    last = F.least(F.col("_from") + DRAWS_PER_CHUNK - 1, last_draw)
+    unfolded = chunks.withColumn("_at", F.explode(F.sequence(F.col("_from"), last)))
+    return unfolded.withColumns(
+        {"_copy": F.col("_at") % F.col("copies"), "_round": F.expr("_at div copies")}
     )
 
 
@@ -132,7 +147,7 @@ def smote_oversample(
         return originals
     minority = df.where(F.col(label) == small[label])
     made = synthetic_rows(minority, features, small["count"], needed, k)
-    keys = [F.xxhash64("draw", F.lit("synthetic")).alias("row_key")] if kept else []
+    keys = [hash_key(F.concat(F.lit("synthetic:"), F.col("draw").cast("string"))).alias("row_key")] if kept else []
     made = made.select(
         *features,
         F.lit(small[label]).cast(df.schema[label].dataType).alias(label),
@@ -142,16 +157,24 @@ def smote_oversample(
     return append_rows(originals, made)
 
 
-def with_split(df: DataFrame, key: str = "row_key", train_share: float = 0.7) -> DataFrame:
-    """Add ``is_train`` from an arithmetic bucket of a whole-number key.
+def hash_key(text: Column) -> Column:
+    """A whole number below 2^52 from a text: 13 hexadecimal digits of its MD5."""
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("bigint")
+
+
+def with_split(df: DataFrame, key: str = "row_key", train_share: float = 0.7, seed: int = 0) -> DataFrame:
+    """Add ``is_train`` from an arithmetic bucket of a whole-number key; another seed gives another split.
 
     The same row falls on the same side in every run, also when a task is run again.
     """
     share = F.lit(round(train_share * 1000))
-    bucket = F.pmod(F.col(key) % 1000 * NEIGHBOUR_FACTOR, F.lit(1000))
+    number = F.col(key) if seed == 0 else hash_key(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
+    bucket = F.pmod(number % 1000 * SPLIT_FACTOR, F.lit(1000))
     return df.withColumn("is_train", bucket < share)
 
 
-def train_test_split(df: DataFrame, key: str = "row_key", train_share: float = 0.7) -> tuple[DataFrame, DataFrame]:
-    marked = with_split(df, key, train_share)
+def train_test_split(
+    df: DataFrame, key: str = "row_key", train_share: float = 0.7, seed: int = 0
+) -> tuple[DataFrame, DataFrame]:
+    marked = with_split(df, key, train_share, seed)
     return marked.where("is_train").drop("is_train"), marked.where("NOT is_train").drop("is_train")

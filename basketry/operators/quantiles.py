@@ -14,26 +14,34 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from basketry.functions import all_known
 from basketry.operators.sizing import small_side
+from basketry.session import cut_lineage
 
 ACCURACY = 10_000
 # Half widths of a bracket, in units of the sketch's error. Large groups use the first; a group of
 # few rows needs a larger share of them to hold the two values around its target.
 MARGINS = (2, 10, 100, 1000)
-# A frame known to have no more rows than this may be sorted as lists.
-SMALL_ROWS = 500_000
 # Brackets expected to hold more rows than this are narrowed, each time to about 4 / GRID of them.
-BRACKET_ROWS = 20_000_000
+BRACKET_ROWS = 1_000_000
+# How much wider than their margins brackets get if a rank was missed; the last is the whole column.
+WIDER = (1.0, 10.0, 100.0, float("inf"))
 GRID = 200
 
 
-def _sketch(df: DataFrame, targets: Sequence[tuple[str, float]], by: list[str], accuracy: int) -> DataFrame:
+def _sketch(
+    df: DataFrame, targets: Sequence[tuple[str, float]], by: list[str], accuracy: int, wider: float = 1.0
+) -> DataFrame:
     """Per group: for target i the bracket ends ``_low_i`` and ``_high_i`` and its ``_rank_i``.
 
     Ranks count from 0 among the values of the column, ``(n - 1) * p`` as in linear interpolation.
     """
     columns = list(dict.fromkeys(c for c, _ in targets))
     ends = {
-        c: [min(max(p + s * m / accuracy, 0.0), 1.0) for t, p in targets if t == c for m in MARGINS for s in (-1, 1)]
+        c: [
+            min(max(p + s * m * wider / accuracy, 0.0), 1.0)
+            for t, p in targets if t == c
+            for m in MARGINS
+            for s in (-1, 1)
+        ]
         for c in columns
     }
     values = df.select(*by, *(F.col(c).cast("double").alias(c) for c in columns))
@@ -47,7 +55,7 @@ def _sketch(df: DataFrame, targets: Sequence[tuple[str, float]], by: list[str],
         n, chosen = F.col(f"_n_{c}"), F.lit(everything)
         for j, margin in reversed(list(enumerate(MARGINS))):
             # one rank for the neighbour of the target and one for rounding, besides the error
-            enough = n * (margin - 1) >= 2 * accuracy
+            enough = F.lit(wider < float("inf")) & (n * (margin - 1) >= 2 * accuracy)
             chosen = F.when(enough, F.col(f"_ends_{c}")[start + 2 * j]).otherwise(chosen)
         return chosen
 
@@ -105,23 +113,6 @@ def _between(low: Column, high: Column, rank: Column) -> Column:
     return F.when(share < 0.5, low + gap * share).otherwise(high - gap * (1 - share))
 
 
-def _from_sorted_lists(df: DataFrame, targets: Mapping[str, tuple[str, float]], by: list[str]) -> DataFrame:
-    columns = list(dict.fromkeys(c for c, _ in targets.values()))
-    lists = known_keys(df, by).groupBy(*by).agg(
-        *(F.sort_array(F.collect_list(F.col(c).cast("double"))).alias(f"_v_{c}") for c in columns)
-    )
-
-    def pick(c: str, p: float) -> Column:
-        values = F.col(f"_v_{c}")
-        rank = F.lit(float(p)) * (F.size(values) - 1)
-        low, high = (F.get(values, f(rank).cast("int")) for f in (F.floor, F.ceil))
-        return F.when(F.size(values) > 0, _between(low, high, rank))
-
-    filled = F.greatest(*(F.size(f"_v_{c}") for c in columns), F.lit(0)) > 0
-    picked = lists.where(filled) if by else lists
-    return picked.select(*by, *(pick(c, p).alias(name) for name, (c, p) in targets.items()))
-
-
 def known_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.where(all_known(*keys)) if keys else df
 
@@ -131,20 +122,31 @@ def exact_quantiles(
     targets: Mapping[str, tuple[str, float]],
     by: Sequence[str] = (),
     accuracy: int = ACCURACY,
-    rows: int | None = None,
 ) -> DataFrame:
     """One row per group with one column per target, ``{name: (column, probability)}``.
 
     Nulls do not take part, rows with a null key are dropped, and groups without any value have
-    no row. The sketch is computed when this is called, the rest is lazy. A caller that knows
-    the number of ``rows`` saves the sketch if they are few.
+    no row. Ranks are computed when this is called. Should a sketch be worse than promised and a rank lie
+    outside its bracket, all brackets are widened and the rows are scanned again.
     """
     by, wanted = list(by), list(targets.values())
-    if rows is not None and rows <= SMALL_ROWS:
-        return _from_sorted_lists(df, targets, by)
-    brackets = small_side(_sketch(df, wanted, by, accuracy))
+    for wider in WIDER:
+        found = cut_lineage(_ranks(df, wanted, by, accuracy, wider))
+        if found.where("_low is null or _high is null").isEmpty():
+            break
+
+    def pick(i: int) -> Column:
+        here = F.col("_i") == i
+        return F.max(F.when(here, _between(F.col("_low"), F.col("_high"), F.col("_rank"))))
+
+    return found.groupBy(*by).agg(*(pick(i).cast("double").alias(name) for i, name in enumerate(targets)))
+
+
+def _ranks(df: DataFrame, wanted: list[tuple[str, float]], by: list[str], accuracy: int, wider: float) -> DataFrame:
+    """Per group and target number ``_i``: the rank and the values just below and above it, null if missed."""
+    brackets = small_side(_sketch(df, wanted, by, accuracy, wider))
     bracketed = _with_brackets(df, brackets, by)
-    share = 4.0 / accuracy
+    share = 4.0 * wider / accuracy if wider < float("inf") else 1.0
     while not brackets.where(F.col("_n") * share > BRACKET_ROWS).isEmpty():
         brackets = small_side(_narrowed(bracketed, wanted, by, accuracy))
         bracketed = _with_brackets(df, brackets, by)
@@ -163,33 +165,23 @@ def exact_quantiles(
         .groupBy(*by, "_i", "_x")
         .agg(F.count(F.lit(1)).alias("_c"), F.max("_rank").alias("_rank"))
     )
-    # one exchange serves both the running count and the final pick
-    gathered = counts.repartition(*by) if by else counts.repartition(1)
+    # a task per group and target serves both the running count and the pick
+    gathered = counts.repartition(*by, "_i")
     running = Window.partitionBy(*by, "_i").orderBy(F.col("_x").asc_nulls_first())
     placed = gathered.withColumn("_to", F.sum("_c").over(running))
 
-    def at(i: int, position: Column) -> Column:
+    def at(position: Column) -> Column:
         inside = (F.col("_to") - F.col("_c") <= position) & (position < F.col("_to"))
-        return F.max(F.when((F.col("_i") == i) & inside, F.col("_x")))
-
-    def pick(i: int) -> Column:
-        low, high = at(i, F.floor("_rank")), at(i, F.ceil("_rank"))
-        rank = F.max(F.when(F.col("_i") == i, F.col("_rank")))
-        missed = rank.isNotNull() & (low.isNull() | high.isNull())
-        return F.when(missed, F.raise_error(F.lit("quantile bracket missed its rank"))).otherwise(
-            _between(low, high, rank)
-        )
+        return F.max(F.when(inside, F.col("_x")))
 
-    return placed.groupBy(*by).agg(*(pick(i).cast("double").alias(name) for i, name in enumerate(targets)))
+    return placed.groupBy(*by, "_i").agg(
+        at(F.floor("_rank")).alias("_low"), at(F.ceil("_rank")).alias("_high"), F.max("_rank").alias("_rank")
+    )
 
 
 def quantile_values(
-    df: DataFrame,
-    column: str,
-    probabilities: Sequence[float],
-    accuracy: int = ACCURACY,
-    rows: int | None = None,
+    df: DataFrame, column: str, probabilities: Sequence[float], accuracy: int = ACCURACY
 ) -> list[float | None]:
     """Quantiles of a whole column as plain numbers, nulls when there is no value."""
     targets = {f"q{i}": (column, p) for i, p in enumerate(probabilities)}
-    return list(exact_quantiles(df, targets, accuracy=accuracy, rows=rows).first())
+    return list(exact_quantiles(df, targets, accuracy=accuracy).first())

@@ -7,20 +7,28 @@ from pyspark.sql import DataFrame, functions as F
 from basketry.session import cut_lineage
 
 MAX_BROADCAST_ROWS = 20_000
+MAX_BROADCAST_BYTES = 16 << 20
 ROWS_PER_TASK = 10_000
-SMALL_TABLE_ROWS = 10_000_000
 
 
 def small_side(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """The frame as the small side of a join.
 
-    Reads at most ``max_rows`` + 1 rows. If that is all of them, they become a local relation
-    that is broadcast. A larger frame is computed once and joined by shuffle.
+    Reads at most ``max_rows`` + 1 rows. If that is all of them and they fit MAX_BROADCAST_BYTES, they become
+    a local relation that is broadcast. A larger frame is checkpointed and joined by shuffle.
     """
-    rows = df.limit(max_rows + 1).toArrow()
-    if rows.num_rows <= max_rows:
-        return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
-    return cut_lineage(df)
+    level = df.storageLevel
+    own = not (level.useMemory or level.useDisk)
+    # what the probe has computed is not computed again
+    held = df.persist() if own else df
+    try:
+        rows = held.limit(max_rows + 1).toArrow()
+        if rows.num_rows <= max_rows and rows.nbytes <= MAX_BROADCAST_BYTES:
+            return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+        return cut_lineage(held)
+    finally:
+        if own:
+            held.unpersist()
 
 
 def for_iterations(df: DataFrame) -> DataFrame:
@@ -30,13 +38,3 @@ def for_iterations(df: DataFrame) -> DataFrame:
     """
     return df.coalesce(max(1, -(-df.count() // ROWS_PER_TASK)))
 
-
-def spread_if_small(df: DataFrame) -> DataFrame:
-    """Give a small table a partition per core.
-
-    A small file is one row group, which a single task reads. A larger table is left as its files
-    are split. The count comes from the file footers.
-    """
-    if df.count() > SMALL_TABLE_ROWS:
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)

@@ -8,12 +8,12 @@ from typing import Sequence
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from basketry.functions import round_digits
 from basketry.operators.filters import available, drop_missing_features
 from basketry.operators.metrics import classification_report, confusion_matrix, roc_auc, roc_curve
-from basketry.operators.oversample import smote_oversample, train_test_split
+from basketry.operators.oversample import hash_key, smote_oversample, train_test_split
 from basketry.operators.sizing import for_iterations
 from basketry.session import cut_lineage
 
@@ -28,12 +28,18 @@ def feature_rows(fact: DataFrame, wanted: Sequence[str] = FEATURES) -> DataFrame
     """Numeric features that are present, the label, and a key to split rows by."""
     features = available(fact, wanted)
     rows = drop_missing_features(fact, features)
-    key = F.xxhash64("order_id", "customer_unique_id", "seller_id", *features)
+    parts = ("order_id", "customer_unique_id", "seller_id")
+    key = hash_key(F.concat_ws(":", *(F.col(c).cast("string") for c in parts), *(_digits(f) for f in features)))
     return rows.select(
         *(F.col(f).cast("double").alias(f) for f in features), "is_late", key.alias("row_key")
     )
 
 
+def _digits(feature: str) -> Column:
+    """A number as text, in ten-thousandths, so that any engine writes it alike."""
+    return F.floor(F.col(feature).cast("double") * 10000 + 0.5).cast("bigint").cast("string")
+
+
 def feature_vectors(rows: DataFrame, features: Sequence[str]) -> DataFrame:
     assembler = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="error")
     return assembler.transform(rows).withColumn("label", F.col("is_late").cast("double"))
@@ -106,7 +112,7 @@ def delivery_delay_model(
     features = [c for c in rows.columns if c not in ("is_late", "row_key")]
     if split_first:
         train, test = train_test_split(rows, train_share=train_share)
-        train = smote_oversample(train, features, "is_late")
+        train = cut_lineage(smote_oversample(train, features, "is_late"))
     else:
         balanced = cut_lineage(smote_oversample(rows, features, "is_late"))
         train, test = train_test_split(balanced, train_share=train_share)

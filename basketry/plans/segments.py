@@ -11,6 +11,7 @@ from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, functions as F
 
+from basketry.functions.numbers import MEASURE_SCALE
 from basketry.functions import elapsed_days, exact_mean, money_sum, round_digits
 from basketry.operators.aggregates import distinct_orders, group, latest_purchase, value_counts
 from basketry.operators.filters import filter_iqr_in_turn
@@ -102,15 +103,13 @@ def customer_segments(
     return Segmentation(labelled, rows, centroids, min(costs), costs)
 
 
-def cluster_summary(segments: DataFrame, rows: int | None = None) -> DataFrame:
+def cluster_summary(segments: DataFrame) -> DataFrame:
     """Mean and median of every measure, and the size, per cluster."""
-    medians = exact_quantiles(
-        segments, {f"{m}_median": (m, 0.5) for m in MEASURES}, ["cluster"], rows=rows
-    )
+    medians = exact_quantiles(segments, {f"{m}_median": (m, 0.5) for m in MEASURES}, ["cluster"])
     means = group(
         segments,
         ["cluster"],
-        **{f"{m}_mean": exact_mean(m, 4) for m in MEASURES},
+        **{f"{m}_mean": exact_mean(m, MEASURE_SCALE) for m in MEASURES},
         customers=F.count("customer_unique_id"),
     )
     columns = [f"{m}_{s}" for m in MEASURES for s in ("mean", "median")]
@@ -125,7 +124,7 @@ def cluster_profile(segments: DataFrame) -> DataFrame:
         segments,
         ["cluster"],
         customers=F.count(F.lit(1)),
-        **{f"{m}_mean": exact_mean(m, 4) for m in MEASURES},
+        **{f"{m}_mean": exact_mean(m, MEASURE_SCALE) for m in MEASURES},
     )
 
 
@@ -139,7 +138,7 @@ def cluster_frequencies(segments: DataFrame) -> DataFrame:
 
 def segment_reports(found: Segmentation) -> dict[str, DataFrame]:
     return {
-        "cluster_summary": cluster_summary(found.customers, found.rows),
+        "cluster_summary": cluster_summary(found.customers),
         "cluster_profile": cluster_profile(found.customers),
         "cluster_frequencies": cluster_frequencies(found.customers),
         "segment_points": segment_points(found.customers),

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from basketry.operators.joins import MERGED_COLUMNS, PREPARED_COLUMNS
 from basketry.operators.oversample import (
-    GAP_FACTOR,
-    GAP_STEPS,
-    NEIGHBOUR_FACTOR,
+    GAP_DIGITS,
+    RANK_DIGITS,
     SCATTER_FACTORS,
     SCATTER_RANGE,
+    SPLIT_FACTOR,
 )
 from basketry.registry.queries import SAMPLE_CENTROIDS, SMOTE_FEATURES
 from basketry.registry.tpch import ORACLE_ROLES
@@ -222,8 +222,11 @@ def _iqr_chain() -> str:
     return f"{text} SELECT * FROM {source}"
 
 
+VERY_LATE = f"delivery_time > (SELECT {quantile('delivery_time', 0.95)} FROM fact)"
+
+
 def _neighbours() -> str:
-    """Five nearest late rows by brute force within a band of prices.
+    """Five nearest very late rows by brute force within a band of prices.
 
     A row whose fifth distance lies inside its band is settled; the others are compared with all.
     """
@@ -233,7 +236,7 @@ def _neighbours() -> str:
     return f"""
 , late AS MATERIALIZED (
   SELECT row_number() OVER () AS id, price AS a, freight_value AS b, CAST(delivery_time AS DOUBLE) AS c
-  FROM fact WHERE is_late = 1
+  FROM fact WHERE {VERY_LATE}
 )
 , banded AS MATERIALIZED (
   SELECT {columns} FROM late q JOIN late p ON p.a BETWEEN q.a - 1000 AND q.a + 1000 AND p.id <> q.id {best}
@@ -254,29 +257,35 @@ SELECT a AS price, b AS freight_value, c AS delivery_time,
 FROM found"""
 
 
+def _hex(text: str, start: int, digits: int) -> str:
+    return f"('0x' || substr({text}, {start}, {digits}))::BIGINT"
+
+
 def _smote() -> str:
     key = " + ".join(
         f"CAST(floor({f} * 10000 + 0.5) AS HUGEINT) * {SCATTER_FACTORS[i]}" for i, f in enumerate(SMOTE_FEATURES)
     )
     f = ", ".join(SMOTE_FEATURES)
-    gap = f"(i * {GAP_FACTOR} % {GAP_STEPS}) / {float(GAP_STEPS)}"
+    gap = f"{_hex('h', *GAP_DIGITS)} / {float(16 ** GAP_DIGITS[1])}::DOUBLE"
     made = ", ".join(f"q.{x} + {gap} * (p.{x} - q.{x}) AS {x}" for x in SMOTE_FEATURES)
     d2 = " + ".join(f"(q.{x} - p.{x}) * (q.{x} - p.{x})" for x in SMOTE_FEATURES)
     order = ", ".join(f"p.{x}" for x in SMOTE_FEATURES)
     return f"""
-, feats AS MATERIALIZED (SELECT price, freight_value, CAST(delivery_time AS DOUBLE) AS delivery_time, is_late FROM fact)
-, sizes AS (SELECT is_late, count(*) AS n FROM feats GROUP BY is_late)
-, small AS (SELECT is_late, n FROM sizes ORDER BY n, is_late LIMIT 1)
+, feats AS MATERIALIZED (SELECT price, freight_value, CAST(delivery_time AS DOUBLE) AS delivery_time,
+  CAST({VERY_LATE} AS INTEGER) AS is_very_late FROM fact)
+, sizes AS (SELECT is_very_late, count(*) AS n FROM feats GROUP BY is_very_late)
+, small AS (SELECT is_very_late, n FROM sizes ORDER BY n, is_very_late LIMIT 1)
 , keyed AS (
-  SELECT feats.*, {key} AS raw FROM feats WHERE is_late = (SELECT is_late FROM small)
+  SELECT feats.*, {key} AS raw FROM feats WHERE is_very_late = (SELECT is_very_late FROM small)
 )
 , minority AS MATERIALIZED (
   SELECT {f}, row_number() OVER (ORDER BY ((raw % {SCATTER_RANGE}) + {SCATTER_RANGE}) % {SCATTER_RANGE}, {f}) - 1 AS id
   FROM keyed
 )
 , draws AS (
-  SELECT i, i % (SELECT n FROM small) AS id, i * {NEIGHBOUR_FACTOR} % 5 + 1 AS wanted
-  FROM range((SELECT max(n) - min(n) FROM sizes)) r(i)
+  SELECT id, h, {_hex('h', *RANK_DIGITS)} % 5 + 1 AS wanted
+  FROM (SELECT i % n AS id, md5(concat(i % n, ':', i // n)) AS h
+        FROM range((SELECT max(n) - min(n) FROM sizes)) r(i) CROSS JOIN small)
 )
 , bases AS MATERIALIZED (SELECT * FROM minority WHERE id IN (SELECT id FROM draws))
 , ranked AS (
@@ -284,9 +293,9 @@ def _smote() -> str:
          row_number() OVER (PARTITION BY q.id ORDER BY {d2}, {order}) AS place
   FROM bases q JOIN minority p ON p.id <> q.id QUALIFY place <= 5
 )
-SELECT {f}, is_late, false AS synthetic FROM feats
+SELECT {f}, is_very_late, false AS synthetic FROM feats
 UNION ALL
-SELECT {made}, (SELECT is_late FROM small), true
+SELECT {made}, (SELECT is_very_late FROM small), true
 FROM draws JOIN bases q USING (id) JOIN ranked p ON p.id = draws.id AND p.place = draws.wanted"""
 
 
@@ -370,7 +379,7 @@ QUERIES: dict[str, str] = {
     "sort_index": f"SELECT order_month, {money_sum('price')} AS total_price FROM fact GROUP BY order_month ORDER BY order_month",
     "top_k": f"SELECT seller_id, {money_sum('price')} AS total_price FROM fact GROUP BY seller_id ORDER BY total_price DESC, seller_id LIMIT 10",
     "append_rows": "SELECT order_id, price, freight_value FROM fact UNION ALL SELECT order_id, price, freight_value FROM fact WHERE is_late = 0",
-    "train_test_split": "SELECT order_id, price, (order_id % 1000 * 7919) % 1000 < 700 AS is_train FROM fact",
+    "train_test_split": f"SELECT order_id, price, (order_id % 1000 * {SPLIT_FACTOR}) % 1000 < 700 AS is_train FROM fact",
     "parse_timestamp": f"SELECT order_id, {BOUGHT} AS strict, CASE WHEN order_id % 7 <> 0 THEN {BOUGHT} END AS lenient FROM role_orders",
     "elapsed_days_floor": f"SELECT order_id, {elapsed(DELIVERED, BOUGHT)} AS days, {elapsed(BOUGHT, DELIVERED)} AS days_back FROM fact",
     "late_flag": f"SELECT order_id, {DELIVERED}, coalesce(CAST({DELIVERED} > {ESTIMATED} AS INTEGER), 0) AS is_late FROM prepared",
@@ -392,8 +401,8 @@ QUERIES: dict[str, str] = {
     "scatter_points": "SELECT price AS x, freight_value AS y, review_score FROM fact",
     "heat_row": f"{STATE_SALES} SELECT customer_state, region, total_price FROM state_sales",
     "standard_scale": f"{RFM} SELECT customer_unique_id, {_SCALE} FROM rfm",
-    "cluster_summary": f"{SEGMENTS} SELECT cluster, " + ", ".join(f"round_even({mean(m)}, 6) AS {m}_mean, round_even(median({m}::DOUBLE), 6) AS {m}_median" for m in _MEASURES) + ", count(*) AS customers FROM segments GROUP BY cluster",
-    "cluster_profile": f"{SEGMENTS} SELECT cluster, count(*) AS customers, " + ", ".join(f"{mean(m)} AS {m}_mean" for m in _MEASURES) + " FROM segments GROUP BY cluster",
+    "cluster_summary": f"{SEGMENTS} SELECT cluster, " + ", ".join(f"round_even(avg({m}), 6) AS {m}_mean, round_even(median({m}::DOUBLE), 6) AS {m}_median" for m in _MEASURES) + ", count(*) AS customers FROM segments GROUP BY cluster",
+    "cluster_profile": f"{SEGMENTS} SELECT cluster, count(*) AS customers, " + ", ".join(f"round(avg({m}), 6) AS {m}_mean" for m in _MEASURES) + " FROM segments GROUP BY cluster",
     "smote_oversample": _smote(),
     "confusion_matrix": f"{RULE_MATRIX} SELECT label, prediction, count(*) AS row_count FROM rule GROUP BY label, prediction",
     "classification_report": _report(),

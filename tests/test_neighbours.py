@@ -93,9 +93,32 @@ def test_too_few_minority_rows(spark):
         oversample.smote_oversample(spark.createDataFrame(data), NAMES, "y")
 
 
+def test_draws_repeat_no_row_and_use_several_neighbours(spark):
+    rng = np.random.default_rng(3)
+    rows = [(*map(float, rng.uniform(0, 100, 3)), 1) for _ in range(1000)]
+    frame = spark.createDataFrame(rows, "a double, b double, c double, y int")
+    made = oversample.synthetic_rows(frame, NAMES, 1000, 9000).cache()
+    assert made.count() == 9000 and made.select(*NAMES).distinct().count() > 8900
+    # draw i starts from row i mod n; its direction tells the neighbour
+    by_base = {}
+    numbered = oversample.numbered_points(neighbours.distinct_points(frame, NAMES), NAMES)
+    base = {r.first_row: np.array([r.a, r.b, r.c]) for r in numbered.collect()}
+    for r in made.collect():
+        way = np.array([r.a, r.b, r.c]) - base[r.draw % 1000]
+        by_base.setdefault(r.draw % 1000, set()).add(tuple((way / np.linalg.norm(way)).round(6)))
+    assert all(len(d) > 1 for d in by_base.values())
+
+
+def test_a_rare_class_is_drawn_in_many_tasks(spark):
+    rows = [(float(i), float(i * i), 0.0, 1) for i in range(20)]
+    made = oversample.synthetic_rows(spark.createDataFrame(rows, "a double, b double, c double, y int"), NAMES, 20, 2_000_000)
+    sizes = [r["count"] for r in made.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 2_000_000 and len(sizes) >= 8 and max(sizes) < 600_000
+
+
 @pytest.mark.parametrize("chunk", [10_000, 7])
 def test_copies_of_a_hot_point_are_drawn_one_by_one(spark, monkeypatch, chunk):
-    monkeypatch.setattr(oversample, "COPIES_PER_CHUNK", chunk)
+    monkeypatch.setattr(oversample, "DRAWS_PER_CHUNK", chunk)
     rows = [(1.0, 2.0, 3.0, 1)] * 40 + [(float(i), 0.0, 0.0, 1) for i in range(10)] + [(0.0, float(i), 5.0, 0) for i in range(180)]
     result = oversample.smote_oversample(spark.createDataFrame(rows, "a double, b double, c double, y int"), NAMES, "y")
     assert result.where("y = 1").count() == 180

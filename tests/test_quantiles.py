@@ -42,10 +42,9 @@ def test_groups_of_all_sizes_against_numpy(spark, monkeypatch, accuracy, bracket
         assert found[group]["k"] == np.median(k)
 
 
-@pytest.mark.parametrize("rows", [None, 5])
-def test_groups_without_values_have_no_row(spark, rows):
+def test_groups_without_values_have_no_row(spark):
     df = spark.createDataFrame([("a", 1.0, None), ("a", 3.0, 5.0), ("b", None, None), ("c", None, 2.0)], "g string, x double, y double")
-    found = exact_quantiles(df, {"x": ("x", 0.5), "y": ("y", 0.5)}, ["g"], rows=rows)
+    found = exact_quantiles(df, {"x": ("x", 0.5), "y": ("y", 0.5)}, ["g"])
     assert {tuple(r) for r in found.collect()} == {("a", 2.0, 5.0), ("c", None, 2.0)}
 
 
@@ -58,10 +57,28 @@ def test_narrowing_of_a_whole_column(spark, monkeypatch):
 
 def test_no_row_exchange_in_the_plan(spark):
     df = spark.range(1000).select((F.col("id") % 3).alias("g"), F.col("id").cast("double").alias("x"))
-    plan = exact_quantiles(df, {"m": ("x", 0.5)}, ["g"])._jdf.queryExecution().executedPlan().toString()
+    plan = quantiles._ranks(df, [("x", 0.5)], ["g"], 10_000, 1.0)._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "percentile" not in plan
 
 
+def test_a_missed_rank_widens_the_brackets(spark, monkeypatch):
+    sketch, asked = quantiles._sketch, []
+
+    def bad(df, targets, by, accuracy, wider=1.0):
+        asked.append(wider)
+        found = sketch(df, targets, by, accuracy, wider)
+        return found.withColumn("_high_0", F.col("_low_0")) if wider < 100 else found
+
+    monkeypatch.setattr(quantiles, "_sketch", bad)
+    values = [random.Random(i).random() for i in range(3000)]
+    assert quantile_values(column(spark, values), "x", [0.5], accuracy=1000) == [np.quantile(values, 0.5)]
+    assert asked == [1.0, 10.0, 100.0]
+    asked.clear()
+    monkeypatch.setattr(quantiles, "WIDER", (1.0, float("inf")))
+    assert quantile_values(column(spark, values), "x", [0.5], accuracy=1000) == [np.quantile(values, 0.5)]
+
+
 def test_iqr_of_zero_keeps_only_the_common_value(spark):
     kept = filters.filter_iqr(column(spark, [1, 1, 1, 1, 2]), "x")
     assert [r["x"] for r in kept.collect()] == [1.0] * 4
