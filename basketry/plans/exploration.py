@@ -37,7 +37,7 @@ def freight_reports(fact: DataFrame) -> dict[str, DataFrame]:
     pairs = cut_lineage(freight_by_state_pair(fact))
     return {
         "freight_by_state_pair": pairs,
-        "freight_same_state_box": box_stats(pairs, "mean_freight", "is_same_state", pairs.count()),
+        "freight_same_state_box": box_stats(pairs, "mean_freight", "is_same_state"),
         "freight_vs_price_points": scatter(pairs, "mean_price", "mean_freight"),
     }
 

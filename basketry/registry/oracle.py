@@ -299,25 +299,48 @@ SELECT {made}, (SELECT is_very_late FROM small), true
 FROM draws JOIN bases q USING (id) JOIN ranked p ON p.id = draws.id AND p.place = draws.wanted"""
 
 
+ROLES = {
+    "orders": "role_orders",
+    "order_items": "role_items",
+    "products": "role_products",
+    "customers": "role_customers",
+    "sellers": "role_sellers",
+    "order_reviews": "role_reviews",
+    "payments": "role_payments",
+}
+# The columns of the given tables by type; all others are strings.
+TYPED = {
+    "bigint": "order_id customer_id customer_unique_id product_id seller_id review_id",
+    "int": "order_item_id payment_sequential payment_installments review_score product_name_length product_description_lenght product_photos_qty",
+    "double": "price freight_value payment_value product_weight_g product_length_cm product_height_cm product_width_cm",
+    "timestamp_ntz": "order_purchase_timestamp order_approved_at order_delivered_carrier_date order_estimated_delivery_date shipping_limit_date review_creation_date review_answer_timestamp",
+}
+# The first table that has a column.
+OWNERS = {
+    "orders": "order_id customer_id order_status order_purchase_timestamp order_approved_at order_delivered_carrier_date order_estimated_delivery_date",
+    "order_items": "order_item_id product_id seller_id shipping_limit_date price freight_value",
+    "payments": "payment_sequential payment_type payment_installments payment_value",
+    "order_reviews": "review_id review_score review_comment_title review_comment_message review_creation_date review_answer_timestamp",
+    "products": "product_category_name product_name_length product_description_lenght product_photos_qty product_weight_g product_length_cm product_height_cm product_width_cm",
+    "customers": "customer_unique_id customer_zip_code_prefix customer_city customer_state",
+    "sellers": "seller_zip_code_prefix seller_city seller_state",
+}
+
+
 def _schema() -> str:
-    counts = ", ".join(f"count({c}) AS {c}" for c in MERGED_COLUMNS)
+    kind = {c: t for t, names in TYPED.items() for c in names.split()}
+    owner = {c: t for t, names in OWNERS.items() for c in names.split()}
+    names = [c for c in MERGED_COLUMNS if c != DELIVERED]
     rows = " UNION ALL ".join(
-        f"SELECT {i} AS position, '{c}' AS column_name, {c} AS filled FROM counts"
-        for i, c in enumerate(MERGED_COLUMNS, start=1)
+        f"SELECT {i} AS position, '{c}' AS column_name, '{owner[c]}' AS table_name, '{kind.get(c, 'string')}' AS type,"
+        f" count({c}) AS filled FROM {ROLES[owner[c]]}"
+        for i, c in enumerate(names, start=1)
     )
-    return f"{MERGED}, counts AS (SELECT {counts} FROM merged) {rows}"
+    return rows
 
 
 def _counts() -> str:
-    views = {
-        "orders": "role_orders",
-        "order_items": "role_items",
-        "products": "role_products",
-        "customers": "role_customers",
-        "sellers": "role_sellers",
-        "order_reviews": "role_reviews",
-        "payments": "role_payments",
-    }
+    views = ROLES | {"geolocation": "nation", "category_translation": "(SELECT DISTINCT p_type FROM part)"}
     return " UNION ALL ".join(
         f"SELECT '{name}' AS table_name, count(*) AS row_count FROM {role}" for name, role in views.items()
     )

@@ -40,6 +40,10 @@ class Fixture:
     def tables(self) -> joins.SalesTables:
         return tpch.sales_tables(self.spark, self.sf_dir)
 
+    @cached_property
+    def csv_catalog(self) -> str:
+        return tpch.write_csv_catalog(self.spark, self.sf_dir, self.path("export"))
+
     @cached_property
     def regions(self) -> DataFrame:
         return tpch.regions(self.spark, self.sf_dir)
@@ -120,9 +124,8 @@ def scan_csv(fx: Fixture) -> DataFrame:
 
 
 def load_catalog(fx: Fixture) -> DataFrame:
-    views = fx.tables.as_views()
-    readers.register_views(views)
-    return readers.row_counts({name: fx.spark.table(name) for name in views})
+    tables = readers.load_catalog(fx.spark, fx.csv_catalog)
+    return readers.row_counts({name: fx.spark.table(name) for name in tables})
 
 
 def rename_on_load(fx: Fixture) -> DataFrame:
@@ -138,7 +141,7 @@ def table_sink_replace(fx: Fixture) -> DataFrame:
 
 
 def import_row_counts(fx: Fixture) -> DataFrame:
-    return sinks.import_tables(fx.tables.as_views(), fx.path("import"))
+    return sinks.import_tables(readers.load_catalog(fx.spark, fx.csv_catalog), fx.path("import"))
 
 
 def sql_view(fx: Fixture) -> DataFrame:
@@ -164,7 +167,8 @@ def sql_scan(fx: Fixture) -> DataFrame:
 
 
 def table_schema(fx: Fixture) -> DataFrame:
-    return readers.table_schema(joins.merged_view(fx.tables))
+    tables = fx.tables.as_views()
+    return readers.view_schema(tables, [c for c in joins.MERGED_COLUMNS if c not in fx.tables.derived])
 
 
 def report_sink(fx: Fixture) -> DataFrame:

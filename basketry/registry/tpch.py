@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from basketry.functions import add_seconds
 from basketry.operators.joins import SalesTables
+from basketry.sources.schemas import CATALOG
+from basketry.sources.sinks import write_report
 
 
 def _days(n: int) -> Column:
@@ -130,6 +132,22 @@ def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def write_csv_catalog(spark: SparkSession, sf_dir: str, base_path: str) -> str:
+    """All nine catalogue tables as CSV, with the file names, headers and free text of a real export."""
+    tables = sales_tables(spark, sf_dir).as_views()
+    message = F.concat(F.lit('said "'), "review_comment_message", F.lit('",\ntwice'))
+    tables["order_reviews"] = tables["order_reviews"].withColumn("review_comment_message", message)
+    tables["geolocation"] = read(spark, sf_dir, "nation").select(
+        F.col("n_nationkey").alias("geolocation_zip_code_prefix"), F.col("n_name").alias("geolocation_state")
+    )
+    kind = read(spark, sf_dir, "part").select(F.col("p_type").alias("product_category_name")).distinct()
+    tables["category_translation"] = kind.withColumn("product_category_name_english", F.lower("product_category_name"))
+    for spec in CATALOG:
+        back = {new: old for old, new in spec.renames.items()}
+        write_report(tables[spec.name].withColumnsRenamed(back), f"{base_path}/{spec.file.replace('*', 'shop_')}", "csv")
+    return base_path
+
+
 ORACLE_ROLES = """
 WITH role_orders AS (
   SELECT o_orderkey AS order_id, o_custkey AS customer_id, o_orderstatus AS order_status,

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from fnmatch import fnmatchcase
 from typing import Iterable, Mapping
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -13,7 +15,10 @@ def _typed(name: str, kind: str, null_tokens: Iterable[str]) -> Column:
     text = F.when(~F.col(name).isin(*null_tokens), F.col(name))
     if kind == "int":
         # whole numbers are sometimes exported as 58.0
-        return text.cast("double").cast("int").alias(name)
+        number = text.cast("double")
+        whole = F.when(number == F.floor(number), number.cast("int"))
+        broken = F.raise_error(F.concat(F.lit(f"{name} is not a whole number: "), text)).cast("int")
+        return F.when(number.isNotNull(), F.coalesce(whole, broken)).alias(name)
     if kind == REAL:
         # NaN counts as greater than everything in comparisons, so it becomes null at the door
         number = text.cast("double")
@@ -47,7 +52,17 @@ def read_csv(
     return raw.select(*(_typed(c, types.get(c, "string"), tokens) for c in raw.columns))
 
 
+def matched_names(df: DataFrame, pattern: str) -> set[str]:
+    """Names of the files or folders of a frame's input that match a pattern."""
+    parts = (part for file in df.inputFiles() for part in unquote(file).split("/"))
+    return {part for part in parts if fnmatchcase(part, pattern)}
+
+
 def read_table(spark: SparkSession, base_path: str, spec: TableSpec) -> DataFrame:
+    """One table of the catalogue; more than one file or folder for its pattern raises."""
+    found = matched_names(spark.read.format("binaryFile").load(f"{base_path}/{spec.file}"), spec.file)
+    if len(found) > 1:
+        raise ValueError(f"{spec.name}: several exports match {spec.file}: {sorted(found)}")
     return read_csv(spark, f"{base_path}/{spec.file}", spec.types, spec.renames, spec.free_text)
 
 
@@ -82,15 +97,40 @@ def row_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
     return result
 
 
-def table_schema(df: DataFrame) -> DataFrame:
-    """Position, name and number of filled values of every column, in one pass over the frame."""
-    counts = df.agg(*(F.count(F.col(c)).alias(c) for c in df.columns))
+def table_schema(df: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
+    """Position, name, type and number of filled values of every column, in one pass over the frame."""
+    types = dict(df.dtypes)
+    names = list(columns or df.columns)
+    counts = df.agg(*(F.count(F.col(c)).alias(c) for c in names))
     entries = F.array(
         *(
             F.struct(
-                F.lit(i).alias("position"), F.lit(c).alias("column_name"), F.col(c).alias("filled")
+                F.lit(i).alias("position"),
+                F.lit(c).alias("column_name"),
+                F.lit(types[c]).alias("type"),
+                F.col(c).alias("filled"),
             )
-            for i, c in enumerate(df.columns, start=1)
+            for i, c in enumerate(names, start=1)
         )
     )
     return counts.select(F.inline(entries))
+
+
+def view_schema(tables: Mapping[str, DataFrame], columns: Iterable[str]) -> DataFrame:
+    """The schema of a view over several tables from the tables themselves, without joining them.
+
+    Each column is looked up in the first table that has it; ``filled`` counts the rows of that table.
+    """
+    names = list(columns)
+    owner = {c: next((t for t, df in tables.items() if c in df.columns), None) for c in names}
+    parts = []
+    for table, df in tables.items():
+        own = [c for c in names if owner[c] == table]
+        if own:
+            positions = F.create_map(*(x for c in own for x in (F.lit(c), F.lit(names.index(c) + 1))))
+            schema = table_schema(df, own).withColumn("position", positions[F.col("column_name")])
+            parts.append(schema.select("position", "column_name", F.lit(table).alias("table_name"), "type", "filled"))
+    result = parts[0]
+    for other in parts[1:]:
+        result = result.unionByName(other)
+    return result

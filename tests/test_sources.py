@@ -48,6 +48,22 @@ def test_catalog_with_rename_and_views(spark, tmp_path):
     assert dict(tables["orders"].dtypes)["order_purchase_timestamp"] == "timestamp_ntz"
 
 
+def test_broken_whole_numbers_raise(spark, tmp_path):
+    path = write(tmp_path / "w.csv", "n\n58.0\n58\nNA\n")
+    assert [r.n for r in readers.read_csv(spark, path, {"n": "int"}).collect()] == [58, 58, None]
+    path = write(tmp_path / "v.csv", "n\n58.7\n")
+    with pytest.raises(PySparkException):
+        readers.read_csv(spark, path, {"n": "int"}).collect()
+
+
+def test_two_exports_of_a_table_raise(spark, tmp_path):
+    for name in ("a_orders_dataset.csv", "b_orders_dataset.csv"):
+        write(tmp_path / name, "order_id,customer_id\n1,2\n")
+    orders = next(s for s in CATALOG if s.name == "orders")
+    with pytest.raises(ValueError):
+        readers.read_table(spark, str(tmp_path), orders)
+
+
 def test_only_free_text_tables_are_read_whole(spark):
     assert [spec.name for spec in CATALOG if spec.free_text] == ["order_reviews"]
 
@@ -72,4 +88,4 @@ def test_report_round_trip(spark, tmp_path, fmt):
 
 def test_table_schema_lists_columns(spark):
     df = spark.createDataFrame([(1, None), (2, "x")], "a int, b string")
-    assert [tuple(r) for r in readers.table_schema(df).collect()] == [(1, "a", 2), (2, "b", 1)]
+    assert [tuple(r) for r in readers.table_schema(df).collect()] == [(1, "a", "int", 2), (2, "b", "string", 1)]
