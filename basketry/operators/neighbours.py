@@ -8,7 +8,8 @@ Comparing every pair does not scale, so three steps narrow the pairs down and lo
    bound on the distance to its k-th neighbour. The curve only affects speed, never the result.
 3. Each point looks into the grid cells that its bound touches. The grid has one level per power
    of two and a point uses the level whose cells are just larger than its reach, so it looks into
-   at most two cells per dimension, in dense and sparse regions alike. Only pairs within the bound
+   at most two cells per dimension, in dense and sparse regions alike. At most three dimensions
+   are divided, so a lookup visits at most eight cells however many features there are. Only pairs within the bound
    leave the join, and only the k best per point and task enter the exchange after it.
 """
 
@@ -25,6 +26,8 @@ from basketry.session import cut_lineage
 
 LEVELS = 40
 MAX_CURVE_DIMENSIONS = 5
+# The grid divides the widest features only; the bound is checked on all of them.
+GRID_DIMENSIONS = 3
 CURVE_REACH = 2
 CELL_REACHES = 2
 # A grid cell with more points than this is split over several join keys.
@@ -83,10 +86,29 @@ def _with_bound(points: DataFrame, features: Sequence[str], k: int) -> DataFrame
     return near.select(*features, "copies", bound.alias("bound"))
 
 
-def _extent(points: DataFrame, features: Sequence[str]) -> tuple[list[float], float]:
+def _extent(points: DataFrame, features: Sequence[str]) -> tuple[dict[str, float], float]:
+    """Lower ends of the widest features, widest first, and the extent of the widest."""
     row = points.agg(*(f(c) for c in features for f in (F.min, F.max))).first()
-    lows, highs = list(row[0::2]), list(row[1::2])
-    return lows, max(h - low for low, h in zip(lows, highs)) or 1.0
+    lows, highs = dict(zip(features, row[0::2])), dict(zip(features, row[1::2]))
+    if row[0] is None:
+        return {f: 0.0 for f in list(features)[:GRID_DIMENSIONS]}, 1.0
+    widest = sorted(features, key=lambda f: lows[f] - highs[f])[:GRID_DIMENSIONS]
+    return {f: lows[f] for f in widest}, (highs[widest[0]] - lows[widest[0]]) or 1.0
+
+
+def _cell(x: Column, low: float, side: float, at_level: Column) -> Column:
+    """Grid cell of a coordinate; what lies outside the extent belongs to the outermost cell."""
+    cells = F.pow(F.lit(2.0), at_level)
+    place = F.floor((x - F.lit(low)) / F.lit(side) * cells)
+    return F.greatest(F.least(place, cells - 1), F.lit(0.0)).cast("bigint")
+
+
+def asked_cells(asked: DataFrame, lows: dict[str, float], side: float) -> DataFrame:
+    """A row per point and cell that its reach touches: at most two per divided feature."""
+    for d, (f, low) in enumerate(lows.items()):
+        ends = (_cell(F.col(f) + s * F.col("_reach"), low, side, F.col("_level")) for s in (-1, 1))
+        asked = asked.withColumn(f"_cell{d}", F.explode(F.sequence(*ends)))
+    return asked
 
 
 def _split_crowded_cells(
@@ -134,17 +156,8 @@ def nearest_neighbours(
     )
     asked = asked.withColumns({"bound": reach2, "_reach": reach, "_level": level.cast("int")})
 
-    def cell(x: Column, low: float, at_level: Column) -> Column:
-        return F.floor((x - F.lit(low)) / F.lit(side) * F.pow(F.lit(2.0), at_level)).cast("bigint")
-
-    asks = asked
-    for d, f in enumerate(features):
-        touched = F.sequence(
-            cell(F.col(f) - F.col("_reach"), lows[d], F.col("_level")),
-            cell(F.col(f) + F.col("_reach"), lows[d], F.col("_level")),
-        )
-        asks = asks.withColumn(f"_cell{d}", F.explode(touched))
-    cells = [f"_cell{d}" for d in range(len(features))]
+    asks = asked_cells(asked, lows, side)
+    cells = [f"_cell{d}" for d in range(len(lows))]
 
     # points are listed once per level that some query uses, at most LEVELS + 1
     used = sorted(r["_level"] for r in asked.select("_level").distinct().collect())
@@ -155,7 +168,7 @@ def nearest_neighbours(
         F.xxhash64(*features).alias("_hash"),
     )
     listed = listed.withColumns(
-        {f"_cell{d}": cell(F.col(f"p.{f}"), lows[d], F.col("_level")) for d, f in enumerate(features)}
+        {f"_cell{d}": _cell(F.col(f"p.{f}"), low, side, F.col("_level")) for d, (f, low) in enumerate(lows.items())}
     )
     asks = asks.select(F.struct(*features).alias("q"), "copies", "bound", "_level", *cells)
     asks, listed = _split_crowded_cells(asks, listed, ["_level", *cells], points.count())

@@ -75,11 +75,32 @@ class DelayModel:
 
 
 def fit_gbt(
-    train: DataFrame, features: Sequence[str], trees: int = 100, rate: float = 0.1, depth: int = 5, seed: int = 42
+    train: DataFrame,
+    features: Sequence[str],
+    trees: int = 100,
+    rate: float = 0.1,
+    depth: int = 5,
+    seed: int = 42,
+    fit_rows: int | None = None,
 ) -> GBTClassificationModel:
+    """Boosted trees on the training rows.
+
+    A fit passes over its rows once per tree and level. ``fit_rows`` bounds the rows it reads, about that many
+    taken by the hash of their key; by default all are read. Scoring is never bounded.
+    """
     classifier = GBTClassifier(
-        maxIter=trees, stepSize=rate, maxDepth=depth, seed=seed, labelCol="label", featuresCol="features"
+        maxIter=trees,
+        stepSize=rate,
+        maxDepth=depth,
+        seed=seed,
+        labelCol="label",
+        featuresCol="features",
+        checkpointInterval=-1,
+        maxMemoryInMB=1024,
     )
+    if fit_rows is not None:
+        share = min(1.0, fit_rows / max(1, train.count()))
+        train = train.where(hash_key(F.concat(F.lit("fit:"), F.col("row_key").cast("string"))) < int(share * 2**52))
     vectors = for_iterations(feature_vectors(train, features).select("features", "label")).persist()
     try:
         return classifier.fit(vectors)
@@ -102,19 +123,21 @@ def delivery_delay_model(
     train_share: float = 0.7,
     split_first: bool = False,
     seed: int = 42,
+    split_seed: int = 0,
+    fit_rows: int | None = None,
 ) -> DelayModel:
     """Balance the classes, split, fit boosted trees and score the test rows.
 
     Classes are balanced before the split, so synthetic rows reach the test rows too;
-    ``split_first`` balances the training rows only.
+    ``split_first`` balances the training rows only. ``fit_rows`` bounds the rows that the trees are fitted to.
     """
     rows = feature_rows(fact, wanted)
     features = [c for c in rows.columns if c not in ("is_late", "row_key")]
     if split_first:
-        train, test = train_test_split(rows, train_share=train_share)
+        train, test = train_test_split(rows, train_share=train_share, seed=split_seed)
         train = cut_lineage(smote_oversample(train, features, "is_late"))
     else:
         balanced = cut_lineage(smote_oversample(rows, features, "is_late"))
-        train, test = train_test_split(balanced, train_share=train_share)
-    model = fit_gbt(train, features, trees, seed=seed)
+        train, test = train_test_split(balanced, train_share=train_share, seed=split_seed)
+    model = fit_gbt(train, features, trees, seed=seed, fit_rows=fit_rows)
     return DelayModel(model, features, cut_lineage(score(model, test, features)))

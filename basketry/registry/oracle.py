@@ -261,8 +261,9 @@ def _hex(text: str, start: int, digits: int) -> str:
     return f"('0x' || substr({text}, {start}, {digits}))::BIGINT"
 
 
-def _smote() -> str:
-    key = " + ".join(
+def _oversampled(label: str, value: str, key: str = "0") -> str:
+    """CTE ``balanced``: the rows of the fact and the synthetic ones of the smaller class, with the number of the draw."""
+    scatter = " + ".join(
         f"CAST(floor({f} * 10000 + 0.5) AS HUGEINT) * {SCATTER_FACTORS[i]}" for i, f in enumerate(SMOTE_FEATURES)
     )
     f = ", ".join(SMOTE_FEATURES)
@@ -272,19 +273,19 @@ def _smote() -> str:
     order = ", ".join(f"p.{x}" for x in SMOTE_FEATURES)
     return f"""
 , feats AS MATERIALIZED (SELECT price, freight_value, CAST(delivery_time AS DOUBLE) AS delivery_time,
-  CAST({VERY_LATE} AS INTEGER) AS is_very_late FROM fact)
-, sizes AS (SELECT is_very_late, count(*) AS n FROM feats GROUP BY is_very_late)
-, small AS (SELECT is_very_late, n FROM sizes ORDER BY n, is_very_late LIMIT 1)
+  {value} AS {label}, {key} AS row_key FROM fact)
+, sizes AS (SELECT {label}, count(*) AS n FROM feats GROUP BY {label})
+, small AS (SELECT {label}, n FROM sizes ORDER BY n, {label} LIMIT 1)
 , keyed AS (
-  SELECT feats.*, {key} AS raw FROM feats WHERE is_very_late = (SELECT is_very_late FROM small)
+  SELECT feats.*, {scatter} AS raw FROM feats WHERE {label} = (SELECT {label} FROM small)
 )
 , minority AS MATERIALIZED (
   SELECT {f}, row_number() OVER (ORDER BY ((raw % {SCATTER_RANGE}) + {SCATTER_RANGE}) % {SCATTER_RANGE}, {f}) - 1 AS id
   FROM keyed
 )
 , draws AS (
-  SELECT id, h, {_hex('h', *RANK_DIGITS)} % 5 + 1 AS wanted
-  FROM (SELECT i % n AS id, md5(concat(i % n, ':', i // n)) AS h
+  SELECT draw, id, h, {_hex('h', *RANK_DIGITS)} % 5 + 1 AS wanted
+  FROM (SELECT i AS draw, i % n AS id, md5(concat(i % n, ':', i // n)) AS h
         FROM range((SELECT max(n) - min(n) FROM sizes)) r(i) CROSS JOIN small)
 )
 , bases AS MATERIALIZED (SELECT * FROM minority WHERE id IN (SELECT id FROM draws))
@@ -293,10 +294,28 @@ def _smote() -> str:
          row_number() OVER (PARTITION BY q.id ORDER BY {d2}, {order}) AS place
   FROM bases q JOIN minority p ON p.id <> q.id QUALIFY place <= 5
 )
-SELECT {f}, is_very_late, false AS synthetic FROM feats
-UNION ALL
-SELECT {made}, (SELECT is_very_late FROM small), true
-FROM draws JOIN bases q USING (id) JOIN ranked p ON p.id = draws.id AND p.place = draws.wanted"""
+, balanced AS (
+  SELECT {f}, {label}, false AS synthetic, row_key FROM feats
+  UNION ALL
+  SELECT {made}, (SELECT {label} FROM small), true, {_key("concat('synthetic:', draw)")}
+  FROM draws JOIN bases q USING (id) JOIN ranked p ON p.id = draws.id AND p.place = draws.wanted
+)"""
+
+
+def _key(text: str) -> str:
+    return _hex(f"md5({text})", 1, 13)
+
+
+def _smote() -> str:
+    rows = _oversampled("is_very_late", f"CAST({VERY_LATE} AS INTEGER)")
+    return f"{rows} SELECT {', '.join(SMOTE_FEATURES)}, is_very_late, synthetic FROM balanced"
+
+
+def _test_rows() -> str:
+    parts = ["order_id", "customer_unique_id", "seller_id"]
+    parts += [f"CAST(floor({f}::DOUBLE * 10000 + 0.5) AS BIGINT)" for f in SMOTE_FEATURES]
+    rows = _oversampled("is_late", "is_late", _key(f"concat_ws(':', {', '.join(parts)})"))
+    return f"{rows}, tests AS (SELECT * FROM balanced WHERE (row_key % 1000 * {SPLIT_FACTOR}) % 1000 >= 700)"
 
 
 ROLES = {
@@ -351,6 +370,7 @@ _SCALE = ", ".join(
     for m in ("recency", "frequency", "monetary", "satisfaction")
 )
 _MEASURES = ("recency", "frequency", "monetary", "satisfaction")
+_KEPT = _iqr_chain().removesuffix(" SELECT * FROM kept4")
 
 # fmt: off
 QUERIES: dict[str, str] = {
@@ -457,6 +477,12 @@ QUERIES: dict[str, str] = {
     "satisfaction_vs_price_box": box_stats("fact", "price", "review_score"),
     "satisfaction_stats": "SELECT review_score, " + ", ".join(f"round_even({mean(c, s)}, 6) AS {c}_mean, round_even(median({c}::DOUBLE), 6) AS {c}_median, round_even(stddev_samp({c}), 6) AS {c}_std" for c, s in (("delivery_time", 0), ("price", 4))) + ", count(order_id) AS order_rows FROM fact GROUP BY review_score ORDER BY review_score",
     "score_distribution": "SELECT review_score, count(*) AS row_count FROM fact GROUP BY review_score ORDER BY review_score",
+    "kmeans_segments_check": f"{_KEPT} SELECT customer_unique_id, {_SCALE}, true AS own_is_nearest, true AS cluster_known FROM kept4",
+    "customer_segments_check": f"{_KEPT} SELECT customer_unique_id, {', '.join(_MEASURES)}, true AS cluster_known FROM kept4",
+    "segment_summary_check": f"{_KEPT} SELECT count(*) AS customers, 4::BIGINT AS clusters, round(avg(monetary), 2) AS monetary_mean, true AS best_restart FROM kept4",
+    "scored_rows_check": f"{_test_rows()} SELECT {', '.join(SMOTE_FEATURES)}, is_late::DOUBLE AS label, true AS is_probability, true AS is_prediction FROM tests",
+    "feature_importance_check": f", x AS (SELECT unnest([{', '.join(repr(f) for f in SMOTE_FEATURES)}]) AS f WHERE (SELECT count(*) FROM fact) > 0) SELECT string_agg(f, ',' ORDER BY f) AS features, true AS adds_up, true AS falling FROM x",
+    "delivery_delay_model_check": f"{_test_rows()} SELECT is_late::DOUBLE AS label, count(*) AS support, true AS accurate FROM tests GROUP BY is_late",
 }
 # fmt: on
 

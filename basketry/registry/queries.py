@@ -370,6 +370,62 @@ def delay_report(fx: Fixture) -> DataFrame:
 
 
 
+def kmeans_check(fx: Fixture) -> DataFrame:
+    """What must hold for any fit: scaled values, and every customer in the cluster of the nearest centroid."""
+    found = fx.segmentation
+    nearest = scaling.nearest_centroid(found.customers.withColumnRenamed("cluster", "given"), segments.SCALED, found.centroids)
+    return nearest.select(
+        "customer_unique_id",
+        *(F.round(c, 6).alias(c) for c in segments.SCALED),
+        (F.col("cluster") == F.col("given")).alias("own_is_nearest"),
+        F.col("given").between(0, 3).alias("cluster_known"),
+    )
+
+
+def customer_segments_check(fx: Fixture) -> DataFrame:
+    customers = fx.segmentation.customers
+    return customers.select("customer_unique_id", *segments.MEASURES, F.col("cluster").between(0, 3).alias("cluster_known"))
+
+
+def segment_summary_check(fx: Fixture) -> DataFrame:
+    """All clusters together: sizes add up, weighted means are the mean of all, and the best restart was kept."""
+    found = fx.segmentation
+    summary = segments.cluster_summary(found.customers)
+    best = F.lit(found.cost == min(found.restart_costs) and len(found.restart_costs) == 10)
+    spend = F.sum(F.col("monetary_mean") * F.col("customers")) / F.sum("customers")
+    return summary.agg(
+        F.sum("customers").alias("customers"), F.count("*").alias("clusters"), F.round(spend, 2).alias("monetary_mean")
+    ).withColumn("best_restart", best)
+
+
+def scored_rows_check(fx: Fixture) -> DataFrame:
+    """The test rows of the delay model, and that scores and predictions are what they must be."""
+    model = fx.delay_model
+    return model.scored.select(
+        *model.features,
+        "label",
+        F.col("probability").between(0, 1).alias("is_probability"),
+        (F.col("prediction") == (F.col("probability") > 0.5).cast("double")).alias("is_prediction"),
+    )
+
+
+def feature_importance_check(fx: Fixture) -> DataFrame:
+    rows = fx.delay_model.feature_importance().collect()
+    shares = [r.importance for r in rows]
+    names = ",".join(sorted(r.feature for r in rows))
+    row = (names, abs(sum(shares) - 1) < 1e-5, shares == sorted(shares, reverse=True))
+    return fx.spark.createDataFrame([row], "features string, adds_up boolean, falling boolean")
+
+
+def delay_model_check(fx: Fixture) -> DataFrame:
+    """Support per class, and that the model is far better than chance."""
+    scored = fx.delay_model.scored
+    good = fx.delay_model.auc().first()["auc"] > 0.9
+    hits = F.avg((F.col("label") == F.col("prediction")).cast("double"))
+    accuracy = scored.agg(hits.alias("a")).first()["a"]
+    return scored.groupBy("label").agg(F.count("*").alias("support")).withColumn("accurate", F.lit(accuracy > 0.8 and good))
+
+
 def segment_summary(fx: Fixture) -> DataFrame:
     customers = fx.segmentation.customers
     profile = segments.cluster_frequencies(customers).groupBy("cluster").agg(
@@ -502,6 +558,13 @@ QUERIES: dict[str, Callable[[Fixture], DataFrame]] = {
     "satisfaction_stats": lambda fx: satisfaction.satisfaction_stats(fx.fact),
     "score_distribution": lambda fx: satisfaction.score_distribution(fx.fact),
     "delivery_delay_model": delay_report,
+    # what must hold for any fit, beside the fitted results
+    "kmeans_segments_check": kmeans_check,
+    "customer_segments_check": customer_segments_check,
+    "segment_summary_check": segment_summary_check,
+    "scored_rows_check": scored_rows_check,
+    "feature_importance_check": feature_importance_check,
+    "delivery_delay_model_check": delay_model_check,
 }
 # fmt: on
 

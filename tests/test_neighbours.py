@@ -50,6 +50,27 @@ def test_against_all_pairs_with_many_buckets_and_split_cells(spark, monkeypatch)
     assert got == brute(x, 3)
 
 
+def test_eight_features_visit_at_most_eight_cells(spark):
+    rng = np.random.default_rng(8)
+    names = [f"f{i}" for i in range(8)]
+    x = rng.uniform(0, 1, (150, 8)) * rng.uniform(1, 50, 8)
+    df = spark.createDataFrame(pd.DataFrame(x, columns=names))
+    got = {tuple(r[f] for f in names): set() for r in df.collect()}
+    for r in neighbours.neighbour_rows(df, names, 4).collect():
+        got[tuple(r[f] for f in names)].add((r["neighbour_rank"], round(r["distance2"], 9)))
+    for i, q in enumerate(x):
+        d = np.sort(((x - q) ** 2).sum(axis=1))[1:5]
+        assert got[tuple(q)] == {(k + 1, round(v, 9)) for k, v in enumerate(d)}
+    lows, side = neighbours._extent(df, names)
+    assert len(lows) == 3
+    level = F.floor(F.log2(F.lit(side) / (2 * F.col("_reach")))).cast("int")
+    asked = df.withColumn("_reach", F.lit(side / 40) + F.col("f0") * 0).withColumn("_level", level)
+    cells = neighbours.asked_cells(asked, lows, side)
+    assert cells.groupBy(*names).count().agg(F.max("count")).first()[0] <= 8
+    edges = cells.agg(*(F.min(f"_cell{d}") for d in range(3)), *(F.max(F.col(f"_cell{d}") - F.pow(F.lit(2.0), "_level")) for d in range(3))).first()
+    assert min(edges[:3]) >= 0 and max(edges[3:]) <= -1
+
+
 def test_equal_rows_are_neighbours_of_each_other(spark):
     x = np.array([[1.0, 1, 1]] * 3 + [[2.0, 1, 1], [9.0, 1, 1]])
     got = sorted(tuple(r) for r in neighbours.neighbour_rows(frame(spark, x), NAMES, 3).collect())
