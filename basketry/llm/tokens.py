@@ -12,6 +12,7 @@ twice leaves one whole file. Any file system that pyarrow can open will do; loca
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
 import uuid
@@ -32,6 +33,15 @@ CACHE_WORDS = 1_000_000
 RUN_BYTES = 1 << 22
 
 
+class _Numbers(dict):
+    """Numbers words in the order in which they are first asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = number = len(self)
+        self.fresh.append(word)
+        return number
+
+
 class WordTokens:
     """Ids of texts by a tokenizer, remembered word by word.
 
@@ -51,7 +61,8 @@ class WordTokens:
         self._reset()
 
     def _reset(self) -> None:
-        self.numbers: dict[bytes, int] = {}
+        self.numbers = _Numbers()
+        self.numbers.fresh = []
         self.pool = np.zeros(0, np.uint32)
         self.start = np.zeros(1, np.int64)
 
@@ -64,18 +75,11 @@ class WordTokens:
         if len(self.numbers) > CACHE_WORDS:
             self._reset()
         split = [t.split() for t in texts]  # bytes: splits at ASCII white space only
-        numbers, fresh = self.numbers, []
-        rows = np.zeros(sum(map(len, split)), np.int64)
-        at = 0
-        for found in split:
-            for word in found:
-                if word not in numbers:
-                    numbers[word] = len(numbers)
-                    fresh.append(word)
-            rows[at : at + len(found)] = [numbers[w] for w in found]
-            at += len(found)
-        if fresh:
-            self._learn(fresh)
+        words = itertools.chain.from_iterable(split)
+        rows = np.fromiter(map(self.numbers.__getitem__, words), np.int64, sum(map(len, split)))
+        if self.numbers.fresh:
+            self._learn(self.numbers.fresh)
+            self.numbers.fresh = []
         size = np.diff(self.start)[rows]
         ends = np.cumsum(size)
         inside = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - size, size)
