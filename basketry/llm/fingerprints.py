@@ -178,8 +178,8 @@ _COLUMNS = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerp
 
 
 def _compared(ids: list, texts: list[bytes], following: list[bytes], kind: pa.DataType) -> pa.RecordBatch:
-    plain = [t.decode() for t in texts]
-    changed = [edited(t, n.decode()).encode() for t, n in zip(plain, following)]
+    plain = [t.decode(errors="replace") for t in texts]
+    changed = [edited(t, n.decode(errors="replace")).encode() for t, n in zip(plain, following)]
     own, new = [digests(t) for t in texts], [digests(t) for t in changed]
     # the following text is mostly the next one here
     known = {id(t): d for t, d in zip(texts, own)}

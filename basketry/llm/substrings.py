@@ -128,8 +128,8 @@ def _listed(groups: Anchors, place: np.ndarray, lists: list) -> np.ndarray:
     return np.flatnonzero(np.isin(groups.text * wide + place, np.concatenate(wanted)))
 
 
-def repeated(docs: DataFrame, doc_id: str, text: str, span: int = SPAN, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
-    """(keys, verdicts): how to key ``docs``, and per key the groups and single windows that are repeated."""
+def repeated(docs: DataFrame, doc_id: str, text: str, span: int = SPAN, rounds: int = ROUNDS) -> DataFrame:
+    """(at, mark, done, starts): per id and text, the groups and the single windows that an earlier document has."""
     at = F.coalesce(F.col(doc_id).cast("bigint"), F.lit(_LAST)).alias("at")
     mark = _mark(text).alias("mark")
     keyed = docs.select(at, mark, text_bytes(F.col(text)).alias("text"))
@@ -159,7 +159,7 @@ def repeated(docs: DataFrame, doc_id: str, text: str, span: int = SPAN, rounds:
     single = windows.join(again, ["name", "hash"]).where("first < at")
     single = settled(single.groupBy("at", "mark").agg(F.collect_set("start").alias("starts")))
     verdicts = groups.where(F.size("done") > 0).select("at", "mark", "done").join(single, ["at", "mark"], "full")
-    return keyed, settled(verdicts)
+    return settled(verdicts)
 
 
 def deduplicated(
@@ -171,7 +171,7 @@ def deduplicated(
     Rows with the same id never count as earlier than each other, be they equal or not. Null ids count as
     one id after all others. An empty table gives an empty table.
     """
-    _, verdicts = repeated(docs, doc_id, text, span, rounds)
+    verdicts = repeated(docs, doc_id, text, span, rounds)
     names = docs.columns
     counts = [fresh_name(docs, "n_words"), fresh_name(docs, "n_removed")]
     a, m, d, s = (fresh_name(docs, n) for n in ("_at", "_mark", "_done", "_starts"))

@@ -69,7 +69,7 @@ class WordTokens:
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, ids per text), without end marks."""
         if not self.by_word:
-            found = self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
+            found = self.tokenizer.encode_batch_fast([t.decode(errors="replace") for t in texts], add_special_tokens=False)
             ids = [np.array(e.ids, np.uint32) for e in found]
             return np.concatenate(ids or [np.zeros(0, np.uint32)]), np.array([len(i) for i in ids], np.int64)
         if len(self.numbers) > CACHE_WORDS:
@@ -91,7 +91,7 @@ class WordTokens:
         """Encode new words in lines of many; the offsets of the ids tell which word they belong to."""
         pools, sizes = [self.pool], []
         for at in range(0, len(fresh), 2000):
-            found = [w.decode() for w in fresh[at : at + 2000]]
+            found = [w.decode(errors="replace") for w in fresh[at : at + 2000]]
             encoded = self.tokenizer.encode(" ".join(found), add_special_tokens=False)
             starts = np.cumsum([0] + [len(w) + 1 for w in found[:-1]])
             place = np.fromiter((a for a, _ in encoded.offsets), np.int64, len(encoded.ids))
