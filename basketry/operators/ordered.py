@@ -12,7 +12,7 @@ from typing import Sequence
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-BUCKETS = 4096
+BUCKETS = 16_384
 ROWS_PER_BUCKET = 20_000
 
 

@@ -15,7 +15,7 @@ SPLIT_FACTOR = 7919
 RANK_DIGITS, GAP_DIGITS = (1, 8), (9, 8)
 SCATTER_FACTORS = (7919, 104729, 1299709)
 SCATTER_RANGE = 1_000_003
-NUMBERING_BUCKETS = 1024
+NUMBERING_BUCKETS = 16_384
 DRAWS_PER_CHUNK = 10_000
 DRAWS_PER_TASK = 500_000
 

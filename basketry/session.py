@@ -17,8 +17,13 @@ ADAPTIVE_SETTINGS = {
 }
 
 
+_scratch_folders: set[str] = set()
+
+
 def build_session(app_name: str = "basketry", master: str | None = None, **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app_name)
+    # checkpoint files go when nothing refers to them any more
+    builder = builder.config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     if master:
         builder = builder.master(master)
     for key, value in conf.items():
@@ -50,8 +55,15 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, *parts: str) -> str:
-    """A path under the shared folder that belongs to this application."""
-    return "/".join([shared_root(spark), "basketry", spark.sparkContext.applicationId, *parts])
+    """A path under the shared folder that belongs to this application and goes when its driver ends."""
+    base = "/".join([shared_root(spark), "basketry", spark.sparkContext.applicationId])
+    if base not in _scratch_folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(base)
+        system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        system.mkdirs(path)
+        system.deleteOnExit(path)
+        _scratch_folders.add(base)
+    return "/".join([base, *parts])
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ from basketry.plans import dashboard, delay, exploration, retention, satisfactio
 from basketry.plans.prepare import prepared_fact
 from basketry.registry import tpch
 from basketry.session import build_session, scratch_path
-from basketry.sources import sinks
+from basketry.sources import readers, sinks
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
@@ -67,7 +67,11 @@ def run(spark: SparkSession, sf_dir: str, trees: int) -> dict[str, float]:
 
     name = os.path.basename(sf_dir)
     tables = tpch.sales_tables(spark, sf_dir)
-    timed("import_tables", lambda: sinks.import_tables(tables.as_views(), scratch_path(spark, name, "import")))
+    export = tpch.write_csv_catalog(spark, sf_dir, scratch_path(spark, name, "export"))
+    timed(
+        "import_tables",
+        lambda: sinks.import_tables(readers.load_catalog(spark, export), scratch_path(spark, name, "import")),
+    )
     fact = timed("prepared_fact", lambda: prepared_fact(tables, path=scratch_path(spark, name, "fact")))
     for step_name, step in reports(fact, tpch.regions(spark, sf_dir), trees).items():
         timed(step_name, step)

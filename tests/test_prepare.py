@@ -83,3 +83,20 @@ def test_merged_view_multiplies(spark):
     assert rows.count() == 2
     lone = tables.orders.select(F.lit("none").alias("order_id"))
     assert joins.left_join_reviews(lone, tables.order_reviews).first()["review_score"] is None
+
+
+def test_scratch_goes_with_the_driver(tmp_path):
+    """A driver of its own writes into the shared folder and leaves nothing there."""
+    import subprocess
+    import sys
+
+    code = (
+        "from basketry.session import build_session, scratch_path\n"
+        f"s = build_session('t', 'local[1]', spark__ui__enabled='false', spark__checkpoint__dir='file://{tmp_path}')\n"
+        "p = scratch_path(s, 'x')\n"
+        "s.range(3).write.parquet(p)\n"
+        "assert s.read.parquet(p).count() == 3\n"
+        "s.stop()\n"
+    )
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=120, cwd=".")
+    assert not [f for f in tmp_path.rglob("*") if f.is_file()]
