@@ -7,13 +7,14 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_points
+from basketry.registry import oracle, queries
 
 SF_DIR = "/root/testdata/sf0.001"
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables")
 
-QUERIES, ORACLE = entry_points.queries(), entry_points.oracle_sql()
-# fitted models have no SQL; their properties are tested in test_models
+QUERIES, ORACLE = queries.registered(), oracle.registered()
+# fitted models have no SQL; what must hold for them has, in the queries named _check
 WITHOUT_SQL = {
     "customer_segments",
     "delivery_delay_model",
@@ -62,6 +63,10 @@ def test_against_sql(spark, database, name):
     assert not wrong, wrong[:3]
 
 
+def test_entry_points_have_every_query():
+    assert set(QUERIES) <= set(entry_points.queries()) and set(ORACLE) <= set(entry_points.oracle_sql())
+
+
 def test_entry(spark):
     assert entry_points.entry(spark).columns == ["order_month", "order_count"]
 
