@@ -95,7 +95,6 @@ def fit_gbt(
         seed=seed,
         labelCol="label",
         featuresCol="features",
-        checkpointInterval=-1,
         maxMemoryInMB=1024,
     )
     if fit_rows is not None:
