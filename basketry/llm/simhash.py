@@ -14,6 +14,8 @@ first of them is linked to the rest. That is linear in the group and loses no li
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -133,15 +135,20 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     Other columns are not read; an empty table gives an empty table.
     """
     prints = cut_lineage(with_fingerprints(docs, doc_id, text))
-    distinct = cut_lineage(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    rooted = _rooted(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    classes = cut_lineage(rooted.join(smallest, "root").select("fp", "component_id"))
+    return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
+
+
+def _rooted(distinct: DataFrame) -> DataFrame:
+    """(fp, first, root) per row of ``distinct`` (fp, first), one row per fingerprint; the root names the component."""
+    distinct = cut_lineage(distinct)
     found = cut_lineage(connected_components(links(distinct.select("fp"))))
     rooted = distinct.join(found, distinct["fp"] == found["node"], "left").select(
         "fp", "first", F.coalesce("root", "fp").alias("root")
     )
-    rooted = cut_lineage(rooted)
-    smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = cut_lineage(rooted.join(smallest, "root").select("fp", "component_id"))
-    return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
+    return cut_lineage(rooted)
 
 
 def hex_digits(fp: Column) -> Column:
@@ -149,14 +156,30 @@ def hex_digits(fp: Column) -> Column:
 
 
 def first_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, that stay when one document of each component does: the smallest
-    id, and of rows that repeat this id the first by text. Null ids come last."""
-    key = fresh_name(docs, "_key")
-    keyed = docs.withColumn(key, F.coalesce(F.col(doc_id), F.lit((1 << 63) - 1)))
-    classes = near_duplicates(keyed.select(key, text), key, text)
-    kept = classes.where("doc_id = component_id").select(F.col("doc_id").alias(key)).distinct()
-    rank = fresh_name(keyed, "_rank")
-    # same key as the join, so no further exchange
-    order = Window.partitionBy(key).orderBy(F.col(text).asc_nulls_last())
-    chosen = keyed.join(kept, key, "left_semi")
-    return chosen.withColumn(rank, F.row_number().over(order)).where(F.col(rank) == 1).drop(rank, key)
+    """The rows of ``docs``, all columns, that stay when one row of each component does: that with the smallest
+    id, and of rows that share this id the first by the hash of the text. Null ids come last.
+
+    Ids choose inside a component only, so rows without an id or with a repeated one stay if their texts are unrelated.
+    """
+    a, b = fresh_name(docs, "_mark_a"), fresh_name(docs, "_mark_b")
+    # 128 bits that stand for the whole row; maps and variants cannot be hashed
+    plain = [F.col(f"`{f.name}`") for f in docs.schema if not re.search("map<|variant", f.dataType.simpleString())]
+    absent = [c.isNull().cast("int") for c in plain]  # a null leaves a hash as it is
+    marked = docs.withColumns({a: F.xxhash64(*plain, *absent), b: F.xxhash64(F.lit(SEED), *absent, *plain)})
+    order = F.struct(
+        F.col(doc_id).isNull().alias("absent"), F.col(doc_id).alias("id"), F.xxhash64(text).alias("of_text"),
+        F.col(a).alias("a"), F.col(b).alias("b"),
+    )
+    slim = marked.select(order.alias("row"), F.col(text).alias("text"))
+    prints = cut_lineage(with_fingerprints(slim, "row", "text"))
+    rooted = _rooted(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.a").alias(a), F.col("first.b").alias(b))
+    kept = cut_lineage(kept)
+    repeated = prints.groupBy(F.col("doc_id.a").alias(a), F.col("doc_id.b").alias(b)).agg(F.count("*").alias("n"))
+    repeated = cut_lineage(repeated.where("n > 1").select(a, b))
+    if repeated.isEmpty():
+        return marked.join(kept, [a, b], "left_semi").drop(a, b)
+    # rows that are the same in every column: one of them, combined before the exchange
+    single = marked.join(kept.join(repeated, [a, b], "left_anti"), [a, b], "left_semi")
+    several = marked.join(kept.join(repeated, [a, b], "left_semi"), [a, b], "left_semi").dropDuplicates([a, b])
+    return single.union(several).drop(a, b)

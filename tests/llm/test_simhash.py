@@ -95,6 +95,20 @@ def test_nulls_ties_and_empty_tables(spark):
     assert simhash.near_duplicates(empty).count() == 0 and simhash.first_of_each(empty).count() == 0
 
 
+def test_rows_without_an_id_or_with_a_repeated_one_stay(spark):
+    def text(seed):
+        rng = random.Random(seed)
+        return " ".join(f"w{rng.randrange(500)}" for _ in range(60))
+
+    rows = [(None, text(i), "en", None, None) for i in range(20)]  # unrelated, no id
+    rows += [(5, text(i), "en", None, None) for i in range(30, 34)]  # unrelated, one id
+    rows += [(1, text(33), "en", None, None), (None, text(32), None, "b", None)]  # a smaller id, a copy without one
+    rows += [(None, text(40), None, None, "z")] * 3 + [(6, text(41), x, None, None) for x in ("de", None, "en")]
+    got = simhash.first_of_each(spark.createDataFrame(rows, SCHEMA).repartition(4)).collect()
+    expected = {(None, text(i)) for i in (*range(20), 40)} | {(5, text(i)) for i in (30, 31, 32)} | {(1, text(33)), (6, text(41))}
+    assert {(r.doc_id, r.text) for r in got} == expected and len(got) == len(expected)
+
+
 def test_components_of_chains_and_hubs(spark):
     edges = [(i, i + 1) for i in range(0, 50)] + [(100, i) for i in range(101, 160)] + [(7, 7), (None, 3), (3, 2)]
     found = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
