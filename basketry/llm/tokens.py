@@ -15,6 +15,7 @@ from __future__ import annotations
 import itertools
 import json
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -46,7 +47,7 @@ class WordTokens:
     """Ids of texts by a tokenizer, remembered word by word.
 
     Only for tokenizers whose ids do not depend on what stands beyond white space; for others every text
-    is encoded as it is.
+    is encoded as it is. Strings of special tokens are ordinary text here; see ``TextTokens``.
     """
 
     def __init__(self, path: str):
@@ -102,6 +103,45 @@ class WordTokens:
         self.start = np.concatenate((self.start, self.start[-1] + np.cumsum(np.concatenate(sizes))))
 
 
+class TextTokens(WordTokens):
+    """Ids as the library gives them with ``add_special_tokens=False``: the string of a special token in a text is
+    that token. Texts that hold the string of an added token are encoded whole, the others word by word.
+    """
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        super().__init__(path)
+        self.whole = Tokenizer.from_file(path)
+        self.whole.no_truncation()
+        self.whole.no_padding()
+        added = sorted(self.whole.get_added_tokens_decoder().values(), key=lambda t: t.content)
+        # tokens sought in the normalized text can look different in the text itself: no cache then
+        self.by_word = self.by_word and not any(t.normalized for t in added)
+        self.added = re.compile(b"|".join(re.escape(t.content.encode()) for t in added)) if added else None
+
+    def _whole(self, texts: list[bytes]) -> list[np.ndarray]:
+        found = self.whole.encode_batch_fast([t.decode(errors="replace") for t in texts], add_special_tokens=False)
+        return [np.array(e.ids, np.uint32) for e in found]
+
+    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        if not self.by_word:
+            special = list(range(len(texts)))
+        else:
+            special = [i for i, t in enumerate(texts) if self.added and self.added.search(t)]
+            if not special:
+                return super().encode(texts)
+        pieces: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(texts)
+        for i, ids in zip(special, self._whole([texts[i] for i in special])):
+            pieces[i] = ids
+        rest = sorted(set(range(len(texts))) - set(special))
+        if rest:
+            ids, counts = super().encode([texts[i] for i in rest])
+            for i, part in zip(rest, np.split(ids, np.cumsum(counts)[:-1])):
+                pieces[i] = part
+        return np.concatenate([np.zeros(0, np.uint32), *pieces]), np.array([len(p) for p in pieces], np.int64)
+
+
 def splits_at_space(spec: dict) -> bool:
     """True if a tokenizer drops white space first, so that every word is encoded by itself."""
     step = spec.get("pre_tokenizer") or {}
@@ -125,13 +165,13 @@ def splits_at_space(spec: dict) -> bool:
     )
 
 
-_tokenizers: dict[str, WordTokens] = {}
+_tokenizers: dict[str, TextTokens] = {}
 
 
-def tokenizer_at(path: str) -> WordTokens:
+def tokenizer_at(path: str) -> TextTokens:
     """The tokenizer of this worker; its memory of words lasts over tasks."""
     if path not in _tokenizers:
-        _tokenizers[path] = WordTokens(path)
+        _tokenizers[path] = TextTokens(path)
     return _tokenizers[path]
 
 

@@ -61,3 +61,18 @@ def test_words_are_encoded_as_in_their_text(monkeypatch):
         cuts = np.cumsum(counts)[:-1]
         assert [x.tolist() for x in np.split(ids, cuts)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
     assert not tokens.WordTokens(public_tokenizers.path("byte_bpe_50k.json")).by_word
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_strings_of_special_tokens_give_their_ids(spark, tmp_path, name):
+    path = public_tokenizers.path(name)
+    texts = ["hello <|endoftext|> world", "plain words", "<|startoftext|>a<|endoftext|>b <|endoftext|", "", "<|ENDOFTEXT|> x", None, "last  one"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    tokens.write_tokens(frame, f"{tmp_path}/s", path)
+    coder = Tokenizer.from_file(path)
+    expected = [[*coder.encode(t or "", add_special_tokens=False).ids, 2] for t in texts]
+    got = sorted(tokens.read_tokens(spark, f"{tmp_path}/s").collect())
+    starts = np.cumsum([0] + [len(e) for e in expected[:-1]]).tolist()
+    assert [tuple(r) for r in got] == [(i, at, len(e), crc(e)) for i, (at, e) in enumerate(zip(starts, expected))]
+    ids, counts = tokens.TextTokens(path).encode([(t or "").encode() for t in texts])
+    assert ids.tolist() == [x for e in expected for x in e[:-1]] and counts.tolist() == [len(e) - 1 for e in expected]
