@@ -52,6 +52,16 @@ NOT_ARTICLE = frozenset(
     "share sharing sidebar signup skip skyscraper social sponsor sponsored subscribe subscription toolbar topbar "
     "complementary contentinfo alert".split()
 )
+# What may stand beside them in the name of a widget; inside an article only whole names count ("ad-box", not "tag-search").
+PARTS = frozenset(
+    "area bar block box button buttons container content form icons inner item items label layer left link links list "
+    "module outer panel post posts right section slot top bottom thread unit widget widgets wrap wrapper".split()
+)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+# Ids that mark a section of an article; others are the slugs of its title ("discussion", "related-work").
+SECTION_IDS = frozenset("comments respond replies disqus".split())
+# Text from which a form that holds most of a page is the page, whatever fields it has.
+FORM_CHARS = 200
 HEADERS = frozenset("header masthead".split())
 MAIN = frozenset("article main".split())
 # "has-sidebar" says something about the page, not about the element.
@@ -100,12 +110,31 @@ def _label(tag: str, attributes: str) -> tuple[str, set[str]]:
     return ".".join([tag, *sorted(set(classes))]), words
 
 
+def _widget(tag: str, attributes: str) -> bool:
+    """True if an element inside an article, or an article itself, has the whole name of what is not the article."""
+    if tag in HEADINGS:
+        return False
+    found = [(key.lower(), (a or b or c).split()) for key, a, b, c in _ATTRIBUTE.findall(attributes or "")]
+    section = tag == "section" or any("section" in names for key, names in found if key == "class")
+    for key, names in found:
+        for name in names:
+            words = {w.lower() for w in _WORDS.findall(name)}
+            if key == "id" and tag in MAIN or key == "id" and section and not words <= SECTION_IDS:
+                continue
+            if words & NOT_ARTICLE and words <= NOT_ARTICLE | PARTS:
+                return True
+    return False
+
+
 def blocks(page: str) -> tuple[list[Block], list[str]]:
     """The blocks of a page in order and its stream of block tokens, ``<label``, ``>`` and ``#`` for text."""
     found: list[Block] = []
     stream: list[str] = []
-    # tag, label, outside, main
-    stack: list[tuple[str, str, bool, bool]] = []
+    # tag, label, outside, main, number of the form
+    stack: list[tuple[str, str, bool, bool, int]] = []
+    # per form: has fields, holds an article
+    forms: list[list[bool]] = []
+    form_of: list[int] = []
     block: Block | None = None
     link = False
 
@@ -114,6 +143,11 @@ def blocks(page: str) -> tuple[list[Block], list[str]]:
             stack.pop()
             stream.append(">")
 
+    def leave_head() -> None:
+        """Text and block elements end a head that was left open."""
+        if stack and stack[-1][0] == "head":
+            close(len(stack) - 1)
+
     at, size = 0, len(page)
     while at < size:
         m = _TOKEN.match(page, at)
@@ -126,15 +160,19 @@ def blocks(page: str) -> tuple[list[Block], list[str]]:
             if block is None:
                 if not token.strip():
                     continue
-                above = stack[-1] if stack else ("", "", False, False)
+                leave_head()
+                above = stack[-1] if stack else ("", "", False, False, -1)
                 block = Block(tuple(s[1] for s in stack), above[2], above[3])
                 found.append(block)
+                form_of.append(above[4])
                 stream.append("#")
             block.pieces.append(token)
             if link:
                 block.links += len(token)
             continue
         tag = tag.lower()
+        if tag in ("input", "textarea", "select") and stack and stack[-1][4] >= 0 and "hidden" not in token.lower():
+            forms[stack[-1][4]][0] = True
         end = bool(m.group(1) or m.group(4))
         if not end and tag in RAW:
             over = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(page, at)
@@ -156,6 +194,7 @@ def blocks(page: str) -> tuple[list[Block], list[str]]:
                     close(depth)
                     break
             continue
+        leave_head()
         if stack and stack[-1][0] == "p":
             close(len(stack) - 1)
         if tag in CLOSES:
@@ -169,15 +208,32 @@ def blocks(page: str) -> tuple[list[Block], list[str]]:
         if tag in VOID:
             continue
         label, words = _label(tag, m.group(3) or m.group(6) or "")
-        above = stack[-1] if stack else ("", "", False, False)
-        marked = tag not in ("html", "body") and (tag in OUTSIDE or bool(words & NOT_ARTICLE))
-        if not above[3] and (tag == "header" or words & HEADERS) and tag not in ("html", "body"):
+        above = stack[-1] if stack else ("", "", False, False, -1)
+        form = above[4]
+        if tag == "form" and form < 0:
+            form = len(forms)
+            forms.append([False, False])
+        named = _widget(tag, m.group(3) or m.group(6)) if above[3] or tag in MAIN else bool(words & NOT_ARTICLE)
+        marked = tag not in ("html", "body", "form") and (tag in OUTSIDE or named)
+        if tag == "form" and words & NOT_ARTICLE:
+            marked = True
+        if not above[3] and tag not in MAIN and (tag == "header" or words & HEADERS) and tag not in ("html", "body"):
             marked = True
         outside = above[2] or marked
         main = not outside and (above[3] or tag in MAIN or "main" in words and tag != "body" or "articlebody" in words)
-        stack.append((tag, label, outside, main))
+        if main and not above[3] and form >= 0:
+            forms[form][1] = True
+        stack.append((tag, label, outside, main, form))
         stream.append("<" + label)
     close(0)
+    if forms:
+        sizes = [0 if b.outside else len(b.text()) for b in found]
+        for number, (fields, article) in enumerate(forms):
+            held = sum(n for n, f in zip(sizes, form_of) if f == number)
+            if article or 2 * held >= sum(sizes) and (held >= FORM_CHARS or not fields):
+                continue  # the form is around the page
+            for block, f in zip(found, form_of):
+                block.outside = block.outside or f == number
     return found, stream
 
 

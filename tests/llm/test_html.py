@@ -72,3 +72,17 @@ def test_wrapper_is_a_union_free_expression(spark):
     found = html.host_wrappers(html._observed(frame)).collect()
     assert [(r.host, r.pages) for r in found] == [("f.org", 40)]
     assert html.as_expression(json.loads(found[0].wrapper)) == "<body>(<h1>(#) <p>(#)*)"
+
+
+def test_article_with_slugs_head_and_form_around_it(spark):
+    words = "Many words of the one story that this page tells. " * 6
+    rows = [
+        ("http://g.org/1", "<article><h2 id='related-work'>Related work</h2><p>a</p><section id='discussion'><p>b</p></section>"
+         "<div class='comment-list'><p>c</p></div><div class='tag-search'><p>d</p></div></article>"),
+        ("http://g.org/2", "<article class='post tag-search category-promotion'><p>text</p></article>"),
+        ("http://g.org/3", "<html><head><title>t</title><meta charset=x><body><p>text</p></body></html>"),
+        ("http://i.org/4", f"<body><form action=x><input type=hidden name=v><div><p>{words}</p></div><input name=q></form></body>"),
+        ("http://j.org/5", "<body><form action=x><main><p>short</p></main><input name=q></form></body>"),
+        ("http://k.org/6", "<body><p>text of a page</p><form><p>your mail</p><input name=q></form></body>"),
+    ]
+    assert texts(spark, rows) == ["Related work a b d", "text", "text", words.strip(), "short", "text of a page"]
