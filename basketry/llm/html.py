@@ -314,39 +314,48 @@ def as_expression(wrapper: Wrapper) -> str:
     )
 
 
+def mostly_links(block: Block, text: str) -> bool:
+    return block.links > 0.5 * max(1, len(text))
+
+
 def _observed(pages: DataFrame) -> DataFrame:
-    """Per host and key of ``pages`` (host, html): page streams as wrappers (kind 1) and text slots by their path (kind 0), with sums."""
+    """Per host and key of ``pages`` (host, html): page streams as wrappers (kind 1) and, of pages without an article
+    or main element, text slots by their path (kind 0), with sums. ``pages`` has a bit for the digest of every page: as
+    many bits are as many different pages at least, however often each is repeated."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         sums: dict[tuple, list] = {}
         for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             found, stream = blocks(page or "")
             key = (host, 1, json.dumps(wrapper_of(stream)))
-            sums.setdefault(key, [0, 0, 0, 0, 0])[0] += 1
-            for block in found:
-                if block.outside:
-                    continue
-                text = block.text()
+            sums.setdefault(key, [0, 0, 0, 0, 0, 0])[0] += 1
+            shown = [b for b in found if not b.outside]
+            if any(b.main for b in shown):
+                continue  # the page names its article itself
+            texts = [b.text() for b in shown]
+            digest = xxhash.xxh3_64_intdigest("\n".join([*stream, *texts]).encode("utf-8", "replace"))
+            for block, text in zip(shown, texts):
                 mark = xxhash.xxh3_64_intdigest(text.encode("utf-8", "replace")) >> 1
-                row = sums.setdefault((host, 0, "\n".join(block.path)), [0, 0, 0, mark, mark])
+                row = sums.setdefault((host, 0, "\n".join(block.path)), [0, 0, 0, mark, mark, 0])
                 row[0] += 1
                 row[1] += len(text)
-                row[2] += min(block.links, len(text))
+                row[2] += len(text) if mostly_links(block, text) else 0
                 row[3], row[4] = min(row[3], mark), max(row[4], mark)
+                row[5] |= 1 << digest % 63
         keys = list(sums)
         columns = [
             pa.array([k[0] for k in keys], pa.string()),
             pa.array([k[1] for k in keys], pa.int32()),
             pa.array([k[2] for k in keys], pa.string()),
-            *(pa.array([sums[k][i] for k in keys], pa.int64()) for i in range(5)),
+            *(pa.array([sums[k][i] for k in keys], pa.int64()) for i in range(6)),
         ]
-        return pa.RecordBatch.from_arrays(columns, ["host", "kind", "key", "n", "chars", "links", "low", "high"])
+        return pa.RecordBatch.from_arrays(columns, ["host", "kind", "key", "n", "chars", "links", "low", "high", "pages"])
 
-    schema = "host string, kind int, key string, n bigint, chars bigint, links bigint, low bigint, high bigint"
+    schema = "host string, kind int, key string, n bigint, chars bigint, links bigint, low bigint, high bigint, pages bigint"
     rows = arrow_pass(pages.select("host", "html"), work, schema)
     return rows.groupBy("host", "kind", "key").agg(
         F.sum("n").alias("n"), F.sum("chars").alias("chars"), F.sum("links").alias("links"),
-        F.min("low").alias("low"), F.max("high").alias("high"),
+        F.min("low").alias("low"), F.max("high").alias("high"), F.bit_or("pages").alias("pages"),
     )
 
 
@@ -387,42 +396,33 @@ def host_wrappers(observed: DataFrame) -> DataFrame:
 
 
 def article_rule(wrapper: Wrapper, slots: list[dict]) -> dict:
-    """Where the article of a host is: paths it starts at, and paths inside that are not part of it.
+    """Where the article is on pages of a host that have no article or main element: the element it stands in, and
+    slots inside that are not part of it.
 
-    If the wrapper has an article or main element, that is the article. Otherwise it is the deepest element
-    with most of the text that differs between pages and is not links.
+    It is the deepest element with all the text that differs between pages and is not links. A slot is constant if
+    CONSTANT_PAGES different pages have it with one text; copies of a page say nothing about it.
     """
-    paths = _paths(wrapper)
-    mains = sorted({p for p in paths if p and p[-1].split(".")[0] in MAIN and not _marked(p)})
-    mains = [p for p in mains if not any(p[:k] in mains for k in range(1, len(p)))]
-    skip, mass = [], {}
-    total = 0
-    for slot in slots:
-        path = tuple(slot["key"].split("\n")) if slot["key"] else ()
-        linked = slot["links"] > 0.9 * slot["chars"] > 0
-        inside = any(path[: len(m)] == m for m in mains)
-        constant = slot["n"] >= CONSTANT_PAGES and slot["low"] == slot["high"]
-        if inside and linked and any(x.split(".")[0] in ("li", "ul", "ol") for x in path):
+    sums = {tuple(s["key"].split("\n")) if s["key"] else (): s for s in slots}
+    skip, places = [], []
+    # no label stands twice in a level of the wrapper, so a path names one slot
+    for path in [(), *_paths(wrapper)]:
+        slot = sums.get(path)
+        if slot is None:
+            continue
+        if slot["pages"].bit_count() >= CONSTANT_PAGES and slot["low"] == slot["high"]:
             skip.append(path)
-        if not mains:
-            if constant or slot["links"] > 0.5 * slot["chars"]:
-                skip.append(path)
-                continue
-            total += slot["chars"]
-            for k in range(len(path) + 1):
-                mass[path[:k]] = mass.get(path[:k], 0) + slot["chars"]
-    if not mains and mass:
-        rich = [p for p, c in mass.items() if c >= 0.7 * total]
-        mains = [max(rich, key=lambda p: (len(p), p))]
+        elif slot["chars"] > slot["links"]:
+            places.append(path)
+    mains = []
+    if places:
+        first, last = min(places), max(places)
+        depth = next((k for k, (x, y) in enumerate(zip(first, last)) if x != y), min(len(first), len(last)))
+        mains = [first[:depth]]
         if mains[0] and mains[0][-1].split(".")[0] in ("p", "li", "h1", "h2", "h3", "td", "blockquote", "pre"):
             mains = [mains[0][:-1]]
     return {"main": sorted("\n".join(p) for p in mains), "skip": sorted("\n".join(p) for p in skip)}
 
 
-def _marked(path: tuple[str, ...]) -> bool:
-    return any(set(x.split(".")) & (NOT_ARTICLE | OUTSIDE) for x in path if x.split(".")[0] not in ("html", "body"))
-
-
 def _paths(wrapper: Wrapper) -> list[tuple[str, ...]]:
     found = []
     todo = [((), wrapper)]
@@ -438,8 +438,8 @@ def _paths(wrapper: Wrapper) -> list[tuple[str, ...]]:
 def article_text(page: str | None, rule: dict | None) -> str:
     """The main text of one page under the rule of its host; empty if there is none.
 
-    A page without the places the rule names goes by its own article or main element, and without one by all
-    text outside marked elements that is not mostly links.
+    A page with an article or main element goes by that. Without one the rule decides, and where a page has not the
+    places it names, all text outside marked elements; what is mostly links on this page goes.
     """
     found, _ = blocks(page or "")
     found = [b for b in found if not b.outside]
@@ -448,11 +448,9 @@ def article_text(page: str | None, rule: dict | None) -> str:
     own = [b for b in found if b.main]
     inside = [b for b in found if any(b.path[: len(m)] == m for m in mains)] if mains else []
     if own:
-        kept = [b for b in own if b.path not in skip]
-    elif inside:
-        kept = [b for b in inside if b.path not in skip]
+        kept = own
     else:
-        kept = [b for b in found if b.links <= 0.5 * max(1, len(b.text()))]
+        kept = [b for b in (inside or found) if b.path not in skip and not mostly_links(b, b.text())]
     return " ".join(t for t in (b.text() for b in kept) if t)
 
 
@@ -461,7 +459,7 @@ def host_rules(pages: DataFrame) -> DataFrame:
     observed = settled(_observed(pages))
     # one entry per text slot of the host's wrapper, however many pages it has
     slots = observed.where("kind = 0").groupBy("host").agg(
-        F.collect_list(F.struct("key", "n", "chars", "links", "low", "high")).alias("slots")
+        F.collect_list(F.struct("key", "n", "chars", "links", "low", "high", "pages")).alias("slots")
     )
     both = host_wrappers(observed).select("host", "wrapper").join(slots, "host", "left")
 

@@ -86,3 +86,19 @@ def test_article_with_slugs_head_and_form_around_it(spark):
         ("http://k.org/6", "<body><p>text of a page</p><form><p>your mail</p><input name=q></form></body>"),
     ]
     assert texts(spark, rows) == ["Related work a b d", "text", "text", words.strip(), "short", "text of a page"]
+
+
+def test_copies_second_boxes_and_lists(spark):
+    def page(i, lead=""):
+        return (
+            f"<body><div class=top><p>Welcome to the site</p></div><div class=lead><h1>Title {i}</h1>{lead}</div>"
+            f"<div class=text><p>{f'Long story {i}. ' * 30}</p></div></body>"
+        )
+
+    story = lambda i: f"Title {i} " + (f"Long story {i}. " * 30).strip()
+    copies = texts(spark, [("http://l.org/1", page(1))] * 5)
+    assert copies == ["Welcome to the site " + story(1)] * 5  # one page does not tell what is constant
+    assert texts(spark, [(f"http://m.org/{i}", page(i)) for i in range(8)]) == [story(i) for i in range(8)]
+    lists = ["<article><p>a</p><ul>" + "<li><a href=x>some link</a></li>" * 40 + "</ul></article>"] * 3
+    lists.append("<article><p>a</p><ul><li>plain</li></ul></article>")
+    assert texts(spark, [("http://n.org/", x) for x in lists])[3] == "a plain"
