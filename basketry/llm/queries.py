@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from basketry.llm import fingerprints, html, language, mixing, packing, rules, simhash, substrings, tokens, toxicity
+from basketry.llm import fingerprints, html, language, mixing, packing, pieces, rules, simhash, substrings, tokens, toxicity
 from basketry.llm.common import words
 from basketry.session import scratch_path, tune
 
@@ -65,6 +65,19 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from public_tokenizers import path
+
+    rows = pieces.encoded(_table(spark, sf_dir, "documents"), path("piece_bpe_32k.model"), decode=True)
+    return rows.select(
+        "doc_id",
+        "n_tokens",
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+        F.crc32(F.concat("begins", "ends")).alias("spans_crc32"),
+    )
+
+
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
@@ -77,6 +90,7 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_rules": op8_rules,
         "op9_html": op9_html,
         "op10_mixing": op10_mixing,
+        "op11_pieces": op11_pieces,
     }
 
 

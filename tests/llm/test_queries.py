@@ -21,6 +21,7 @@ COLUMNS = {
     "op8_rules": ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"],
     "op9_html": ["page_id", "url", "text", "n_chars"],
     "op10_mixing": ["doc_id", "size", "source_size", "target", "taken"],
+    "op11_pieces": ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
 }
 
 
