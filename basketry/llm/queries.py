@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from basketry.llm import fingerprints, html, language, mixing, negatives, packing, pieces, rules, simhash, substrings, tokens, toxicity
+from basketry.llm import fingerprints, html, language, mixing, negatives, packing, pieces, rules, simhash, spelling, substrings, tokens, toxicity
 from basketry.llm.common import words
 from basketry.session import scratch_path, tune
 
@@ -78,6 +78,10 @@ def op11_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.forms(spelling.vocabulary(_table(spark, sf_dir, "documents"), modulus=31))
+
+
 def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = negatives.labelled(_table(spark, sf_dir, "embeddings"), negatives.contract_label())
     return negatives.mined(rows, F.col("vec_id") % 50 == 0)
@@ -96,6 +100,7 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_html": op9_html,
         "op10_mixing": op10_mixing,
         "op11_pieces": op11_pieces,
+        "op12_spelling": op12_spelling,
         "op13_negatives": op13_negatives,
     }
 
@@ -104,5 +109,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op8_rules": rules.sql(),
         "op10_mixing": mixing.sql(),
+        "op12_spelling": spelling.sql(),
         "op13_negatives": negatives.sql(),
     }

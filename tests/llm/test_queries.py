@@ -21,6 +21,7 @@ COLUMNS = {
     "op8_rules": ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"],
     "op9_html": ["page_id", "url", "text", "n_chars"],
     "op10_mixing": ["doc_id", "size", "source_size", "target", "taken"],
+    "op12_spelling": ["word", "form", "root", "n", "n_near", "form_n"],
     "op13_negatives": ["anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"],
     "op11_pieces": ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
 }
@@ -57,6 +58,6 @@ def test_against_sql(spark, name):
     for table in ("documents", "embeddings"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF_DIR}/{table}.parquet'")
     names = sorted(queries.registered()[name](spark, SF_DIR).columns)
-    got = sorted(tuple(r[c] for c in names) for r in queries.registered()[name](spark, SF_DIR).collect())
-    expected = sorted(con.sql(queries.oracle_sql()[name]).select(", ".join(names)).fetchall())
+    got = sorted((tuple(r[c] for c in names) for r in queries.registered()[name](spark, SF_DIR).collect()), key=repr)
+    expected = sorted(con.sql(queries.oracle_sql()[name]).select(", ".join(names)).fetchall(), key=repr)
     assert got == expected
