@@ -59,11 +59,11 @@ class SalesTables:
         return views | ({"payments": self.payments} if self.payments is not None else {})
 
 
-def _lines(tables: SalesTables) -> DataFrame:
+def order_lines(tables: SalesTables) -> DataFrame:
     return tables.order_items.join(tables.sellers, "seller_id").join(tables.products, "product_id")
 
 
-def _heads(tables: SalesTables) -> DataFrame:
+def order_heads(tables: SalesTables) -> DataFrame:
     # joined at order grain, so that only orders and not their items move by customer
     return tables.orders.join(tables.customers, "customer_id")
 
@@ -84,10 +84,10 @@ def latest_review(reviews: DataFrame) -> DataFrame:
 def merged_view(tables: SalesTables) -> DataFrame:
     """The wide view: every item of an order with every payment and every review of it."""
     rows = (
-        _heads(tables)
+        order_heads(tables)
         .join(tables.order_reviews, "order_id")
         .join(tables.payments, "order_id")
-        .join(_lines(tables), "order_id")
+        .join(order_lines(tables), "order_id")
     )
     return rows.withColumns(dict(tables.derived)).select(*MERGED_COLUMNS)
 
@@ -97,8 +97,8 @@ def prepared_join(
 ) -> DataFrame:
     """Items with their order, product, customer and seller, and the review if there is one."""
     reviews = latest_review(tables.order_reviews) if dedupe_reviews else tables.order_reviews
-    rows = left_join_reviews(_heads(tables), reviews.select("order_id", "review_score")).join(
-        _lines(tables), "order_id"
+    rows = left_join_reviews(order_heads(tables), reviews.select("order_id", "review_score")).join(
+        order_lines(tables), "order_id"
     )
     score = {"review_score": F.col("review_score").cast("double")}
     return rows.withColumns(dict(tables.derived) | score).select(*PREPARED_COLUMNS, *extra)

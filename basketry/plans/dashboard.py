@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, functions as F
 
 from basketry.functions import (
     abbreviate_id,
@@ -14,9 +14,11 @@ from basketry.functions import (
 )
 from basketry.operators import aggregates as agg
 from basketry.operators.joins import region_lookup, with_region
-from basketry.operators.sizing import small_side
+from basketry.session import cut_lineage
 from basketry.sources.schemas import STATES_OF_REGION
 
+KEYS = ("customer_state", "order_month", "product_category_name", "seller_id")
+
 
 def state_sales(fact: DataFrame, regions: Column | DataFrame | None = None) -> DataFrame:
     states = agg.group(
@@ -98,15 +100,66 @@ def top_sellers(fact: DataFrame, k: int = 10) -> DataFrame:
     return best.withColumn("seller_label", abbreviate_id("seller_id"))
 
 
+def dashboard_totals(fact: DataFrame) -> DataFrame:
+    """Totals per state, month, category and seller from one scan; ``total_of`` names the key of a row.
+
+    Items are added up per order and keys first; that table, not the items, is unfolded into grouping sets of the order
+    and one key. There an order stands once per value of a key, so orders are counted without a distinct. Rows
+    without a value of the key are left out of its totals.
+    """
+    order_lines = fact.groupBy("order_id", *KEYS).agg(
+        F.sum(F.col("price").cast("decimal(18,2)")).alias("price"),
+        F.sum(F.col("freight_value").cast("decimal(18,4)")).alias("freight"),
+        F.count("freight_value").alias("freights"),
+        F.sum(F.col("review_score").cast("decimal(18,4)")).alias("score"),
+        F.count("review_score").alias("scores"),
+        F.sum(F.col("delivery_time").cast("decimal(18,0)")).alias("days"),
+        F.count("delivery_time").alias("deliveries"),
+    )
+    sums = ("price", "freight", "freights", "score", "scores", "days", "deliveries")
+    sets = [["order_id", key] for key in KEYS]
+    per_order = order_lines.groupingSets(sets, "order_id", *KEYS).agg(
+        F.grouping_id().alias("set_id"), *(F.sum(c).alias(c) for c in sums)
+    )
+    # a bit of the id is set for each key that a row is not grouped by; the order is the highest bit, always clear
+    every = 2 ** len(KEYS) - 1
+    key_of = {every - 2 ** (len(KEYS) - 1 - i): key for i, key in enumerate(KEYS)}
+    named = F.create_map(*(F.lit(x) for pair in key_of.items() for x in pair))
+    rows = per_order.withColumn("total_of", named[F.col("set_id").cast("int")]).where(F.coalesce(*(F.col(k).cast("string") for k in KEYS)).isNotNull())
+    totals = rows.groupBy("total_of", *KEYS).agg(F.count("order_id").alias("order_count"), *(F.sum(c).alias(c) for c in sums))
+
+    def mean(total: str, count: str) -> Column:
+        return F.try_divide(F.col(total).cast("double"), F.col(count).cast("double"))
+
+    return totals.select(
+        "total_of",
+        *KEYS,
+        "order_count",
+        F.coalesce(F.col("price").cast("double"), F.lit(0.0)).alias("total_price"),
+        mean("freight", "freights").alias("mean_freight"),
+        mean("score", "scores").alias("mean_score"),
+        mean("days", "deliveries").alias("mean_delivery_time"),
+    )
+
+
 def dashboard_reports(fact: DataFrame, regions: Column | DataFrame | None = None, k: int = 10) -> dict[str, DataFrame]:
-    """All result sets of the dashboard; those per state and per month share one pass each."""
-    states, months = small_side(state_sales(fact, regions)), small_side(_months(fact))
+    """All result sets of the dashboard from one scan of the fact."""
+    totals = cut_lineage(dashboard_totals(fact))
+
+    def of(key: str, *measures: str) -> DataFrame:
+        return totals.where(F.col("total_of") == key).select(key, "order_count", "total_price", *measures)
+
+    states = with_region(
+        of("customer_state", "mean_freight", "mean_score"), region_lookup(STATES_OF_REGION) if regions is None else regions
+    )
+    months = of("order_month", "mean_delivery_time")
+    sellers = agg.top_k(of("seller_id", "mean_score"), "total_price", "seller_id", k)
     return {
         "state_sales_table": _table(states),
         "sales_heatmap": _heatmap(states),
         "top_states_sales": agg.top_k(states, "total_price", "customer_state", k),
         "monthly_sales": months.select("order_month", "order_count", "total_price").orderBy("order_month"),
         "monthly_delivery_time": months.select("order_month", "mean_delivery_time").orderBy("order_month"),
-        "top_categories": top_categories(fact, k),
-        "top_sellers": top_sellers(fact, k),
+        "top_categories": agg.top_k(of("product_category_name"), "total_price", "product_category_name", k),
+        "top_sellers": sellers.withColumn("seller_label", abbreviate_id("seller_id")),
     }

@@ -3,21 +3,17 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from multiprocessing.pool import ThreadPool
 from typing import Sequence
 
-from pyspark import inheritable_thread_target
-from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, functions as F
 
 from basketry.functions.numbers import MEASURE_SCALE
 from basketry.functions import elapsed_days, exact_mean, money_sum, round_digits
 from basketry.operators.aggregates import distinct_orders, group, latest_purchase, value_counts
+from basketry.operators.clustering import first_centres, lloyd, weighted_points
 from basketry.operators.filters import filter_iqr_in_turn
 from basketry.operators.quantiles import exact_quantiles
 from basketry.operators.scaling import nearest_centroid, standard_scale
-from basketry.operators.sizing import for_iterations
 from basketry.session import cut_lineage
 
 MEASURES = ("recency", "frequency", "monetary", "satisfaction")
@@ -70,23 +66,16 @@ def fit_kmeans(
     restarts: int = 10,
     max_iter: int = 300,
     tol: float = 1e-4,
-    parallelism: int = 5,
-) -> tuple[KMeansModel, list[float]]:
-    """Best of several restarts by total squared distance."""
-    assembler = VectorAssembler(inputCols=list(SCALED), outputCol="features")
-    vectors = for_iterations(assembler.transform(scaled).select("features")).persist()
-
-    def fit(restart: int) -> KMeansModel:
-        return KMeans(k=k, seed=seed + restart, maxIter=max_iter, tol=tol).fit(vectors)
-
+) -> tuple[list[list[float]], list[float]]:
+    """The centres of the best of several restarts by total squared distance, and the costs of all."""
+    points = weighted_points(scaled, SCALED).persist()
     try:
-        # the jobs of a fit are short and wait on the driver, so several fits share the cluster
-        with ThreadPool(min(parallelism, restarts)) as pool:
-            models = pool.map(inheritable_thread_target(scaled.sparkSession)(fit), range(restarts))
+        start = first_centres(points, SCALED, k, [seed + r for r in range(restarts)])
+        found = lloyd(points, SCALED, start, max_iter, tol)
     finally:
-        vectors.unpersist()
-    costs = [model.summary.trainingCost for model in models]
-    return models[costs.index(min(costs))], costs
+        points.unpersist()
+    best = min(range(restarts), key=found.costs.__getitem__)
+    return found.centres[best].tolist(), found.costs
 
 
 def customer_segments(
@@ -96,9 +85,9 @@ def customer_segments(
     kept = rfm_without_outliers(rfm, measures)
     rows = kept.count()
     scaled = scaled_rfm(kept)
-    model, costs = fit_kmeans(scaled, k, seed, restarts)
+    centres, costs = fit_kmeans(scaled, k, seed, restarts)
     spend = MEASURES.index("monetary")
-    centroids = sorted((list(map(float, c)) for c in model.clusterCenters()), key=lambda c: c[spend])
+    centroids = sorted(centres, key=lambda c: c[spend])
     labelled = nearest_centroid(scaled, SCALED, centroids)
     return Segmentation(labelled, rows, centroids, min(costs), costs)
 

@@ -372,9 +372,51 @@ _SCALE = ", ".join(
 _MEASURES = ("recency", "frequency", "monetary", "satisfaction")
 _KEPT = _iqr_chain().removesuffix(" SELECT * FROM kept4")
 
+
+
+def _three_rounds() -> str:
+    """Three iterations of k-means from fixed centres, for both restarts at once."""
+    from basketry.registry.queries import START_CENTRES
+
+    axes = [f"{m}_z" for m in _MEASURES]
+    values = ", ".join(
+        f"({r}, {c}, {', '.join(f'{x}::DOUBLE' for x in centre)})"
+        for r, centres in enumerate(START_CENTRES)
+        for c, centre in enumerate(centres)
+    )
+    gap = " + ".join(f"(z.{a} - c.{a}) * (z.{a} - c.{a})" for a in axes)
+    steps = [f"z AS (SELECT customer_unique_id, {_SCALE} FROM rfm), c0 AS (SELECT * FROM (VALUES {values}) t(restart, cluster, {', '.join(axes)}))"]
+    for i in range(4):
+        steps.append(
+            f"a{i} AS (SELECT z.*, c.restart, c.cluster FROM z, c{i} c QUALIFY row_number() OVER (PARTITION BY customer_unique_id, restart ORDER BY {gap}, cluster) = 1)"
+        )
+        means = ", ".join(f"coalesce(avg(a.{x}), any_value(c.{x})) AS {x}" for x in axes)
+        steps.append(
+            f"c{i + 1} AS (SELECT c.restart, c.cluster, {means} FROM c{i} c LEFT JOIN a{i} a ON c.restart = a.restart AND c.cluster = a.cluster GROUP BY c.restart, c.cluster)"
+        )
+    rounded = ", ".join(f"round(c.{a}, 6) AS {a}" for a in axes)
+    return (
+        f"{RFM}, {', '.join(steps)} SELECT c.restart, c.cluster, (SELECT count(*) FROM a3 a WHERE a.restart = c.restart AND a.cluster = c.cluster) AS customers, {rounded} FROM c3 c"
+    )
+
+
+def _inferred() -> str:
+    """The type of every column of the nine exported tables, from the tables themselves."""
+    views = ROLES | {
+        "geolocation": "(SELECT n_nationkey AS geolocation_zip_code_prefix, n_name AS geolocation_state FROM nation)",
+        "category_translation": "(SELECT p_type AS product_category_name, lower(p_type) AS product_category_name_english FROM part)",
+    }
+    kind = "CASE kind WHEN 'BIGINT' THEN 'int' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' ELSE 'string' END"
+    return " UNION ALL ".join(
+        f"SELECT '{name}' AS table_name, column_name, {kind} AS type FROM (UNPIVOT (SELECT typeof(COLUMNS(*)) FROM {view} LIMIT 1) ON COLUMNS(*) INTO NAME column_name VALUE kind)"
+        for name, view in views.items()
+    )
+
+
 # fmt: off
 QUERIES: dict[str, str] = {
     "scan_csv": "SELECT * FROM role_orders",
+    "scan_csv_inferred": _inferred(),
     "load_catalog": _counts(),
     "rename_on_load": "SELECT product_id, product_name_length, product_description_lenght FROM role_products",
     "table_sink_replace": "SELECT * EXCLUDE (shipped_item_at) FROM role_items",
@@ -397,6 +439,8 @@ QUERIES: dict[str, str] = {
     "rename_columns": f"{CUSTOMERS} SELECT * FROM customers",
     "flag_same_state": "SELECT order_id, customer_state, seller_state, customer_state = seller_state AS is_same_state FROM prepared",
     "merged_view": f"{MERGED} SELECT order_id, count(*) AS merged_rows, CAST(sum(payment_installments) AS BIGINT) AS installments, {money_sum('payment_value', 4)} AS paid, CAST(sum(review_score) AS BIGINT) AS score_sum FROM merged GROUP BY order_id",
+    "merged_totals_by_order": f"{MERGED} SELECT order_id, count(*) AS merged_rows, CAST(sum(payment_installments) AS BIGINT) AS installments, {money_sum('payment_value', 4)} AS paid, CAST(sum(review_score) AS BIGINT) AS score_sum FROM merged GROUP BY order_id",
+    "merged_totals_by_status": f"{MERGED} SELECT order_status, count(*) AS merged_rows, {ORDERS} AS order_count, CAST(sum(payment_installments) AS BIGINT) AS installments FROM merged GROUP BY order_status",
     "prepared_join": f"SELECT order_id, count(*) AS item_rows, count(review_score) AS scored_rows, {money_sum('price')} AS total_price FROM prepared GROUP BY order_id",
     "left_join_reviews": "SELECT order_id, order_status, review_id, review_score FROM role_orders LEFT JOIN role_reviews USING (order_id)",
     "lookup_state_region": "SELECT customer_state, count(*) AS customers, any_value(region) AS region FROM role_customers LEFT JOIN role_regions ON customer_state = state GROUP BY customer_state",
@@ -478,6 +522,8 @@ QUERIES: dict[str, str] = {
     "satisfaction_stats": "SELECT review_score, " + ", ".join(f"round_even({mean(c, s)}, 6) AS {c}_mean, round_even(median({c}::DOUBLE), 6) AS {c}_median, round_even(stddev_samp({c}), 6) AS {c}_std" for c, s in (("delivery_time", 0), ("price", 4))) + ", count(order_id) AS order_rows FROM fact GROUP BY review_score ORDER BY review_score",
     "score_distribution": "SELECT review_score, count(*) AS row_count FROM fact GROUP BY review_score ORDER BY review_score",
     "kmeans_segments_check": f"{_KEPT} SELECT customer_unique_id, {_SCALE}, true AS own_is_nearest, true AS cluster_known FROM kept4",
+    "kmeans_three_rounds": _three_rounds(),
+    "delay_cells_check": f"{_test_rows()} SELECT CAST(count(*) AS BIGINT) AS train_rows, true AS cells_bounded, true AS same_scores, true AS same_importance FROM balanced WHERE (row_key % 1000 * {SPLIT_FACTOR}) % 1000 < 700",
     "customer_segments_check": f"{_KEPT} SELECT customer_unique_id, {', '.join(_MEASURES)}, true AS cluster_known FROM kept4",
     "segment_summary_check": f"{_KEPT} SELECT count(*) AS customers, 4::BIGINT AS clusters, round(avg(monetary), 2) AS monetary_mean, true AS best_restart FROM kept4",
     "scored_rows_check": f"{_test_rows()} SELECT {', '.join(SMOTE_FEATURES)}, is_late::DOUBLE AS label, true AS is_probability, true AS is_prediction FROM tests",

@@ -11,16 +11,22 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from basketry import functions as fn
 from basketry.operators import aggregates as agg
 from basketry.operators import distributions as dist
-from basketry.operators import filters, joins, metrics, neighbours, oversample, scaling
+from basketry.operators import cells, clustering, factorised, filters, joins, metrics, neighbours, oversample, scaling
 from basketry.operators.quantiles import exact_quantiles, quantile_values
 from basketry.plans import dashboard, delay, exploration, retention, satisfaction, segments
 from basketry.plans.prepare import add_features, clean_rows, prepared_fact
 from basketry.registry import tpch
 from basketry.session import cut_lineage, scratch_path, tune
 from basketry.sources import readers, sinks
+from basketry.sources.schemas import CATALOG
 
 # Centres that stand in for fitted ones where the result must be reproducible.
 SAMPLE_CENTROIDS = ((100.0, 5.0, 8.0, 2.5), (100.0, 9.0, 20.0, 3.0), (500.0, 6.0, 12.0, 3.0), (200.0, 7.0, 14.0, 4.0))
+# Where the restarts of the three-iteration query begin, in scaled units.
+START_CENTRES = (
+    ((-1.0, -1.0, -1.0, 0.0), (0.0, 1.0, 1.0, 0.0), (1.0, -1.0, 0.0, 1.0), (0.0, 0.0, 0.0, -1.0)),
+    ((0.0, 0.0, 0.0, 0.0), (1.0, 1.0, 1.0, 1.0), (-1.0, -1.0, -1.0, -1.0), (90.0, 0.0, -2.0, 0.0)),
+)
 SAMPLE_SPACE = ("recency", "frequency", "monetary_100k", "satisfaction")
 SMOTE_FEATURES = ("price", "freight_value", "delivery_time")
 
@@ -79,6 +85,10 @@ class Fixture:
     def delay_model(self) -> delay.DelayModel:
         return delay.delivery_delay_model(self.fact)
 
+    @cached_property
+    def dashboard(self) -> dict[str, DataFrame]:
+        return dashboard.dashboard_reports(self.fact, self.regions)
+
     @cached_property
     def rule(self) -> DataFrame:
         """A predictor by rule: dear items are called late."""
@@ -123,6 +133,16 @@ def scan_csv(fx: Fixture) -> DataFrame:
     return readers.read_csv(fx.spark, path, dict(orders.dtypes))
 
 
+def scan_csv_inferred(fx: Fixture) -> DataFrame:
+    """The types that the values of all nine files lead to."""
+    entries = [
+        (spec.name, *column)
+        for spec in CATALOG
+        for column in readers.read_table(fx.spark, fx.csv_catalog, spec, infer=True).dtypes
+    ]
+    return fx.spark.createDataFrame(entries, "table_name string, column_name string, type string")
+
+
 def load_catalog(fx: Fixture) -> DataFrame:
     tables = readers.load_catalog(fx.spark, fx.csv_catalog)
     return readers.row_counts({name: fx.spark.table(name) for name in tables})
@@ -212,6 +232,17 @@ def merged_by_order(fx: Fixture) -> DataFrame:
     )
 
 
+def merged_totals_by_order(fx: Fixture) -> DataFrame:
+    """The totals of ``merged_by_order`` without the rows of the wide view."""
+    totals = factorised.merged_totals(fx.tables, ["order_id"], MERGED_SUMS)
+    return totals.withColumn("paid", F.coalesce(F.col("paid").cast("double"), F.lit(0.0)))
+
+
+def merged_totals_by_status(fx: Fixture) -> DataFrame:
+    """The totals of ``sql_view`` without the rows of the wide view."""
+    return factorised.merged_totals(fx.tables, ["order_status"], {"installments": MERGED_SUMS["installments"]})
+
+
 def prepared_by_order(fx: Fixture) -> DataFrame:
     return agg.group(
         fx.prepared,
@@ -382,6 +413,49 @@ def kmeans_check(fx: Fixture) -> DataFrame:
     )
 
 
+def kmeans_three_rounds(fx: Fixture) -> DataFrame:
+    """Centres of two restarts after three iterations from fixed ones."""
+    scaled = segments.scaled_rfm(fx.rfm).select(*(F.round(c, 6).alias(c) for c in segments.SCALED))
+    points = clustering.weighted_points(scaled, segments.SCALED)
+    found = clustering.lloyd(points, segments.SCALED, START_CENTRES, max_iter=3, tol=0.0)
+    rows = [
+        (r, c, int(found.sizes[r, c]), *map(float, found.centres[r, c]))
+        for r in range(len(START_CENTRES))
+        for c in range(len(START_CENTRES[r]))
+    ]
+    frame = fx.spark.createDataFrame(rows, "restart int, cluster int, customers bigint, " + ", ".join(f"{c} double" for c in segments.SCALED))
+    return frame.withColumns({c: F.round(c, 6) for c in segments.SCALED})
+
+
+def delay_cells_check(fx: Fixture) -> DataFrame:
+    """Trees on weighted cells against trees on the binned rows one by one: importances and scores must agree."""
+    rows = delay.feature_rows(fx.fact)
+    features = [c for c in rows.columns if c not in ("is_late", "row_key")]
+    balanced = cut_lineage(oversample.smote_oversample(rows, features, "is_late"))
+    train, _ = oversample.train_test_split(balanced)
+    binned = cut_lineage(cells.in_cells(train, cells.cell_cuts(train, features, 8)))
+    counted = cut_lineage(cells.cell_counts(binned, features, "is_late"))
+    options = {"trees": 3, "rate": 0.1, "depth": 4, "seed": 42, "bins": 32}
+    by_cell = delay.fit_cells(counted, features, **options)
+    by_row = delay.fit_cells(binned.withColumn("row_count", F.lit(1.0)), features, **options)
+    vectors = delay.feature_vectors(counted.select(*features, "is_late"), features)
+
+    def scores(model, name: str) -> DataFrame:
+        late = vector_to_array("probability")[1].alias(name)
+        return model.transform(vectors).select(*features, "is_late", late)
+
+    both = scores(by_cell, "a").join(scores(by_row, "b"), [*features, "is_late"])
+    gap = both.agg(F.max(F.abs(F.col("a") - F.col("b")))).first()[0]
+    shares = abs(by_cell.featureImportances.toArray() - by_row.featureImportances.toArray()).max()
+    return counted.agg(F.sum("row_count").cast("bigint").alias("train_rows")).withColumns(
+        {
+            "cells_bounded": F.lit(counted.count() <= 2 * 8 ** len(features)),
+            "same_scores": F.lit(bool(gap < 1e-9)),
+            "same_importance": F.lit(bool(shares < 1e-9)),
+        }
+    )
+
+
 def customer_segments_check(fx: Fixture) -> DataFrame:
     customers = fx.segmentation.customers
     return customers.select("customer_unique_id", *segments.MEASURES, F.col("cluster").between(0, 3).alias("cluster_known"))
@@ -434,6 +508,11 @@ def segment_summary(fx: Fixture) -> DataFrame:
     return segments.cluster_summary(customers).join(profile, "cluster")
 
 
+MERGED_SUMS = {
+    "installments": ("payment_installments", "bigint"),
+    "paid": ("payment_value", "decimal(18,4)"),
+    "score_sum": ("review_score", "bigint"),
+}
 DELIVERED_BOUGHT = ("order_delivered_customer_date", "order_purchase_timestamp")
 MEDIAN_COLUMNS = {"price": "price", "freight": "freight_value", "delivery_time": "delivery_time"}
 
@@ -441,6 +520,7 @@ MEDIAN_COLUMNS = {"price": "price", "freight": "freight_value", "delivery_time":
 QUERIES: dict[str, Callable[[Fixture], DataFrame]] = {
     # sources and sinks
     "scan_csv": scan_csv,
+    "scan_csv_inferred": scan_csv_inferred,
     "load_catalog": load_catalog,
     "rename_on_load": rename_on_load,
     "table_sink_replace": table_sink_replace,
@@ -465,6 +545,8 @@ QUERIES: dict[str, Callable[[Fixture], DataFrame]] = {
     "flag_same_state": lambda fx: fx.prepared.select("order_id", "customer_state", "seller_state", filters.same_state().alias("is_same_state")),
     # joins
     "merged_view": merged_by_order,
+    "merged_totals_by_order": merged_totals_by_order,
+    "merged_totals_by_status": merged_totals_by_status,
     "prepared_join": prepared_by_order,
     "left_join_reviews": left_join_reviews,
     "lookup_state_region": lookup_state_region,
@@ -542,13 +624,13 @@ QUERIES: dict[str, Callable[[Fixture], DataFrame]] = {
     "orders_per_customer_distribution": lambda fx: two_parts(*retention.orders_per_customer_distribution(fx.fact)),
     "days_first_to_last_order": lambda fx: retention.days_first_to_last_order(fx.fact),
     "days_first_to_last_distribution": lambda fx: two_parts(*retention.days_between_distribution(fx.fact)),
-    "state_sales_table": lambda fx: dashboard.state_sales_table(fx.fact, fx.regions),
-    "sales_heatmap": lambda fx: dashboard.sales_heatmap(fx.fact, fx.regions),
-    "monthly_sales": lambda fx: dashboard.monthly_sales(fx.fact),
-    "top_categories_dashboard": lambda fx: dashboard.top_categories(fx.fact),
-    "monthly_delivery_time": lambda fx: dashboard.monthly_delivery_time(fx.fact),
-    "top_sellers": lambda fx: dashboard.top_sellers(fx.fact),
-    "top_states_sales": lambda fx: dashboard.top_states_sales(fx.fact, fx.regions),
+    "state_sales_table": lambda fx: fx.dashboard["state_sales_table"],
+    "sales_heatmap": lambda fx: fx.dashboard["sales_heatmap"],
+    "monthly_sales": lambda fx: fx.dashboard["monthly_sales"],
+    "top_categories_dashboard": lambda fx: fx.dashboard["top_categories"],
+    "monthly_delivery_time": lambda fx: fx.dashboard["monthly_delivery_time"],
+    "top_sellers": lambda fx: fx.dashboard["top_sellers"],
+    "top_states_sales": lambda fx: fx.dashboard["top_states_sales"],
     "rfm_scores": lambda fx: fx.rfm,
     "rfm_without_outliers": lambda fx: segments.rfm_without_outliers(fx.rfm),
     "customer_segments": lambda fx: fx.segmentation.customers.select("customer_unique_id", *segments.MEASURES, "cluster"),
@@ -560,6 +642,8 @@ QUERIES: dict[str, Callable[[Fixture], DataFrame]] = {
     "delivery_delay_model": delay_report,
     # what must hold for any fit, beside the fitted results
     "kmeans_segments_check": kmeans_check,
+    "kmeans_three_rounds": kmeans_three_rounds,
+    "delay_cells_check": delay_cells_check,
     "customer_segments_check": customer_segments_check,
     "segment_summary_check": segment_summary_check,
     "scored_rows_check": scored_rows_check,

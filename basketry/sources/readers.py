@@ -8,6 +8,7 @@ from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from basketry.sources.inference import inferred_types
 from basketry.sources.schemas import CATALOG, NULL_TOKENS, REAL, TableSpec
 
 
@@ -37,11 +38,13 @@ def read_csv(
     renames: Mapping[str, str] | None = None,
     free_text: bool = False,
     null_tokens: Iterable[str] = NULL_TOKENS,
+    infer: bool = False,
 ) -> DataFrame:
     """Headered CSV to typed columns.
 
     Columns are matched by header name, not by position. A value that does not parse as its
-    declared type raises under ANSI mode, as the reports must not silently lose rows.
+    declared type raises under ANSI mode, as the reports must not silently lose rows. Columns without a declared
+    type stay text, or with ``infer`` get the narrowest type that fits all their values, at one more pass over the file.
     """
     raw = spark.read.csv(
         path, header=True, inferSchema=False, multiLine=free_text, quote='"', escape='"'
@@ -49,6 +52,9 @@ def read_csv(
     raw = rename_columns_if_present(raw, renames or {})
     types = types or {}
     tokens = tuple(null_tokens)
+    if infer:
+        open_columns = [c for c in raw.columns if c not in types]
+        types = inferred_types(raw.select(*(F.col(f"`{c}`") for c in open_columns)), tokens) | types
     return raw.select(*(_typed(c, types.get(c, "string"), tokens) for c in raw.columns))
 
 
@@ -58,12 +64,14 @@ def matched_names(df: DataFrame, pattern: str) -> set[str]:
     return {part for part in parts if fnmatchcase(part, pattern)}
 
 
-def read_table(spark: SparkSession, base_path: str, spec: TableSpec) -> DataFrame:
-    """One table of the catalogue; more than one file or folder for its pattern raises."""
+def read_table(spark: SparkSession, base_path: str, spec: TableSpec, infer: bool = False) -> DataFrame:
+    """One table of the catalogue; more than one file or folder for its pattern raises. With ``infer`` its
+    types come from its values instead of the declaration."""
     found = matched_names(spark.read.format("binaryFile").load(f"{base_path}/{spec.file}"), spec.file)
     if len(found) > 1:
         raise ValueError(f"{spec.name}: several exports match {spec.file}: {sorted(found)}")
-    return read_csv(spark, f"{base_path}/{spec.file}", spec.types, spec.renames, spec.free_text)
+    types = {} if infer else spec.types
+    return read_csv(spark, f"{base_path}/{spec.file}", types, spec.renames, spec.free_text, infer=infer)
 
 
 def load_catalog(

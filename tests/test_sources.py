@@ -89,3 +89,47 @@ def test_report_round_trip(spark, tmp_path, fmt):
 def test_table_schema_lists_columns(spark):
     df = spark.createDataFrame([(1, None), (2, "x")], "a int, b string")
     assert [tuple(r) for r in readers.table_schema(df).collect()] == [(1, "a", "int", 2), (2, "b", "string", 1)]
+
+
+def test_types_come_from_all_values(spark, tmp_path):
+    header = "whole,gaps,big,real,code,when,text,empty,odd,late"
+    body = ["1,NA,3000000000,1.5,00012,2018-01-02 03:04:05,a,,1,1"] * 300 + ["-2,7,-4,2e3,10,2018-01-02,7,,2018-01-01,x"]
+    path = write(tmp_path / "i.csv", "\n".join([header, *body]) + "\n")
+    df = readers.read_csv(spark, path, infer=True)
+    assert dict(df.dtypes) == {
+        "whole": "int", "gaps": "int", "big": "bigint", "real": "double", "code": "string", "when": "timestamp_ntz",
+        "text": "string", "empty": "string", "odd": "string", "late": "string",
+    }
+    assert df.agg({"gaps": "sum", "real": "max"}).first().asDict() == {"sum(gaps)": 7, "max(real)": 2000.0}
+    declared = readers.read_csv(spark, path, {"whole": "string"}, infer=True)
+    assert dict(declared.dtypes)["whole"] == "string"
+
+
+@pytest.mark.parametrize("value, kind", [("1d", "string"), ("1.", "double"), (".5", "double"), ("+3", "int"), ("-", "string"), ("0", "int"), ("Infinity", "string"), ("2018-13-01", "string"), ("9" * 30, "double")])
+def test_odd_values(spark, tmp_path, value, kind):
+    path = write(tmp_path / "o.csv", f"v\n{value}\n")
+    df = readers.read_csv(spark, path, infer=True)
+    assert dict(df.dtypes) == {"v": kind}
+    assert df.count() == 1 and df.first().v is not None
+
+
+def test_types_of_a_file_without_rows(spark, tmp_path):
+    path = write(tmp_path / "n.csv", "a,b\n")
+    assert readers.read_csv(spark, path, infer=True).dtypes == [("a", "string"), ("b", "string")]
+
+
+@pytest.mark.parametrize("sink", [sinks.replace_table, sinks.import_table, sinks.write_report])
+def test_a_write_that_fails_leaves_the_old_rows(spark, tmp_path, sink):
+    path = tmp_path / "t"
+    sink(spark.range(10), str(path))
+    broken = spark.range(100).selectExpr("if(id = 77, raise_error('stop'), id) AS id")
+    with pytest.raises(PySparkException):
+        sink(broken, str(path))
+    assert spark.read.parquet(str(path)).count() == 10
+    assert [p.name for p in tmp_path.iterdir()] == ["t"]
+
+
+def test_a_table_replaces_itself(spark, tmp_path):
+    path = str(tmp_path / "s")
+    sinks.replace_table(spark.range(10), path)
+    assert sinks.replace_table(spark.read.parquet(path).where("id < 4"), path).count() == 4
