@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, functions as F
 START_POINTS = 20_000
 WEIGHT = "point_weight"
 POINTS_PER_TASK = 50_000
+# With more tasks than this their totals are added up by Spark before they reach the driver.
+TASKS_TO_DRIVER = 64
 # Points whose distances are worked out at a time.
 BLOCK = 4096
 
@@ -61,8 +63,10 @@ def first_centres(points: DataFrame, columns: Sequence[str], k: int, seeds: Sequ
     return np.array(starts)
 
 
-def _totals(points: DataFrame, columns: Sequence[str], centres: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(weights, sums, costs) per restart and centre: one pass over the points, one row per restart and centre back."""
+def _totals(
+    points: DataFrame, tasks: int, columns: Sequence[str], centres: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(weights, sums, costs) per restart and centre, in one pass over the points."""
     restarts, k, width = centres.shape
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,10 +87,12 @@ def _totals(points: DataFrame, columns: Sequence[str], centres: np.ndarray) -> t
 
     names = ["slot"] + [f"t{j}" for j in range(width + 2)]
     schema = "slot int, " + ", ".join(f"{n} double" for n in names[1:])
-    rows = points.select(*columns, WEIGHT).mapInArrow(part, schema).groupBy("slot").agg(*(F.sum(n).alias(n) for n in names[1:]))
+    rows = points.mapInArrow(part, schema)
+    if tasks > TASKS_TO_DRIVER:
+        rows = rows.groupBy("slot").agg(*(F.sum(n).alias(n) for n in names[1:]))
     found = np.zeros((restarts * k, width + 2))
-    for row in rows.collect():  # at most restarts x k rows
-        found[row.slot] = row[1:]
+    for row in rows.collect():  # at most restarts x k rows from each of TASKS_TO_DRIVER tasks
+        found[row.slot] += row[1:]
     found = found.reshape(restarts, k, width + 2)
     return found[:, :, 0], found[:, :, 1:-1], found[:, :, -1].sum(1)
 
@@ -98,13 +104,14 @@ def lloyd(points: DataFrame, columns: Sequence[str], centres: np.ndarray, max_it
     without points stays where it is. Restarts that have settled are left out of later passes.
     """
     centres = np.array(centres, float)
-    points = points.coalesce(max(1, -(-points.count() // POINTS_PER_TASK)))
+    tasks = max(1, -(-points.count() // POINTS_PER_TASK))
+    points = points.select(*columns, WEIGHT).coalesce(tasks)
     iterations = [0] * len(centres)
     moving = list(range(len(centres)))
     for _ in range(max_iter):
         if not moving:
             break
-        weights, sums, _ = _totals(points, columns, centres[moving])
+        weights, sums, _ = _totals(points, tasks, columns, centres[moving])
         still = []
         for r, weight, total in zip(moving, weights, sums):
             filled = weight > 0
@@ -114,5 +121,5 @@ def lloyd(points: DataFrame, columns: Sequence[str], centres: np.ndarray, max_it
             centres[r] = moved
             iterations[r] += 1
         moving = still
-    sizes, _, costs = _totals(points, columns, centres)
+    sizes, _, costs = _totals(points, tasks, columns, centres)
     return Restarts(centres, sizes, costs.tolist(), iterations)
