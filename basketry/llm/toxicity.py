@@ -9,8 +9,9 @@ also locates the sentences that offend.
 
 Features of a word are its lower-case form and, if it is longer, its leading bytes, each by a 64-bit hash.
 The model is fitted in one task on a
-bounded sample of labelled documents, SAMPLE at most in expectation and half of it per class, with
-weights that restore the class shares. Scoring reads every whole text.
+bounded sample of labelled documents, SAMPLE at most in expectation and half of it per class, and of about
+SAMPLE_BYTES at most, with weights that restore the class shares. Which words tell anything is counted by Spark first,
+so only those reach that task. Scoring reads every whole text.
 """
 
 from __future__ import annotations
@@ -21,11 +22,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from basketry.llm.common import arrow_pass, hash_share, text_bytes
+from basketry.llm.common import arrow_pass, hash_share, settled, text_bytes
 from basketry.llm.wordhash import words_of
+from basketry.operators.sizing import small_side
 
 MODULUS, HELD_OUT = 5, 0
 SAMPLE = 16_000
+SAMPLE_BYTES = 128 << 20
 PREFIX = 6
 ROUNDS = 200
 STEP = 0.15
@@ -98,26 +101,22 @@ def _softplus(z: np.ndarray) -> np.ndarray:
 
 
 def fitted(
-    feature: np.ndarray, sentence: np.ndarray, owner: np.ndarray, label: np.ndarray, weight: np.ndarray, rounds: int = ROUNDS
+    used: np.ndarray,
+    column: np.ndarray,
+    sentence: np.ndarray,
+    owner: np.ndarray,
+    label: np.ndarray,
+    weight: np.ndarray,
+    rounds: int = ROUNDS,
 ) -> Model:
     """The sentence model that fits the labels of the texts.
 
-    A sentence's risk is softplus(BASE + weights of its words) - softplus(BASE). With s = their sum and the leak's
-    risk, noisy-or is 1 - exp(-s): the loss is s for a clean document and -log(1 - exp(-s)) for a toxic one.
-    Gradient rounds with adaptive step sizes; a linear penalty and weights of zero or more leave only
-    words that speak for toxicity.
+    ``column`` and ``sentence`` pair the features of a sentence, as places in ``used``, with its number; ``owner``
+    is the text of a sentence. A sentence's risk is softplus(BASE + weights of its words) - softplus(BASE). With s =
+    their sum and the leak's risk, noisy-or is 1 - exp(-s): the loss is s for a clean document and
+    -log(1 - exp(-s)) for a toxic one. Gradient rounds with adaptive step sizes; a linear penalty and weights of
+    zero or more leave only words that speak for toxicity.
     """
-    toxic = label[owner[sentence]] > 0
-    values, codes = np.unique(feature[toxic], return_inverse=True)
-    documents = np.unique(codes.astype(np.int64) * len(label) + owner[sentence[toxic]]) // max(1, len(label))
-    used = values[np.bincount(documents, minlength=len(values)) >= LEAST_DOCUMENTS]
-    if not len(used):
-        used = np.zeros(1, np.uint64)
-    column = np.minimum(np.searchsorted(used, feature), len(used) - 1)
-    keep = used[column] == feature
-    # a word counts once per sentence
-    pair = np.unique(sentence[keep] * len(used) + column[keep])
-    sentence, column = pair // len(used), pair % len(used)
     share = (weight * label).sum() / max(1e-12, weight.sum())
     w = np.zeros(len(used))
     leak = float(np.log(min(max(share, 1e-4), 0.5)))
@@ -139,10 +138,40 @@ def fitted(
     return Model(used[w > 0], w[w > 0], leak)
 
 
+def _sampled(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(doc_id, mark, text, toxic) of the chosen documents, written; of texts that share an id the one with the least hash.
+
+    If they have more than SAMPLE_BYTES together, rows are thinned out by the hash of their ids to about that.
+    """
+    rows = docs.join(chosen, docs["doc_id"] == chosen["_id"]).select("doc_id", "text", "toxic")
+    one = F.min(F.struct(F.xxhash64("text").alias("mark"), text_bytes(F.col("text")).alias("text"))).alias("one")
+    rows = settled(rows.groupBy("doc_id").agg(one, F.max("toxic").alias("toxic")).select("doc_id", "one.mark", "one.text", "toxic"))
+    held = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if held <= SAMPLE_BYTES:
+        return rows
+    part = F.pmod(F.xxhash64(F.lit("thin"), "doc_id"), F.lit(1 << 30)) / (1 << 30)
+    return rows.where(part < SAMPLE_BYTES / held)
+
+
+def _telling(rows: DataFrame) -> np.ndarray:
+    """Features of LEAST_DOCUMENTS toxic documents of the sample or more, counted by Spark, in rising order."""
+
+    def distinct(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [np.unique(features([text])[0]) for text in batch.column(0).to_pylist()]
+        every = np.concatenate([np.zeros(0, np.uint64), *found])
+        return pa.RecordBatch.from_arrays([pa.array(every.view(np.int64))], ["feature"])
+
+    counted = arrow_pass(rows.where("toxic = 1").select("text"), distinct, "feature bigint").groupBy("feature").count()
+    # fewer than a third of the words of a bounded sample
+    kept = counted.where(F.col("count") >= LEAST_DOCUMENTS).select("feature").toArrow()
+    return np.sort(kept.column(0).to_numpy().astype(np.int64).view(np.uint64))
+
+
 def learned_model(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """The model from the labelled rows that are not held out; no weights and a tiny leak if there are none.
 
-    A document labelled more than once is toxic if one label says so; null labels and ids are no labels.
+    A document labelled more than once is toxic if one label says so; null labels and ids are no labels. The sample
+    is read in the order of ids, so every run gives the same model.
     """
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
     known = known.where(hash_share(F.col("doc_id"), MODULUS) != HELD_OUT)
@@ -153,45 +182,60 @@ def learned_model(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> M
         return NOTHING_LEARNED
     part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / (1 << 30)
     limit = F.when(F.col("toxic") == 1, share.get(1, 1.0)).otherwise(share.get(0, 1.0))
-    # about ``sample`` ids, so they can be broadcast
-    chosen = F.broadcast(known.where(part < limit).select(F.col("doc_id").alias("_id"), "toxic"))
-    rows = docs.join(chosen, docs["doc_id"] == chosen["_id"]).dropDuplicates(["doc_id"])
-    rows = rows.select(text_bytes(F.col("text")).alias("text"), "toxic")
+    # about ``sample`` ids; a larger side is joined by shuffle
+    chosen = small_side(known.where(part < limit).select(F.col("doc_id").alias("_id"), "toxic"), 2 * sample)
+    rows = _sampled(docs, chosen)
+    used = _telling(rows)
+    if not len(used):
+        used = np.zeros(1, np.uint64)
+    shared = docs.sparkSession.sparkContext.broadcast(used)
 
     def prepared(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = batch.column(0).to_pylist()
+        used = shared.value
         out = [[], [], []]
-        for text, label in zip(texts, batch.column(1).to_pylist()):
-            f, s, _, _ = features([text])
-            out[0].append(f.tobytes())
-            out[1].append(s.astype(np.int32).tobytes())
-            out[2].append(label)
-        columns = [pa.array(out[0], pa.binary()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.int32())]
-        return pa.RecordBatch.from_arrays(columns, ["feature", "sentence", "toxic"])
+        for text in batch.column(2).to_pylist():
+            feature, sentence, owner, _ = features([text])
+            column = np.minimum(np.searchsorted(used, feature), len(used) - 1)
+            keep = used[column] == feature
+            # a word counts once per sentence
+            pair = np.unique(sentence[keep] * len(used) + column[keep])
+            out[0].append((pair // len(used)).astype(np.int32).tobytes())
+            out[1].append((pair % len(used)).astype(np.int32).tobytes())
+            out[2].append(len(owner))
+        arrays = [pa.array(out[0], pa.binary()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.int32())]
+        columns = [batch.column(0), batch.column(1), *arrays, batch.column(3)]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "mark", "sentence", "feature", "n_sentences", "toxic"])
 
     def fit(batches):
-        feature, sentence, owner, label, n = [], [], [], [], 0
+        sentence, column, counts, label, n = [], [], [], [], 0
         for batch in batches:
-            for f, s, y in zip(*(c.to_pylist() for c in batch.columns)):
-                s = np.frombuffer(s, np.int32).astype(np.int64)
-                feature.append(np.frombuffer(f, np.uint64))
-                sentence.append(s + n)
-                count = int(s.max()) + 1 if len(s) else 0
-                owner.append(np.full(count, len(label), np.int64))
-                n += count
+            for s, f, count, y in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4, 5))):
+                sentence.append(np.frombuffer(s, np.int32) + np.int32(n))
+                column.append(np.frombuffer(f, np.int32))
+                counts.append(count)
                 label.append(y)
+                n += count
         model = NOTHING_LEARNED
         if label:
             y = np.array(label, np.float64)
             weight = np.where(y > 0, 1 / share.get(1, 1.0), 1 / share.get(0, 1.0))
-            model = fitted(np.concatenate(feature), np.concatenate(sentence), np.concatenate(owner), y, weight)
+            pairs = []
+            for parts in (column, sentence):
+                pairs.append(np.concatenate(parts).astype(np.int64))
+                parts.clear()
+            model = fitted(shared.value, *pairs, np.repeat(np.arange(len(y)), counts), y, weight)
         row = [[model.keys.tobytes()], [model.weights.tobytes()], [model.leak]]
         columns = [pa.array(row[0], pa.binary()), pa.array(row[1], pa.binary()), pa.array(row[2], pa.float64())]
         yield pa.RecordBatch.from_arrays(columns, ["keys", "weights", "leak"])
 
-    sampled = arrow_pass(rows, prepared, "feature binary, sentence binary, toxic int")
-    # the sample is bounded, so one task holds it
-    found = sampled.repartition(1).mapInArrow(fit, "keys binary, weights binary, leak double").first()
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, mark bigint, sentence binary, feature binary, n_sentences int, toxic int"
+    pairs = arrow_pass(rows.select("doc_id", "mark", "text", "toxic"), prepared, schema)
+    # the sample is bounded in rows and bytes, so one task holds it
+    ordered = pairs.repartition(1).sortWithinPartitions("doc_id", "mark")
+    found = ordered.mapInArrow(fit, "keys binary, weights binary, leak double").first()
+    if found is None:  # no chosen document has a text
+        return NOTHING_LEARNED
     keys = np.frombuffer(bytes(found["keys"]), np.uint64)
     return Model(keys, np.frombuffer(bytes(found["weights"]), np.float64), found["leak"])
 
@@ -304,4 +348,4 @@ def classified(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Data
     )
 
 
-__all__ = ["classified", "learned_weights", "scored", "offending_sentences", "features", "fitted", "fresh_name"]
+__all__ = ["classified", "learned_model", "scored", "offending_sentences", "features", "fitted"]

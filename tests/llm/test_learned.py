@@ -6,6 +6,8 @@ from collections import Counter
 
 import numpy as np
 
+from pyspark.sql import functions as F
+
 from basketry.llm import language, toxicity
 from basketry.llm.wordhash import words_of
 
@@ -144,3 +146,41 @@ def test_word_hashes_tell_words_apart_and_ignore_position():
     for w, h in zip(flat, found.hash.tolist()):
         assert by_word.setdefault(w, h) == h
     assert len(set(by_word.values())) == len(by_word)
+
+
+def test_two_runs_learn_the_same_model(spark):
+    """Also from rows in another order, and from ids that several texts share."""
+    rows, _, docs, frame = toxic_documents(spark)
+    twice = docs.union(spark.createDataFrame([(i, "another text. " * (1 + i % 3), "l", 0.5, "x") for i in range(0, 300, 7)], docs.schema))
+    one, two = (toxicity.learned_model(d, frame) for d in (twice.repartition(3), twice.repartition(7, "text")))
+    assert one.keys.tolist() == two.keys.tolist() and len(one.keys) > 0
+    assert one.weights.tolist() == two.weights.tolist() and one.leak == two.leak
+
+
+def test_a_sample_of_too_many_bytes_is_thinned_out(spark, monkeypatch):
+    rows, _, docs, frame = toxic_documents(spark)
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 20_000)
+    known = frame.select(F.col("doc_id").alias("_id"), F.lit(1).alias("toxic")).where("doc_id IS NOT NULL").distinct()
+    held = toxicity._sampled(docs, known).agg(F.sum(F.octet_length("text"))).first()[0]
+    assert 0 < held < 40_000
+
+
+def test_the_first_step_against_plain_sums():
+    """One round of the fit by hand: risks per sentence, noisy-or per text, slopes per word."""
+    used = np.array([3, 8], np.uint64)
+    column, sentence = np.array([0, 1, 0]), np.array([0, 0, 2])
+    owner, label, weight = np.array([0, 0, 1]), np.array([1.0, 0.0]), np.array([1.0, 2.0])
+    model = toxicity.fitted(used, column, sentence, owner, label, weight, rounds=1)
+    soft = lambda z: np.log1p(np.exp(z))
+    leak = np.log(1 / 3)
+    z = [toxicity.BASE + 1.0, toxicity.BASE, toxicity.BASE + 0.5]
+    s = [soft(z[0]) - soft(toxicity.BASE) + soft(leak), soft(z[2]) - soft(toxicity.BASE) + soft(leak)]
+    slope = [-1 / np.expm1(s[0]) / 3, 2 / 3]
+    g = [slope[0] / (1 + np.exp(-z[0])) + slope[1] / (1 + np.exp(-z[2])), slope[0] / (1 + np.exp(-z[0]))]
+    expected = []
+    for x in g:
+        m, v = 0.1 * x, 0.01 * x * x
+        pace = toxicity.STEP / (np.sqrt(v / 0.01) + 1e-9)
+        expected.append(max(0.0, 0.5 - pace * m / 0.1 - pace * toxicity.PENALTY / 3))
+    full = dict(zip(model.keys.tolist(), model.weights.tolist()))
+    np.testing.assert_allclose([full.get(3, 0.0), full.get(8, 0.0)], expected)
