@@ -26,23 +26,16 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from basketry.llm.common import cut_lineage, ordered_parts, text_bytes
+from basketry.llm.memory import WordMemory
 
 END_ID = 2
-# Words whose ids a worker remembers; beyond that it starts anew.
-CACHE_WORDS = 1_000_000
+# What one generation of a worker's memory holds (see ``memory``).
+CACHE_WORDS = 600_000
+CACHE_BYTES = 16_000_000
 # Texts are tokenised in runs of about this many bytes.
 RUN_BYTES = 1 << 22
 
 
-class _Numbers(dict):
-    """Numbers words in the order in which they are first asked for."""
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = number = len(self)
-        self.fresh.append(word)
-        return number
-
-
 class WordTokens:
     """Ids of texts by a tokenizer, remembered word by word.
 
@@ -59,13 +52,7 @@ class WordTokens:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.by_word = splits_at_space(json.loads(self.tokenizer.to_str()))
-        self._reset()
-
-    def _reset(self) -> None:
-        self.numbers = _Numbers()
-        self.numbers.fresh = []
-        self.pool = np.zeros(0, np.uint32)
-        self.start = np.zeros(1, np.int64)
+        self.memory = WordMemory(self._learn, CACHE_WORDS, CACHE_BYTES)
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, ids per text), without end marks."""
@@ -73,24 +60,14 @@ class WordTokens:
             found = self.tokenizer.encode_batch_fast([t.decode(errors="replace") for t in texts], add_special_tokens=False)
             ids = [np.array(e.ids, np.uint32) for e in found]
             return np.concatenate(ids or [np.zeros(0, np.uint32)]), np.array([len(i) for i in ids], np.int64)
-        if len(self.numbers) > CACHE_WORDS:
-            self._reset()
         split = [t.split() for t in texts]  # bytes: splits at ASCII white space only
-        words = itertools.chain.from_iterable(split)
-        rows = np.fromiter(map(self.numbers.__getitem__, words), np.int64, sum(map(len, split)))
-        if self.numbers.fresh:
-            self._learn(self.numbers.fresh)
-            self.numbers.fresh = []
-        size = np.diff(self.start)[rows]
-        ends = np.cumsum(size)
-        inside = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - size, size)
-        ids = self.pool[np.repeat(self.start[rows], size) + inside]
-        owner = np.repeat(np.arange(len(texts)), np.fromiter(map(len, split), np.int64, len(texts)))
-        return ids, np.bincount(owner, size, minlength=len(texts)).astype(np.int64)
-
-    def _learn(self, fresh: list[bytes]) -> None:
+        ids, size = self.memory.ids(list(itertools.chain.from_iterable(split)))
+        ends = np.concatenate(([0], np.cumsum(size)))[np.cumsum([0, *map(len, split)])]
+        return ids, np.diff(ends)
+
+    def _learn(self, fresh: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Encode new words in lines of many; the offsets of the ids tell which word they belong to."""
-        pools, sizes = [self.pool], []
+        pools, sizes = [], []
         for at in range(0, len(fresh), 2000):
             found = [w.decode(errors="replace") for w in fresh[at : at + 2000]]
             encoded = self.tokenizer.encode(" ".join(found), add_special_tokens=False)
@@ -99,8 +76,7 @@ class WordTokens:
             word = np.searchsorted(starts, place, side="right") - 1
             pools.append(np.array(encoded.ids, np.uint32))
             sizes.append(np.bincount(word, minlength=len(found)))
-        self.pool = np.concatenate(pools)
-        self.start = np.concatenate((self.start, self.start[-1] + np.cumsum(np.concatenate(sizes))))
+        return np.concatenate(pools), np.concatenate(sizes)
 
 
 class TextTokens(WordTokens):
