@@ -50,9 +50,13 @@ def _parsed(texts: list[bytes], span: int, rounds: int) -> tuple[Words, Anchors,
     return words, groups, place, base, sums
 
 
+# 128 bits of the text: rows that share an id, or have none, are as many as a table may hold.
+MARK = "struct<a:bigint,b:bigint>"
+
+
 def _mark(text: str) -> Column:
     """Tells rows with the same id apart by their texts."""
-    return F.pmod(F.xxhash64(text), F.lit(1 << 31)).cast("int")
+    return F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit("second"), F.reverse(text)).alias("b"))
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -83,7 +87,7 @@ def group_rows(keyed: DataFrame, span: int, rounds: int) -> DataFrame:
         ]
         return pa.RecordBatch.from_arrays(columns, ["at", "mark", "place", "name", "context"])
 
-    return arrow_pass(keyed, work, "at bigint, mark int, place int, name bigint, context bigint")
+    return arrow_pass(keyed, work, f"at bigint, mark {MARK}, place int, name bigint, context bigint")
 
 
 def _window_rows(opened: DataFrame, span: int, rounds: int) -> DataFrame:
@@ -114,7 +118,7 @@ def _window_rows(opened: DataFrame, span: int, rounds: int) -> DataFrame:
         ]
         return pa.RecordBatch.from_arrays(columns, ["at", "mark", "start", "name", "hash"])
 
-    return arrow_pass(opened, work, "at bigint, mark int, start int, name bigint, hash bigint")
+    return arrow_pass(opened, work, f"at bigint, mark {MARK}, start int, name bigint, hash bigint")
 
 
 def _listed(groups: Anchors, place: np.ndarray, lists: list) -> np.ndarray:
@@ -198,8 +202,10 @@ def deduplicated(
                 np.add.at(delta, groups.first[take], 1)
                 np.add.at(delta, groups.last[take] + span, -1)
             if starts[i]:
-                np.add.at(delta, np.array(starts[i]), 1)
-                np.add.at(delta, np.array(starts[i]) + span, -1)
+                at = np.array(starts[i])
+                at = at[at + span <= len(found)]  # no start of another text, whatever the marks say
+                np.add.at(delta, at, 1)
+                np.add.at(delta, at + span, -1)
             gone = np.cumsum(delta[:-1]) > 0
             n_removed[i] = int(gone.sum())
             texts[i] = b" ".join(itertools.compress(found, ~gone)).decode()

@@ -67,3 +67,31 @@ def test_every_window_is_in_one_group():
     groups = recompression.anchors(name, text)
     starts = np.concatenate([np.arange(a, b + 1) for a, b in zip(groups.first, groups.last)])
     assert (np.sort(starts) == np.flatnonzero(text[:851] == text[49:])).all()
+
+
+def test_many_rows_without_an_id(spark):
+    """Rows that share an id, or have none, are told apart by 128 bits of their texts."""
+    import random
+
+    rng = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(400)]
+    passages = [[rng.choice(vocabulary) for _ in range(20)] for _ in range(6)]
+    rows = []
+    for i in range(600):
+        words = [rng.choice(vocabulary) for _ in range(rng.choice([0, 3, 30, 60]))]
+        if i % 3 == 0:
+            words[len(words) // 2 : 0] = rng.choice(passages)
+        rows.append((i if i % 4 == 0 else None if i % 4 == 1 else 7, " ".join(words)))
+    check(rows, spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6), 9, 3)
+
+
+def test_starts_of_another_text_are_not_followed(spark, monkeypatch):
+    """Were the marks of two texts the same, the shorter one would still come out whole."""
+    monkeypatch.setattr(
+        substrings, "_mark", lambda text: F.struct(F.lit(1).cast("bigint").alias("a"), F.lit(1).cast("bigint").alias("b"))
+    )
+    long = " ".join(f"w{i}" for i in range(300))
+    rows = [(1, long), (None, "x y z " + long), (None, "a short text")]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = {r.text for r in substrings.deduplicated(frame, span=9, rounds=3).collect()}
+    assert "a short text" in found
