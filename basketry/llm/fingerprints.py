@@ -27,6 +27,8 @@ from basketry.llm.wordhash import mixed_bits
 
 CELLS = 24
 GROWTH = 4
+# Cells per digest at which a pair that is still stuck is compared digest by digest.
+LAST_RESORT = 4
 # Longer paragraphs are cut at sentence ends, and if still longer at words chosen by their hash.
 LONG = 400
 MOST_WORDS = 64
@@ -111,7 +113,11 @@ class Sketches:
 
 
 def differing(a: list[np.ndarray], b: list[np.ndarray], cells: int = CELLS) -> tuple[np.ndarray, list[np.ndarray]]:
-    """(number, digests) that differ between a[i] and b[i], by subtracting and peeling; stuck pairs grow."""
+    """(number, digests) that differ between a[i] and b[i], by subtracting and peeling; stuck pairs grow.
+
+    A pair that is stuck with LAST_RESORT cells per digest of both, where peeling all but never fails, is
+    compared digest by digest.
+    """
     found: list[np.ndarray] = [np.zeros(0, np.uint64)] * len(a)
     left = np.arange(len(a))
     while len(left):
@@ -126,6 +132,8 @@ def differing(a: list[np.ndarray], b: list[np.ndarray], cells: int = CELLS) -> t
             for k, i in enumerate(group):
                 if done[k]:
                     found[i] = keys[cuts[k] : cuts[k + 1]]
+                elif cells > LAST_RESORT * (len(a[i]) + len(b[i])):
+                    found[i] = np.setxor1d(a[i], b[i])
                 else:
                     stuck.append(i)
         left, cells = np.array(stuck, np.int64), cells * GROWTH
@@ -136,10 +144,13 @@ def _peeled(one: Sketches, two: Sketches) -> tuple[np.ndarray, np.ndarray, np.nd
     """(digests, row of each in rising order, True per row that was emptied)."""
     cells = one.cells
     count, keys, checks = one.count - two.count, one.keys ^ two.keys, one.checks ^ two.checks
-    got_keys, got_owner = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-    while True:
+    got_keys, got_owner, got_sign = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    # a round empties a cell for good or trusts a wrong digest; it never takes more rounds than cells unless it does
+    for _ in range(cells):
         pure = np.flatnonzero(np.abs(count) == 1)
         pure = pure[_check(keys[pure]) == checks[pure]]
+        # a sum of digests may look like one, but rarely in one of the three cells that one would have
+        pure = pure[(_places(keys[pure], pure // cells, cells) == pure).any(axis=0)]
         if not len(pure):
             break
         order = np.lexsort((keys[pure], pure // cells))
@@ -155,10 +166,21 @@ def _peeled(one: Sketches, two: Sketches) -> tuple[np.ndarray, np.ndarray, np.nd
             np.bitwise_xor.at(checks, at[j], _check(k))
         got_keys.append(k)
         got_owner.append(owner)
-    all_keys, all_owner = np.concatenate(got_keys), np.concatenate(got_owner)
-    order = np.argsort(all_owner, kind="stable")
-    rest = ((count != 0) | (keys != 0)).reshape(one.n, cells).any(axis=1)
-    return all_keys[order], all_owner[order], ~rest
+        got_sign.append(sign)
+    found, owner = _net(np.concatenate(got_keys), np.concatenate(got_owner), np.concatenate(got_sign))
+    rest = ((count != 0) | (keys != 0) | (checks != 0)).reshape(one.n, cells).any(axis=1)
+    return found, owner, ~rest
+
+
+def _net(keys: np.ndarray, owner: np.ndarray, sign: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Digests by owner; one that was taken out of a sketch and put back again is none."""
+    order = np.lexsort((keys, owner))
+    keys, owner, sign = keys[order], owner[order], sign[order]
+    if not len(keys):
+        return keys, owner
+    first = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1]))))
+    kept = first[np.add.reduceat(sign, first) != 0]
+    return keys[kept], owner[kept]
 
 
 def likeness(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:

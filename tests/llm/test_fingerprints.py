@@ -75,3 +75,23 @@ def test_repeated_and_long_paragraphs():
     pieces = fingerprints.paragraphs(long)
     assert len(pieces) > 20 and b" ".join(pieces) == long
     assert set(fingerprints.paragraphs(long + b" tail")) >= set(pieces[:-1])
+
+
+def test_wrong_digests_that_look_right_end_and_do_no_harm(monkeypatch):
+    """Checks of four bits let many sums of digests pass for one; peeling still ends with the true differences."""
+    monkeypatch.setattr(fingerprints, "_check", lambda keys: keys & fingerprints.np.uint64(15))
+    rng = fingerprints.np.random.default_rng(6)
+    for n in (0, 1, 5, 40, 200):
+        one = [fingerprints.np.unique(rng.integers(0, 2**63, n).astype("u8")) for _ in range(30)]
+        two = [fingerprints.np.unique(fingerprints.np.concatenate((x[: len(x) // 2], rng.integers(0, 2**63, n // 3).astype("u8")))) for x in one]
+        count, found = fingerprints.differing(one, two, 12)
+        for a, b, k, f in zip(one, two, count, found):
+            assert sorted(f.tolist()) == fingerprints.np.setxor1d(a, b).tolist() and k == len(f)
+
+
+def test_pairs_that_never_peel_are_compared_digest_by_digest(monkeypatch):
+    monkeypatch.setattr(fingerprints, "_check", lambda keys: keys * fingerprints.np.uint64(0) + fingerprints.np.uint64(1))
+    one, two = [fingerprints.np.arange(50, dtype="u8")], [fingerprints.np.arange(30, 90, dtype="u8")]
+    monkeypatch.setattr(fingerprints, "_peeled", lambda a, b: (fingerprints.np.zeros(0, "u8"), fingerprints.np.zeros(0, "i8"), fingerprints.np.zeros(a.n, bool)))
+    count, found = fingerprints.differing(one, two)
+    assert count.tolist() == [70] and sorted(found[0].tolist()) == [*range(30), *range(50, 90)]
