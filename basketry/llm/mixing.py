@@ -2,7 +2,7 @@
 
 Every source has a target in words. Whole epochs come first: a source whose target is 1.3 times its
 size is taken once in full. The fraction that remains is drawn without replacement: a document has
-the exponential key ``-ln(u) / weight``, u being a fixed hash of its id and weight its quality, and
+the exponential key ``-ln(u) / weight``, u being a fixed hash of its id and text and weight its quality, and
 documents are taken in key order while the running total fits the rest of the target.
 
 No source is sorted or summed in one task. Keys fall into buckets of the unit interval; sums per
@@ -36,9 +36,12 @@ def quality_weight(text: Column, size: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + symbols / F.greatest(size, F.lit(1)))
 
 
-def draw(doc_id: Column, seed: str = SEED) -> Column:
-    """A number above 0 and below 1 that is fixed by the id: 52 bits of its MD5."""
-    digits = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null")))), 1, 13)
+def draw(doc_id: Column, text: Column, seed: str = SEED) -> Column:
+    """A number above 0 and below 1 that is fixed by id and text: 52 bits of an MD5. Rows that share an id, or have
+    none, are drawn one by one; only rows with the same id and text share a number."""
+    body = F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+    name = F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(":"), body)
+    digits = F.substring(F.md5(name.cast("binary")), 1, 13)
     return (F.conv(digits, 16, 10).cast("bigint").cast("double") + 0.5) / float(1 << 52)
 
 
@@ -50,7 +53,7 @@ def measured(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source
         F.col(text).alias("_text"),
         F.size(words(F.col(text))).cast("bigint").alias("size"),
     )
-    key = -F.log(draw(F.col("doc_id"))) / quality_weight(F.col("_text"), F.col("size"))
+    key = -F.log(draw(F.col("doc_id"), F.col("_text"))) / quality_weight(F.col("_text"), F.col("size"))
     return sized.select("doc_id", "source", "size", key.alias("key"))
 
 
@@ -146,7 +149,8 @@ def mixed(
 
     ``taken`` is the words the mix takes of the row, repeats counted: size times 0, 1 or 2. Null and empty
     texts have size 0 and take nothing. A null source is a source like any other and the last in order.
-    Rows that repeat an id share a key, so a round takes all of them or none. Null ids share one key too.
+    Rows that repeat an id, or have none, are drawn one by one by their texts; rows with the same id and the same
+    text share a key, so a round takes all of them or none.
     An empty table gives an empty table; other columns are not read.
     """
     slim = cut_lineage(measured(docs, doc_id, text, source))
@@ -163,7 +167,7 @@ def mixed_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sour
     size = F.size(words(F.col(text))).cast("bigint")
     names = docs.columns
     row = docs.select(F.struct(*names).alias("row"), F.col(source).alias("source"), F.col(doc_id).alias("doc_id"), size.alias("size"))
-    key = -F.log(draw(F.col("doc_id"))) / quality_weight(F.col("row")[text], F.col("size"))
+    key = -F.log(draw(F.col("doc_id"), F.col("row")[text])) / quality_weight(F.col("row")[text], F.col("size"))
     joined = row.withColumn("key", key).join(small_side(state), F.col("source").eqNullSafe(F.col("of")))
     times = (F.col("epochs") + F.when(_picked(ROUNDS), 1).otherwise(0)).cast("int")
     copies = F.when(times > 0, F.sequence(F.lit(1), times)).otherwise(F.array().cast("array<int>"))
@@ -193,7 +197,7 @@ def sql(table: str = "documents", rounds: int = ROUNDS) -> str:
     return f"""
         with d as (select doc_id, source, coalesce(text, '') as text from {table}),
         z as (select *, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'))::bigint as size from d),
-        k as (select doc_id, source, size, -ln((('0x' || substr(md5('{SEED}:' || coalesce(doc_id::varchar, 'null')), 1, 13))::bigint
+        k as (select doc_id, source, size, -ln((('0x' || substr(md5('{SEED}:' || coalesce(doc_id::varchar, 'null') || ':' || md5(text)), 1, 13))::bigint
                 + 0.5::double) / 4503599627370496.0::double) / (1.0::double / (1.0::double
                 + (length(text) - length(translate(text, '{SYMBOLS}', '')))::double / greatest(size, 1))) as key from z),
         g as (select source, sum(size)::bigint as source_size from k group by source),

@@ -175,3 +175,11 @@ def test_policies_and_ablations(documents):
                 assert got[name].failing == sum(m >> bit & 1 for m in masks)
                 assert got[name].failing_alone == sum(m == 1 << bit for m in masks)
                 assert got[name].kept_without == sum(m & ~(1 << bit) == 0 for m in masks)
+
+
+def test_rows_without_an_id_are_drawn_one_by_one(spark):
+    rows = [(None if i % 2 else 5, f"text number {i} " + "word " * (i % 40), "a") for i in range(1500)]
+    rows += [(9000 + i, "other words here " * 30, "b") for i in range(1500)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    for r in mixing.source_report(mixing.mixed(frame)).collect():
+        assert 0 <= r.target - r.taken < 100
