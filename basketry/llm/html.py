@@ -16,6 +16,9 @@ from __future__ import annotations
 import html as references
 import json
 import re
+import sys
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -237,6 +240,14 @@ def blocks(page: str) -> tuple[list[Block], list[str]]:
     return found, stream
 
 
+# Pages may be nested as deep as they are long; calls between Python functions take no room on the machine's stack.
+DEEPEST = 1_000_000
+
+
+def _go_deep() -> None:
+    sys.setrecursionlimit(max(DEEPEST, sys.getrecursionlimit()))
+
+
 # A wrapper is a list of items; an item is [label, flags, children], "#" being a text slot without children.
 # Flags: 1 optional, 2 repeated.
 Wrapper = list[list]
@@ -259,53 +270,105 @@ def wrapper_of(stream: list[str]) -> Wrapper:
     return folded(root)
 
 
+def _with_runs_merged(items: Wrapper, counts: Counter) -> Wrapper:
+    """Items that stand side by side, and nowhere else, merged into one that is repeated."""
+    out: Wrapper = []
+    at = 0
+    while at < len(items):
+        item, size = items[at], counts[items[at][0]]
+        if size > 1 and at + size <= len(items) and all(i[0] == item[0] for i in items[at : at + size]):
+            inner, flags = item[2], item[1]
+            for other in items[at + 1 : at + size]:
+                inner, flags = aligned(inner, other[2]), flags | other[1]
+            item, at = [item[0], flags | 2, inner], at + size
+        else:
+            at += 1
+        out.append(item)
+    return out
+
+
 def folded(items: Wrapper) -> Wrapper:
     """Items in which no label stands twice: what lies between two occurrences is one turn of a repeated group, and
     items missing from a turn are optional."""
-    labels = [i[0] for i in items]
-    if len(set(labels)) == len(labels):
-        return items
-    repeated = next(x for x in labels if labels.count(x) > 1)
-    starts = [i for i, x in enumerate(labels) if x == repeated]
-    turns = [items[a:b] for a, b in zip(starts, starts[1:])]
-    # the last turn goes as far as it resembles the others
-    known = {i[0] for t in turns for i in t}
-    end = starts[-1]
-    while end < len(items) and (items[end][0] in known or end == starts[-1]):
-        end += 1
-    turns.append(items[starts[-1] : end])
-    group = folded(turns[0])
-    for turn in turns[1:]:
-        group = aligned(group, folded(turn))
-    for item in group:
-        item[1] |= 2
-    return folded(items[: starts[0]] + group + items[end:])
+    while True:
+        counts = Counter(i[0] for i in items)
+        if len(counts) == len(items):
+            return items
+        merged = _with_runs_merged(items, counts)
+        if len(merged) < len(items):
+            items = merged
+            continue
+        repeated = next(i[0] for i in items if counts[i[0]] > 1)
+        starts = [i for i, item in enumerate(items) if item[0] == repeated]
+        turns = [items[a:b] for a, b in zip(starts, starts[1:])]
+        # the last turn goes as far as it resembles the others
+        known = {i[0] for t in turns for i in t}
+        end = starts[-1]
+        while end < len(items) and (items[end][0] in known or end == starts[-1]):
+            end += 1
+        turns.append(items[starts[-1] : end])
+        group = folded(turns[0])
+        for turn in turns[1:]:
+            group = aligned(group, folded(turn))
+        for item in group:
+            item[1] |= 2
+        items = items[: starts[0]] + group + items[end:]
+
+
+def _common(a: Wrapper, b: Wrapper) -> list[tuple[int, int]]:
+    """Places of a longest common sequence of labels. No label stands twice in a list, so it is a longest rising
+    sequence of places."""
+    where = {item[0]: j for j, item in enumerate(b)}
+    pairs = [(i, where[item[0]]) for i, item in enumerate(a) if item[0] in where]
+    ends: list[int] = []  # least last place of a rising sequence of each length
+    last: list[int] = []  # the pair it ends with
+    before = []
+    for k, (_, j) in enumerate(pairs):
+        at = bisect_left(ends, j)
+        before.append(last[at - 1] if at else -1)
+        ends[at : at + 1] = [j]
+        last[at : at + 1] = [k]
+    chain, k = [], last[-1] if last else -1
+    while k >= 0:
+        chain.append(pairs[k])
+        k = before[k]
+    return chain[::-1]
 
 
 def aligned(a: Wrapper, b: Wrapper) -> Wrapper:
     """One list of items that matches what either matches: common labels in order, the rest optional."""
-    m, n = len(a), len(b)
-    if [i[0] for i in a] == [i[0] for i in b]:
-        return [[x[0], x[1] | y[1], aligned(x[2], y[2])] for x, y in zip(a, b)]
-    best = [[0] * (n + 1) for _ in range(m + 1)]
-    for i in range(m - 1, -1, -1):
-        for j in range(n - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if a[i][0] == b[j][0] else max(best[i + 1][j], best[i][j + 1])
     out: Wrapper = []
     i = j = 0
-    while i < m or j < n:
-        if i < m and j < n and a[i][0] == b[j][0]:
-            out.append([a[i][0], a[i][1] | b[j][1], aligned(a[i][2], b[j][2])])
-            i, j = i + 1, j + 1
-        elif j == n or i < m and best[i + 1][j] >= best[i][j + 1]:
-            out.append([a[i][0], a[i][1] | 1, a[i][2]])
-            i += 1
-        else:
-            out.append([b[j][0], b[j][1] | 1, b[j][2]])
-            j += 1
+    for x, y in [*_common(a, b), (len(a), len(b))]:
+        out += [[label, flags | 1, inner] for label, flags, inner in (*a[i:x], *b[j:y])]
+        if x < len(a):
+            out.append([a[x][0], a[x][1] | b[y][1], aligned(a[x][2], b[y][2])])
+        i, j = x + 1, y + 1
     return folded(out)
 
 
+def written(wrapper: Wrapper) -> str:
+    """A wrapper as one line per item: its depth, flags and label."""
+    lines, todo = [], [(0, item) for item in reversed(wrapper)]
+    while todo:
+        depth, (label, flags, inner) = todo.pop()
+        lines.append(f"{depth} {flags} {label}")
+        todo += [(depth + 1, item) for item in reversed(inner)]
+    return "\n".join(lines)
+
+
+def read_wrapper(text: str) -> Wrapper:
+    """The wrapper that ``written`` wrote."""
+    levels: list[Wrapper] = [[]]
+    for line in text.split("\n") if text else []:
+        depth, flags, label = line.split(" ", 2)
+        item = [label, int(flags), []]
+        del levels[int(depth) + 1 :]
+        levels[-1].append(item)
+        levels.append(item[2])
+    return levels[0]
+
+
 def as_expression(wrapper: Wrapper) -> str:
     """The wrapper in the notation of regular expressions, for people."""
     marks = {0: "", 1: "?", 2: "+", 3: "*"}
@@ -324,10 +387,11 @@ def _observed(pages: DataFrame) -> DataFrame:
     many bits are as many different pages at least, however often each is repeated."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        _go_deep()
         sums: dict[tuple, list] = {}
         for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             found, stream = blocks(page or "")
-            key = (host, 1, json.dumps(wrapper_of(stream)))
+            key = (host, 1, written(wrapper_of(stream)))
             sums.setdefault(key, [0, 0, 0, 0, 0, 0])[0] += 1
             shown = [b for b in found if not b.outside]
             if any(b.main for b in shown):
@@ -364,10 +428,11 @@ def _merged(rows: DataFrame, *by: str) -> DataFrame:
     ordered = rows.repartition(*by).sortWithinPartitions(*by, "wrapper")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _go_deep()
         held, wrapper, pages = None, [], 0
 
         def row() -> pa.RecordBatch:
-            columns = [pa.array([held[0]]), pa.array([json.dumps(wrapper)]), pa.array([pages], pa.int64())]
+            columns = [pa.array([held[0]]), pa.array([written(wrapper)]), pa.array([pages], pa.int64())]
             return pa.RecordBatch.from_arrays(columns, ["host", "wrapper", "pages"])
 
         for batch in batches:
@@ -377,9 +442,9 @@ def _merged(rows: DataFrame, *by: str) -> DataFrame:
                 if key != held:
                     if held is not None:
                         yield row()
-                    held, wrapper, pages = key, json.loads(text), 0
+                    held, wrapper, pages = key, read_wrapper(text), 0
                 else:
-                    wrapper = aligned(wrapper, json.loads(text))
+                    wrapper = aligned(wrapper, read_wrapper(text))
                 pages += n
         if held is not None:
             yield row()
@@ -423,16 +488,15 @@ def article_rule(wrapper: Wrapper, slots: list[dict]) -> dict:
     return {"main": sorted("\n".join(p) for p in mains), "skip": sorted("\n".join(p) for p in skip)}
 
 
-def _paths(wrapper: Wrapper) -> list[tuple[str, ...]]:
-    found = []
+def _paths(wrapper: Wrapper) -> Iterator[tuple[str, ...]]:
     todo = [((), wrapper)]
     while todo:
         path, items = todo.pop()
         for label, _, inner in items:
             if label != "#":
-                found.append((*path, label))
-                todo.append(((*path, label), inner))
-    return found
+                yield (*path, label)
+                if inner:
+                    todo.append(((*path, label), inner))
 
 
 def article_text(page: str | None, rule: dict | None) -> str:
@@ -465,7 +529,7 @@ def host_rules(pages: DataFrame) -> DataFrame:
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         rules = [
-            json.dumps(article_rule(json.loads(w), s or []))
+            json.dumps(article_rule(read_wrapper(w), s or []))
             for w, s in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())
         ]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(rules, pa.string())], ["host", "rule"])

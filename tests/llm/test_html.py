@@ -1,4 +1,3 @@
-import json
 
 from pyspark.sql import functions as F
 
@@ -71,7 +70,7 @@ def test_wrapper_is_a_union_free_expression(spark):
     frame = pages(spark, rows).select(html.host_of(F.col("url")).alias("host"), "html")
     found = html.host_wrappers(html._observed(frame)).collect()
     assert [(r.host, r.pages) for r in found] == [("f.org", 40)]
-    assert html.as_expression(json.loads(found[0].wrapper)) == "<body>(<h1>(#) <p>(#)*)"
+    assert html.as_expression(html.read_wrapper(found[0].wrapper)) == "<body>(<h1>(#) <p>(#)*)"
 
 
 def test_article_with_slugs_head_and_form_around_it(spark):
@@ -102,3 +101,41 @@ def test_copies_second_boxes_and_lists(spark):
     lists = ["<article><p>a</p><ul>" + "<li><a href=x>some link</a></li>" * 40 + "</ul></article>"] * 3
     lists.append("<article><p>a</p><ul><li>plain</li></ul></article>")
     assert texts(spark, [("http://n.org/", x) for x in lists])[3] == "a plain"
+
+
+def test_deep_and_wide_pages(spark):
+    words = "Some words that this page alone has. "
+    doubled = "".join(f"<div class='zz{i}q'><p>{words}{i}</p></div>" * 2 for i in range(2500))
+    scattered = "".join(f"<div class='yy{i}q'>a</div><hr><div class='yy{i}q'>b</div>" for i in range(300))
+    rows = [
+        ("http://deep.org/1", "<div>" * 20000 + words),
+        ("http://deep.org/2", "<div class='a'>" * 3000 + "<p>x</p></div>" * 3000 + words),
+        ("http://wide.org/1", doubled),
+        ("http://wide.org/2", scattered),
+        ("http://wide.org/3", "<p>one</p>" * 5000),
+    ]
+    found = {r.url: r.text for r in html.main_texts(pages(spark, rows)).collect()}
+    assert set(found) == {r[0] for r in rows}
+    assert found["http://deep.org/1"] == words.strip()
+
+
+def test_written_wrappers_read_back():
+    for page in ("", "<p>a</p>", "<body><h2>a</h2><p>b</p><h2>c</h2><h2>d</h2><p>e</p><p>f</p></body>", "<div>" * 5000 + "x"):
+        wrapper = html.wrapper_of(html.blocks(page)[1])
+        assert html.written(html.read_wrapper(html.written(wrapper))) == html.written(wrapper)
+
+
+def test_common_labels_are_a_longest_common_sequence():
+    import random
+
+    rng = random.Random(3)
+    for _ in range(200):
+        a, b = ([[x, 0, []] for x in rng.sample("abcdefgh", rng.randrange(9))] for _ in range(2))
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(len(a) - 1, -1, -1):
+            for j in range(len(b) - 1, -1, -1):
+                best[i][j] = best[i + 1][j + 1] + 1 if a[i][0] == b[j][0] else max(best[i + 1][j], best[i][j + 1])
+        chain = html._common(a, b)
+        assert len(chain) == best[0][0]
+        assert all(a[i][0] == b[j][0] for i, j in chain)
+        assert all(x[0] < y[0] and x[1] < y[1] for x, y in zip(chain, chain[1:]))
