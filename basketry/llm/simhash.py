@@ -15,6 +15,7 @@ first of them is linked to the rest. That is linear in the group and loses no li
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -155,11 +156,23 @@ def hex_digits(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def first_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def _grouped(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp) per row and (fp, first, root) per fingerprint of ``rows`` (row, text)."""
+    prints = cut_lineage(with_fingerprints(rows, "row", "text"))
+    return prints, _rooted(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
+
+
+def first_of_each(
+    docs: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    grouped: Callable[[DataFrame], tuple[DataFrame, DataFrame]] = _grouped,
+) -> DataFrame:
     """The rows of ``docs``, all columns, that stay when one row of each component does: that with the smallest
     id, and of rows that share this id the first by the hash of the text. Null ids come last.
 
     Ids choose inside a component only, so rows without an id or with a repeated one stay if their texts are unrelated.
+    ``grouped`` finds the components.
     """
     a, b = fresh_name(docs, "_mark_a"), fresh_name(docs, "_mark_b")
     # 128 bits that stand for the whole row; maps and variants cannot be hashed
@@ -171,8 +184,7 @@ def first_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
         F.col(a).alias("a"), F.col(b).alias("b"),
     )
     slim = marked.select(order.alias("row"), F.col(text).alias("text"))
-    prints = cut_lineage(with_fingerprints(slim, "row", "text"))
-    rooted = _rooted(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    prints, rooted = grouped(slim)
     kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.a").alias(a), F.col("first.b").alias(b))
     kept = cut_lineage(kept)
     repeated = prints.groupBy(F.col("doc_id.a").alias(a), F.col("doc_id.b").alias(b)).agg(F.count("*").alias("n"))

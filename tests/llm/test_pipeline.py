@@ -4,7 +4,7 @@ from collections import Counter
 
 import corpus_pipeline
 from basketry.llm import mixing
-from tests.llm.test_simhash import brute_components, brute_fingerprint
+from tests.llm.test_nearcopies import brute_classes
 from tests.llm.test_substrings import plain
 
 
@@ -23,7 +23,7 @@ def test_stages_one_after_the_other(spark, documents, tmp_path):
         if name == "language_id":
             assert Counter(r.doc_id for r in got) == Counter(r.doc_id for r in given if any(c.isalpha() for c in r.text or ""))
         elif name == "near_dedup":
-            classes = brute_components([brute_fingerprint(r.text) for r in given])
+            classes = brute_classes([r.text for r in given])
             order = lambda r: r.doc_id if r.doc_id is not None else 1 << 63
             first = {}
             for r, c in zip(given, classes):
