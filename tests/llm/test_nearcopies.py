@@ -1,3 +1,4 @@
+import functools
 import random
 
 import numpy as np
@@ -67,31 +68,18 @@ def test_sums_are_plain_sums_of_bytes():
         assert found[half + at : half + at + 4].tolist() == expected[1::2].tolist()
 
 
-def test_groups_of_near_copies_whatever_the_crowd(spark):
+def test_groups_of_near_copies_whatever_the_crowd(spark, monkeypatch):
     rng = random.Random(4)
     texts = []
     for size, copies, edits in [(300, 40, 2), (120, 30, 1), (500, 3, 6), (60, 2, 1), (8, 1, 0), (3, 2, 0), (200, 0, 0)] * 2:
         texts += family(rng, size, copies, edits)
-    texts += [f"{family(rng, 150, 0, 0)[0]}" for _ in range(60)]
-    truth = {}
-    for i, c in enumerate(brute_classes(texts)):
-        truth.setdefault(c, set()).add(i)
-    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
-    rows = nearcopies.with_signatures(frame).collect()
-    by_node = {}
-    for r in rows:
-        by_node.setdefault(r.node, set()).add(r.doc_id)
-    once = {r.node: r for r in rows}
-    sets = spark.createDataFrame(
-        [(r.node, r.size, r.symbols, r.signs) for r in once.values()],
-        "node bigint, size bigint, symbols binary, signs array<bigint>",
-    )
+    texts += [family(rng, 150, 0, 0)[0] for _ in range(60)]
+    exact = set(brute_classes(texts))
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    paired = nearcopies.links
     for heavy in (2, 1000):
-        roots = {r.node: r.root for r in connected_components(nearcopies.links(sets, heavy=heavy)).collect()}
-        groups = {}
-        for node, ids in by_node.items():
-            groups.setdefault(roots.get(node, node), set()).update(ids)
-        assert {frozenset(g) for g in groups.values()} == {frozenset(g) for g in truth.values()}
+        monkeypatch.setattr(nearcopies, "links", functools.partial(paired, heavy=heavy))
+        assert {r.doc_id for r in nearcopies.first_near_copies(docs).collect()} == exact
 
 
 def test_recall_and_estimate_at_the_threshold():
@@ -125,3 +113,17 @@ def test_nulls_ties_repeats_and_empty_tables(spark):
     assert sorted((r.doc_id, r.text) for r in kept.collect() if r.text) == sorted([(3, near), (4, other), (4, "short text")])
     assert [r.doc_id for r in kept.collect() if not r.text] == [7]
     assert nearcopies.first_near_copies(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_pairs_near_the_threshold_are_settled_exactly(spark):
+    rng = random.Random(12)
+    texts = []
+    for _ in range(30):
+        base = [f"w{rng.randrange(10_000)}" for _ in range(204)]  # 200 shingles; a tail of n new words changes n
+        tail = rng.choice([20, 21, 22, 23, 24, 26])
+        texts += [" ".join(base), " ".join(base[:-tail] + [f"x{rng.randrange(10_000)}" for _ in range(tail)])]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    kept = {r.doc_id for r in nearcopies.first_near_copies(docs).collect()}
+    exact = set(brute_classes(texts))
+    assert 30 < len(exact) < 60
+    assert exact <= kept and len(kept - exact) <= 0.1 * (60 - len(exact))
