@@ -10,7 +10,7 @@ from basketry.operators.oversample import (
     SCATTER_RANGE,
     SPLIT_FACTOR,
 )
-from basketry.registry.queries import SAMPLE_CENTROIDS, SMOTE_FEATURES
+from basketry.registry.queries import SAMPLE_CENTROIDS, SAMPLE_POINTS, SMOTE_FEATURES
 from basketry.registry.tpch import ORACLE_ROLES
 
 
@@ -113,6 +113,26 @@ def density(rows: str, x: str, bins: int, points: int = 200) -> str:
 )"""
 
 
+def binned_density(rows: str, x: str, bins: int, points: int = 200, tolerance: float = 1e-5) -> str:
+    """Every value shared by the two grid positions around it, then a kernel per grid position."""
+    return f"""
+, dstats AS (
+  SELECT min({x})::DOUBLE AS lo, max({x})::DOUBLE AS hi, stddev_samp({x}::DOUBLE) * pow(count({x}), -0.2) AS bw FROM {rows}
+)
+, placed AS (SELECT ({x} - lo) / (bw * sqrt(8 * {tolerance!r}::DOUBLE)) AS a FROM {rows} CROSS JOIN dstats WHERE {x} IS NOT NULL)
+, cells AS (
+  SELECT c, sum(share) AS w FROM (
+    SELECT floor(a) AS c, 1 - (a - floor(a)) AS share FROM placed UNION ALL SELECT floor(a) + 1, a - floor(a) FROM placed
+  ) GROUP BY c
+)
+, line AS (
+  SELECT CAST(g.i AS INTEGER) AS point, lo + g.i * (hi - lo) / {points - 1} AS position,
+         sum(w * exp(-0.5 * pow((g.i * (hi - lo) / {points - 1} - c * bw * sqrt(8 * {tolerance!r}::DOUBLE)) / bw, 2)))
+           * ((hi - lo) / {bins}) / (bw * sqrt(2 * pi())) AS density
+  FROM range({points}) g(i) CROSS JOIN dstats CROSS JOIN cells GROUP BY g.i, lo, hi, bw
+)"""
+
+
 def distribution(rows: str, x: str, bins: int) -> str:
     return (
         histogram(rows, x, bins)
@@ -482,10 +502,13 @@ QUERIES: dict[str, str] = {
     "divide_ratio": "SELECT product_category_name, customer_state, CAST(sum(is_late) AS DOUBLE) / count(*) AS share, CAST(NULL AS DOUBLE) AS undefined FROM fact WHERE product_category_name IS NOT NULL GROUP BY product_category_name, customer_state",
     "histogram_equal_width": histogram("fact", "price", 30) + " SELECT bin, round(low, 6) AS low, round(high, 6) AS high, row_count FROM bars",
     "kde_gaussian": density("fact", "delivery_time", 30) + " SELECT point, round(position, 6) AS position, round(density, 6) AS density FROM line",
+    "kde_binned": binned_density("fact", "price", 30) + " SELECT point, round(position, 6) AS position, round(density, 6) AS density FROM line",
+    "kde_binned_check": "SELECT CAST(i AS INTEGER) AS point, true AS within_bound FROM range(200) g(i) WHERE (SELECT count(DISTINCT price) FROM fact) > 1",
     "box_stats": box_stats("fact", "freight_value", "customer_state"),
     "box_outliers": box("fact", "freight_value", "customer_state") + " SELECT customer_state, v AS freight_value FROM fenced WHERE NOT inside",
     "count_by_category": "SELECT review_score, count(*) AS row_count FROM fact GROUP BY review_score",
     "scatter_points": "SELECT price AS x, freight_value AS y, review_score FROM fact",
+    "scatter_sample": f"SELECT price AS x, freight_value AS y, review_score FROM fact ORDER BY md5(concat(':', order_id, ':', seller_id)), x NULLS FIRST, y NULLS FIRST, review_score NULLS FIRST LIMIT {SAMPLE_POINTS}",
     "heat_row": f"{STATE_SALES} SELECT customer_state, region, total_price FROM state_sales",
     "standard_scale": f"{RFM} SELECT customer_unique_id, {_SCALE} FROM rfm",
     "cluster_summary": f"{SEGMENTS} SELECT cluster, " + ", ".join(f"round_even(avg({m}), 6) AS {m}_mean, round_even(median({m}::DOUBLE), 6) AS {m}_median" for m in _MEASURES) + ", count(*) AS customers FROM segments GROUP BY cluster",

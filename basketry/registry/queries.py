@@ -27,6 +27,7 @@ START_CENTRES = (
     ((-1.0, -1.0, -1.0, 0.0), (0.0, 1.0, 1.0, 0.0), (1.0, -1.0, 0.0, 1.0), (0.0, 0.0, 0.0, -1.0)),
     ((0.0, 0.0, 0.0, 0.0), (1.0, 1.0, 1.0, 1.0), (-1.0, -1.0, -1.0, -1.0), (90.0, 0.0, -2.0, 0.0)),
 )
+SAMPLE_POINTS = 1000
 SAMPLE_SPACE = ("recency", "frequency", "monetary_100k", "satisfaction")
 SMOTE_FEATURES = ("price", "freight_value", "delivery_time")
 
@@ -401,6 +402,13 @@ def delay_report(fx: Fixture) -> DataFrame:
 
 
 
+def kde_binned_check(fx: Fixture) -> DataFrame:
+    """The curve from the grid against the one from every single price: each point must lie within the stated bound."""
+    exact = dist.density(fx.fact, "price", 30).select("point", F.col("density").alias("exact"))
+    gap = F.abs(F.col("density") - F.col("exact"))
+    return dist.binned_density(fx.fact, "price", 30).join(exact, "point").select("point", (gap <= F.col("bound")).alias("within_bound"))
+
+
 def kmeans_check(fx: Fixture) -> DataFrame:
     """What must hold for any fit: scaled values, and every customer in the cluster of the nearest centroid."""
     found = fx.segmentation
@@ -592,10 +600,13 @@ QUERIES: dict[str, Callable[[Fixture], DataFrame]] = {
     # distributions
     "histogram_equal_width": lambda fx: dist.histogram(fx.fact, "price", 30).select("bin", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), "row_count"),
     "kde_gaussian": lambda fx: dist.density(fx.fact, "delivery_time", 30).select("point", F.round("position", 6).alias("position"), F.round("density", 6).alias("density")),
+    "kde_binned": lambda fx: dist.binned_density(fx.fact, "price", 30).select("point", F.round("position", 6).alias("position"), F.round("density", 6).alias("density")),
+    "kde_binned_check": kde_binned_check,
     "box_stats": lambda fx: dist.box_stats(fx.fact, "freight_value", "customer_state"),
     "box_outliers": lambda fx: dist.box_outliers(fx.fact, "freight_value", "customer_state"),
     "count_by_category": lambda fx: agg.count_by(fx.fact, "review_score"),
     "scatter_points": lambda fx: dist.scatter(fx.fact, "price", "freight_value", {"review_score": F.col("review_score")}),
+    "scatter_sample": lambda fx: dist.scatter(fx.fact, "price", "freight_value", {"review_score": F.col("review_score")}, SAMPLE_POINTS, ["order_id", "seller_id"]),
     "heat_row": lambda fx: dashboard.state_sales(fx.fact, fx.regions).select("customer_state", "region", "total_price"),
     # machine learning
     "standard_scale": standard_scale,
