@@ -3,7 +3,8 @@
 A quantile sketch gives, for every group and target, two values that enclose the wanted rank.
 One more scan counts the rows below that bracket and the different values inside it. The bracket
 holds about 4 / accuracy of the rows of a group, so neither a group nor the column ever meets in
-one task, and the rows themselves are never shuffled.
+one task, and the rows themselves are never shuffled. The sketch can come from a summary table (``summaries``)
+instead, which answers many questions with one scan.
 """
 
 from __future__ import annotations
@@ -13,8 +14,8 @@ from typing import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from basketry.functions import all_known
+from basketry.operators import summaries
 from basketry.operators.sizing import small_side
-from basketry.session import cut_lineage
 
 ACCURACY = 10_000
 # Half widths of a bracket, in units of the sketch's error. Large groups use the first; a group of
@@ -69,7 +70,8 @@ def _sketch(
         ]
         seen[c] += 2 * len(MARGINS)
     most = F.greatest(*(F.col(f"_n_{c}") for c in columns), F.lit(0).cast("bigint"))
-    return found.select(*by, most.alias("_n"), *parts)
+    share = min(4.0 * wider / accuracy, 1.0)
+    return found.select(*by, (most * share).alias("_expected"), *parts)
 
 
 def _with_brackets(df: DataFrame, brackets: DataFrame, by: list[str]) -> DataFrame:
@@ -80,7 +82,7 @@ def _with_brackets(df: DataFrame, brackets: DataFrame, by: list[str]) -> DataFra
 
 def _narrowed(bracketed: DataFrame, targets: Sequence[tuple[str, float]], by: list[str], accuracy: int) -> DataFrame:
     """Brackets cut down by a second sketch, of the values inside them only."""
-    aggregates = [F.max("_n").alias("_n")]
+    aggregates = [(F.max("_expected") * 4.0 / GRID).alias("_expected")]
     for i, (c, _) in enumerate(targets):
         x, low, high = F.col(c).cast("double"), F.col(f"_low_{i}"), F.col(f"_high_{i}")
         inside = x.between(low, high)
@@ -104,7 +106,7 @@ def _narrowed(bracketed: DataFrame, targets: Sequence[tuple[str, float]], by: li
             F.coalesce(F.when(last < GRID, F.get(grid, last)), f"_high_{i}").alias(f"_high_{i}"),
             F.col(f"_rank_{i}"),
         ]
-    return found.select(*by, "_n", *parts)
+    return found.select(*by, "_expected", *parts)
 
 
 def _between(low: Column, high: Column, rank: Column) -> Column:
@@ -122,16 +124,20 @@ def exact_quantiles(
     targets: Mapping[str, tuple[str, float]],
     by: Sequence[str] = (),
     accuracy: int = ACCURACY,
+    summary: DataFrame | None = None,
 ) -> DataFrame:
     """One row per group with one column per target, ``{name: (column, probability)}``.
 
     Nulls do not take part, rows with a null key are dropped, and groups without any value have
     no row. Ranks are computed when this is called. Should a sketch be worse than promised and a rank lie
-    outside its bracket, all brackets are widened and the rows are scanned again.
+    outside its bracket, all brackets are widened and the rows are scanned again. With ``summary``, a table by
+    ``summaries.quantile_summary`` over the same rows with at least these keys and columns, the scan for the sketch is saved.
     """
     by, wanted = list(by), list(targets.values())
+    if summary is not None:
+        summary = summaries.merged(summary, by, list(dict.fromkeys(c for c, _ in wanted)))
     for wider in WIDER:
-        found = cut_lineage(_ranks(df, wanted, by, accuracy, wider))
+        found = small_side(_ranks(df, wanted, by, accuracy, wider, summary))
         if found.where("_low is null or _high is null").isEmpty():
             break
 
@@ -142,15 +148,23 @@ def exact_quantiles(
     return found.groupBy(*by).agg(*(pick(i).cast("double").alias(name) for i, name in enumerate(targets)))
 
 
-def _ranks(df: DataFrame, wanted: list[tuple[str, float]], by: list[str], accuracy: int, wider: float) -> DataFrame:
+def _ranks(
+    df: DataFrame,
+    wanted: list[tuple[str, float]],
+    by: list[str],
+    accuracy: int,
+    wider: float,
+    summary: DataFrame | None = None,
+) -> DataFrame:
     """Per group and target number ``_i``: the rank and the values just below and above it, null if missed."""
-    brackets = small_side(_sketch(df, wanted, by, accuracy, wider))
+    if summary is None:
+        brackets = small_side(_sketch(df, wanted, by, accuracy, wider))
+    else:
+        brackets = small_side(summaries.brackets(known_keys(summary, by), wanted, by, wider))
     bracketed = _with_brackets(df, brackets, by)
-    share = 4.0 * wider / accuracy if wider < float("inf") else 1.0
-    while not brackets.where(F.col("_n") * share > BRACKET_ROWS).isEmpty():
+    while not brackets.where(F.col("_expected") > BRACKET_ROWS).isEmpty():
         brackets = small_side(_narrowed(bracketed, wanted, by, accuracy))
         bracketed = _with_brackets(df, brackets, by)
-        share *= 4.0 / GRID
 
     def hit(i: int, column: str) -> Column:
         # below the bracket only the number of rows matters, so those rows share one null value

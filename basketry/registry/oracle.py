@@ -133,6 +133,13 @@ def binned_density(rows: str, x: str, bins: int, points: int = 200, tolerance: f
 )"""
 
 
+def _quartiles(question: str, group: str, by: str = "") -> str:
+    values = ("delivery_time", "freight_value", "price")
+    parts = ", ".join(f"{quantile(v, 0.25 * i)} AS {v}_q{i}" for v in values for i in (1, 2, 3))
+    tail = f" WHERE {by} IS NOT NULL GROUP BY {by}" if by else ""
+    return f"SELECT '{question}' AS question, {group} AS group_key, {parts} FROM fact{tail}"
+
+
 def distribution(rows: str, x: str, bins: int) -> str:
     return (
         histogram(rows, x, bins)
@@ -478,6 +485,7 @@ QUERIES: dict[str, str] = {
     "agg_multi_key": f"{STATE_PAIRS} SELECT customer_state, seller_state, mean_freight, mean_price FROM pairs",
     "agg_two_level": ", totals AS (SELECT order_id, customer_state, sum(CAST(price AS DECIMAL(18,2))) AS t FROM fact GROUP BY order_id, customer_state) SELECT customer_state, CAST(sum(t) AS DOUBLE) / count(t) AS mean_order_value FROM totals GROUP BY customer_state",
     "quantile_exact": "SELECT " + ", ".join(f"{quantile(c, p)} AS {c}_q{round(p * 100)}" for c in SMOTE_FEATURES for p in (0.25, 0.75)) + " FROM fact",
+    "quantiles_from_summary": " UNION ALL ".join((_quartiles("state", "customer_state", "customer_state"), _quartiles("score", "CAST(CAST(review_score AS INTEGER) AS VARCHAR)", "review_score"), _quartiles("all", "''"))),
     "value_counts": f"{SEGMENTS} SELECT cluster, frequency, count(*) AS row_count FROM segments GROUP BY cluster, frequency",
     "agg_last_custom": f"SELECT customer_unique_id, {elapsed(f'(SELECT max({BOUGHT}) FROM fact)', f'max({BOUGHT})')} AS recency FROM fact GROUP BY customer_unique_id",
     "cumulative_rates": f"{SCORES} SELECT score AS threshold, tp AS true_positives, fp AS false_positives, fp::DOUBLE / n_all::DOUBLE AS fpr, tp::DOUBLE / p_all::DOUBLE AS tpr FROM running",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import cached_property
 
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from basketry import functions as fn
 from basketry.operators import aggregates as agg
 from basketry.operators import distributions as dist
-from basketry.operators import cells, clustering, factorised, filters, joins, metrics, neighbours, oversample, scaling
+from basketry.operators import cells, clustering, factorised, filters, joins, metrics, neighbours, oversample, scaling, summaries
 from basketry.operators.quantiles import exact_quantiles, quantile_values
 from basketry.plans import dashboard, delay, exploration, retention, satisfaction, segments
 from basketry.plans.prepare import add_features, clean_rows, prepared_fact
@@ -402,6 +403,22 @@ def delay_report(fx: Fixture) -> DataFrame:
 
 
 
+def quantiles_from_summary(fx: Fixture) -> DataFrame:
+    """Quartiles by state, by score and of all rows, exact, from one summary by state and score."""
+    values = ("delivery_time", "freight_value", "price")
+    path = scratch_path(fx.spark, f"summary-{uuid.uuid4().hex}")
+    summary = sinks.replace_table(summaries.quantile_summary(fx.fact, values, ("customer_state", "review_score")), path)
+    targets = {f"{v}_q{i}": (v, 0.25 * i) for v in values for i in (1, 2, 3)}
+
+    def answered(question: str, *by: str) -> DataFrame:
+        found = exact_quantiles(fx.fact, targets, by, summary=summary)
+        group = F.col(by[0]).cast("int").cast("string") if by == ("review_score",) else F.col(by[0]) if by else F.lit("")
+        return found.select(F.lit(question).alias("question"), group.alias("group_key"), *targets)
+
+    by_state, by_score = answered("state", "customer_state"), answered("score", "review_score")
+    return by_state.union(by_score).union(answered("all"))
+
+
 def kde_binned_check(fx: Fixture) -> DataFrame:
     """The curve from the grid against the one from every single price: each point must lie within the stated bound."""
     exact = dist.density(fx.fact, "price", 30).select("point", F.col("density").alias("exact"))
@@ -573,6 +590,7 @@ QUERIES: dict[str, Callable[[Fixture], DataFrame]] = {
     "agg_multi_key": lambda fx: agg.by_state_pair(fx.fact),
     "agg_two_level": lambda fx: agg.mean_order_total(fx.fact, "customer_state"),
     "quantile_exact": quantile_exact,
+    "quantiles_from_summary": quantiles_from_summary,
     "value_counts": lambda fx: agg.value_counts(fx.sample_segments, ["cluster"], "frequency"),
     "agg_last_custom": lambda fx: agg.recency(fx.fact),
     # windows, sorts, set operations

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from basketry.operators import distributions as dist
-from basketry.operators import filters, quantiles
+from basketry.operators import filters, quantiles, summaries
 from basketry.operators.quantiles import exact_quantiles, quantile_values
 
 
@@ -124,3 +124,52 @@ def test_box_with_outliers(spark):
     assert (row["q1"], row["median"], row["q3"]) == (2.25, 3.5, 4.75)
     assert (row["whisker_low"], row["whisker_high"], row["outliers"]) == (1.0, 5.0, 1)
     assert [r["x"] for r in dist.box_outliers(df, "x", "g").collect()] == [50.0]
+
+
+def summary_rows(spark):
+    rng = random.Random(11)
+    rows = []
+    for state, n in {"a": 1, "b": 3, "c": 700, "d": 9000}.items():
+        for _ in range(n):
+            x = None if rng.random() < 0.1 else 5.0 if rng.random() < 0.3 else rng.lognormvariate(1, 2)
+            rows.append((state, rng.choice([1, 2, None]), x, rng.randrange(50)))
+    rows += [(None, 1, 2.5, 7), ("empty", 2, None, None)]
+    return rows, spark.createDataFrame(rows, "s string, g int, x double, k int").repartition(9)
+
+
+@pytest.mark.parametrize("size, margin, bracket_rows", [(4096, 2.0, 10**6), (16, 2.0, 10**6), (64, 0.01, 10**6), (64, 2.0, 50)])
+def test_one_summary_answers_exactly(spark, tmp_path, monkeypatch, size, margin, bracket_rows):
+    """By two keys, by each and without: as numpy has it, also with brackets that miss or are narrowed."""
+    monkeypatch.setattr(summaries, "MARGIN", margin)
+    monkeypatch.setattr(quantiles, "BRACKET_ROWS", bracket_rows)
+    rows, df = summary_rows(spark)
+    summaries.quantile_summary(df, ["x", "k"], ["s", "g"], size).write.parquet(str(tmp_path / "t"))
+    summary = spark.read.parquet(str(tmp_path / "t"))
+    ps = [0.0, 0.1, 0.5, 0.99, 1.0]
+    targets = {f"x{i}": ("x", p) for i, p in enumerate(ps)} | {"k": ("k", 0.5)}
+    for by in ([], ["s"], ["g"], ["s", "g"]):
+        groups = {}
+        for s, g, x, k in rows:
+            key = tuple({"s": s, "g": g}[b] for b in by)
+            if None not in key:
+                xs, ks = groups.setdefault(key, ([], []))
+                xs += [] if x is None else [x]
+                ks += [] if k is None else [k]
+        groups = {key: v for key, v in groups.items() if v[0] or v[1]}
+        found = {tuple(r[b] for b in by): r for r in exact_quantiles(df, targets, by, summary=summary).collect()}
+        assert set(found) == set(groups)
+        for key, (xs, ks) in groups.items():
+            want = list(np.quantile(xs, ps)) if xs else [None] * len(ps)
+            assert [found[key][f"x{i}"] for i in range(len(ps))] == want
+            assert found[key]["k"] == np.median(ks)
+
+
+def test_estimates_keep_their_error_and_summaries_of_parts_merge(spark):
+    df = spark.range(60_000).select((F.col("id") % 3).alias("g"), F.xxhash64("id").cast("double").alias("x"))
+    parts = [summaries.quantile_summary(df.where(F.col("g") == i), ["x"], ["g"], 512) for i in range(3)]
+    whole = summaries.estimates(parts[0].union(parts[1]).union(parts[2]), {"m": ("x", 0.5), "t": ("x", 0.9)}).first()
+    for value, p in ((whole.m, 0.5), (whole.t, 0.9)):
+        assert abs(df.where(F.col("x") <= value).count() / 60_000 - p) < 3 * whole.rank_error
+    none = summaries.quantile_summary(df.limit(0), ["x"])
+    assert none.first().x_n == 0 and summaries.estimates(none, {"m": ("x", 0.5)}).first().m is None
+    assert summaries.quantile_summary(df.limit(0), ["x"], ["g"]).count() == 0
