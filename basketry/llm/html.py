@@ -1,25 +1,28 @@
 """Main text of web pages by wrappers inferred per host.
 
 Pages of a host mostly come from one template. Each page is read into a stream of block tokens and text
-slots; streams of the same host are aligned one after the other, and every mismatch becomes an
-optional or a repeated group, so that the result is a regular expression without unions: the wrapper.
-Its text slots collect what all pages have there: how much text, how much of it in links, and whether
-it is the same on every page. These decide which part of the wrapper is the article.
-
-A host may hold most pages. Nothing gathers its pages: equal streams are counted first, different
-ones are aligned in many salted tasks and the few wrappers of these tasks once more, and slot sums
-are ordinary aggregates.
+slots. The streams of a host are aligned one after the other: at every level the k-th element of a label meets the
+k-th of the other page, an element that one page lacks becomes optional, and elements that stand there a
+different number of times become a repeated group. The result is a regular expression without unions, the wrapper.
+
+Every page is then matched against the wrapper of its host, which gives each text block the number of its slot. What
+a slot holds on all pages decides: one text on different pages is the template's, texts that differ are the
+page's, and where no page names its article the deepest element that holds all differing text is it. Article and main
+elements and class words are hints for single blocks.
+
+A host may hold most pages. Nothing gathers its pages: every batch of a task aligns its own pages, the wrappers of the
+batches are merged under salts and then once more, and slot sums are ordinary aggregates.
 """
 
 from __future__ import annotations
 
 import html as references
-import json
 import re
 import sys
 from bisect import bisect_left
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import xxhash
@@ -67,10 +70,16 @@ SECTION_IDS = frozenset("comments respond replies disqus".split())
 FORM_CHARS = 200
 HEADERS = frozenset("header masthead".split())
 MAIN = frozenset("article main".split())
+# Elements that hold one piece of an article, never all of it.
+TEXT_ELEMENTS = frozenset("p li h1 h2 h3 h4 h5 h6 td blockquote pre".split())
 # "has-sidebar" says something about the page, not about the element.
 ABOUT = frozenset("no not has with without is".split())
 SALTS = 32
+# Different pages with one text in a slot that make it the template's.
 CONSTANT_PAGES = 3
+# Elements whose class words describe the page, and elements whose id is a slug of their text: such words are no label.
+PAGE_CLASSES = frozenset("html body article main".split())
+SLUGS = frozenset("h1 h2 h3 h4 h5 h6 section article main body html p li".split())
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
@@ -100,7 +109,7 @@ class Block:
 
 
 def _label(tag: str, attributes: str) -> tuple[str, set[str]]:
-    """(tag with its class words, words of class, id and role)."""
+    """(tag with the words of its class and id that name its place, all words of class, id and role)."""
     words: set[str] = set()
     classes: list[str] = []
     if attributes and ("=" in attributes):
@@ -108,7 +117,7 @@ def _label(tag: str, attributes: str) -> tuple[str, set[str]]:
             found = [w.lower() for w in _WORDS.findall(a or b or c)]
             if not ABOUT & set(found):
                 words.update(found)
-            if key.lower() != "role":
+            if key.lower() == "class" and tag not in PAGE_CLASSES or key.lower() == "id" and tag not in SLUGS:
                 classes += found
     return ".".join([tag, *sorted(set(classes))]), words
 
@@ -249,25 +258,26 @@ def _go_deep() -> None:
 
 
 # A wrapper is a list of items; an item is [label, flags, children], "#" being a text slot without children.
-# Flags: 1 optional, 2 repeated.
+# Flags: 1 optional, 2 repeated; of a text slot also 4 and 8, see ``decided``. A label that is not repeated may
+# stand several times in a level: its k-th item is the k-th element of that label on every page that has it.
 Wrapper = list[list]
+OPTIONAL, REPEATED, ARTICLE, PLACE = 1, 2, 4, 8
 
 
 def wrapper_of(stream: list[str]) -> Wrapper:
-    """The stream as nested items, repeats folded."""
+    """The stream of one page as nested items."""
     root: Wrapper = []
     levels = [root]
     for token in stream:
         if token == ">":
-            done = levels.pop()
-            done[:] = folded(done)
+            levels.pop()
         elif token == "#":
             levels[-1].append(["#", 0, []])
         else:
             item = [token[1:], 0, []]
             levels[-1].append(item)
             levels.append(item[2])
-    return folded(root)
+    return root
 
 
 def _with_runs_merged(items: Wrapper, counts: Counter) -> Wrapper:
@@ -316,7 +326,7 @@ def folded(items: Wrapper) -> Wrapper:
 
 
 def _common(a: Wrapper, b: Wrapper) -> list[tuple[int, int]]:
-    """Places of a longest common sequence of labels. No label stands twice in a list, so it is a longest rising
+    """Places of a longest common sequence of first entries. None stands twice in a list, so it is a longest rising
     sequence of places."""
     where = {item[0]: j for j, item in enumerate(b)}
     pairs = [(i, where[item[0]]) for i, item in enumerate(a) if item[0] in where]
@@ -335,16 +345,72 @@ def _common(a: Wrapper, b: Wrapper) -> list[tuple[int, int]]:
     return chain[::-1]
 
 
+def _counted(items: Wrapper) -> dict[str, int]:
+    """How often each label stands in a level, 0 if it is repeated."""
+    counts: dict[str, int] = {}
+    for label, flags, _ in items:
+        counts[label] = 0 if flags & REPEATED else counts.get(label, 0) + 1
+    return counts
+
+
+def _gathered(items: Wrapper, labels: set[str]) -> Wrapper:
+    """Items of each of these labels as one repeated item where the first stood; halves are aligned first."""
+    if not labels:
+        return items
+    groups: dict[str, list] = defaultdict(list)
+    for item in items:
+        if item[0] in labels:
+            groups[item[0]].append(item)
+    out = []
+    for item in items:
+        if item[0] not in labels:
+            out.append(item)
+        elif item is groups[item[0]][0]:
+            group, flags = [i[2] for i in groups[item[0]]], REPEATED
+            for other in groups[item[0]]:
+                flags |= other[1]
+            while len(group) > 1:
+                pairs = [aligned(x, y) for x, y in zip(group[::2], group[1::2])]
+                group = pairs + group[len(group) - len(group) % 2 :]
+            out.append([item[0], flags, group[0]])
+    return out
+
+
+def _numbered(items: Wrapper) -> list[list]:
+    """The keys of a level: label and number among the items of that label."""
+    counts: dict[str, int] = {}
+    keys = []
+    for label, *_ in items:
+        counts[label] = counts.get(label, 0) + 1
+        keys.append([(label, counts[label])])
+    return keys
+
+
 def aligned(a: Wrapper, b: Wrapper) -> Wrapper:
-    """One list of items that matches what either matches: common labels in order, the rest optional."""
+    """One level that matches what either matches.
+
+    Labels that stand a different number of times become repeated items, items that one side lacks or has
+    in another order optional ones. Which items are repeated does not depend on the order in which pages are aligned.
+    """
+    of_a, of_b = _counted(a), _counted(b)
+    varying = {label for label, n in of_a.items() if label in of_b and (n == 0 or n != of_b[label])}
+    a, b = _gathered(a, varying), _gathered(b, varying)
+    keys_a, keys_b = _numbered(a), _numbered(b)
+    place = {key[0]: j for j, key in enumerate(keys_b)}
+    shared = {key[0] for key in keys_a} & place.keys()
     out: Wrapper = []
     i = j = 0
-    for x, y in [*_common(a, b), (len(a), len(b))]:
-        out += [[label, flags | 1, inner] for label, flags, inner in (*a[i:x], *b[j:y])]
+    for x, y in [*_common(keys_a, keys_b), (len(a), len(b))]:
+        for (label, flags, inner), (key,) in zip(a[i:x], keys_a[i:x]):
+            if key in shared:  # stands elsewhere on the other side
+                other = b[place[key]]
+                flags, inner = flags | other[1], aligned(inner, other[2])
+            out.append([label, flags | OPTIONAL, inner])
+        out += [[label, flags | OPTIONAL, inner] for (label, flags, inner), (key,) in zip(b[j:y], keys_b[j:y]) if key not in shared]
         if x < len(a):
             out.append([a[x][0], a[x][1] | b[y][1], aligned(a[x][2], b[y][2])])
         i, j = x + 1, y + 1
-    return folded(out)
+    return out
 
 
 def written(wrapper: Wrapper) -> str:
@@ -369,12 +435,95 @@ def read_wrapper(text: str) -> Wrapper:
     return levels[0]
 
 
+def _shortened(wrapper: Wrapper) -> Wrapper:
+    """The wrapper with what repeats inside one page folded too."""
+    return folded([[label, flags, _shortened(inner)] for label, flags, inner in wrapper])
+
+
 def as_expression(wrapper: Wrapper) -> str:
     """The wrapper in the notation of regular expressions, for people."""
     marks = {0: "", 1: "?", 2: "+", 3: "*"}
-    return " ".join(
-        "#" + marks[f] if label == "#" else f"<{label}>({as_expression(inner)}){marks[f]}" for label, f, inner in wrapper
-    )
+
+    def text(items: Wrapper) -> str:
+        return " ".join(
+            "#" + marks[f & 3] if label == "#" else f"<{label}>({text(inner)}){marks[f & 3]}" for label, f, inner in items
+        )
+
+    return text(_shortened(wrapper))
+
+
+class Matcher:
+    """A wrapper ready to be matched with pages. Items are numbered in the order of the wrapper; 0 is the page itself."""
+
+    def __init__(self, wrapper: Wrapper):
+        self.labels, self.flags, self.above = ["", ], [0], [-1]
+        # per item its children by label if repeated, else by label and number
+        self.inside: list[dict] = [{}]
+        todo = [(0, wrapper)]
+        while todo:
+            parent, items = todo.pop()
+            numbers: dict[str, int] = {}
+            for label, flags, inner in items:
+                own = len(self.labels)
+                numbers[label] = numbers.get(label, 0) + 1
+                self.inside[parent][label if flags & REPEATED else (label, numbers[label])] = own
+                self.labels.append(label)
+                self.flags.append(flags)
+                self.above.append(parent)
+                self.inside.append({})
+                if inner:
+                    todo.append((own, inner))
+
+    def slots(self, stream: list[str]) -> list[int]:
+        """The slot of each text block of a page in order; -1 where the wrapper has none, which no page
+        that took part in it sees."""
+        found = []
+        levels: list[tuple[int, dict]] = [(0, {})]
+        for token in stream:
+            if token == ">":
+                levels.pop()
+                continue
+            label = token if token == "#" else token[1:]
+            parent, numbers = levels[-1]
+            item = -1
+            if parent >= 0:
+                item = self.inside[parent].get(label, -1)
+                if item < 0:
+                    numbers[label] = numbers.get(label, 0) + 1
+                    item = self.inside[parent].get((label, numbers[label]), -1)
+            if token == "#":
+                found.append(item)
+            else:
+                levels.append((item, {}))
+        return found
+
+    def around(self, slots: list[int]) -> int | None:
+        """The deepest element that holds all of these slots and more than one piece of text; None without slots."""
+        if not slots:
+            return None
+        held = [0] * len(self.labels)
+        for slot in slots:
+            held[self.above[slot]] += 1
+        # an item has a larger number than the one it stands in
+        for item in range(len(held) - 1, 0, -1):
+            held[self.above[item]] += held[item]
+        item = max(k for k, n in enumerate(held) if n == len(slots))
+        while item and self.labels[item].split(".")[0] in TEXT_ELEMENTS:
+            item = self.above[item]
+        return item
+
+    def under(self, item: int) -> set[int]:
+        """The item and all that stand in it."""
+        found = {item}
+        for k in range(item + 1, len(self.labels)):
+            if self.above[k] in found:
+                found.add(k)
+        return found
+
+
+@lru_cache(maxsize=1024)
+def matcher(text: str) -> Matcher:
+    return Matcher(read_wrapper(text))
 
 
 def mostly_links(block: Block, text: str) -> bool:
@@ -382,45 +531,29 @@ def mostly_links(block: Block, text: str) -> bool:
 
 
 def _observed(pages: DataFrame) -> DataFrame:
-    """Per host and key of ``pages`` (host, html): page streams as wrappers (kind 1) and, of pages without an article
-    or main element, text slots by their path (kind 0), with sums. ``pages`` has a bit for the digest of every page: as
-    many bits are as many different pages at least, however often each is repeated."""
+    """(host, wrapper, pages): the pages (host, html) of a host that came in one batch, aligned."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         _go_deep()
-        sums: dict[tuple, list] = {}
+        held: dict[str, list] = {}
+        seen = set()
         for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            found, stream = blocks(page or "")
-            key = (host, 1, written(wrapper_of(stream)))
-            sums.setdefault(key, [0, 0, 0, 0, 0, 0])[0] += 1
-            shown = [b for b in found if not b.outside]
-            if any(b.main for b in shown):
-                continue  # the page names its article itself
-            texts = [b.text() for b in shown]
-            digest = xxhash.xxh3_64_intdigest("\n".join([*stream, *texts]).encode("utf-8", "replace"))
-            for block, text in zip(shown, texts):
-                mark = xxhash.xxh3_64_intdigest(text.encode("utf-8", "replace")) >> 1
-                row = sums.setdefault((host, 0, "\n".join(block.path)), [0, 0, 0, mark, mark, 0])
-                row[0] += 1
-                row[1] += len(text)
-                row[2] += len(text) if mostly_links(block, text) else 0
-                row[3], row[4] = min(row[3], mark), max(row[4], mark)
-                row[5] |= 1 << digest % 63
-        keys = list(sums)
+            _, stream = blocks(page or "")
+            one = held.setdefault(host, [None, 0])
+            one[1] += 1
+            key = (host, xxhash.xxh3_128_digest(" ".join(stream).encode("utf-8", "replace")))
+            if key not in seen:
+                seen.add(key)
+                wrapper = wrapper_of(stream)
+                one[0] = wrapper if one[0] is None else aligned(one[0], wrapper)
         columns = [
-            pa.array([k[0] for k in keys], pa.string()),
-            pa.array([k[1] for k in keys], pa.int32()),
-            pa.array([k[2] for k in keys], pa.string()),
-            *(pa.array([sums[k][i] for k in keys], pa.int64()) for i in range(6)),
+            pa.array(list(held), pa.string()),
+            pa.array([written(w) for w, _ in held.values()], pa.string()),
+            pa.array([n for _, n in held.values()], pa.int64()),
         ]
-        return pa.RecordBatch.from_arrays(columns, ["host", "kind", "key", "n", "chars", "links", "low", "high", "pages"])
+        return pa.RecordBatch.from_arrays(columns, ["host", "wrapper", "pages"])
 
-    schema = "host string, kind int, key string, n bigint, chars bigint, links bigint, low bigint, high bigint, pages bigint"
-    rows = arrow_pass(pages.select("host", "html"), work, schema)
-    return rows.groupBy("host", "kind", "key").agg(
-        F.sum("n").alias("n"), F.sum("chars").alias("chars"), F.sum("links").alias("links"),
-        F.min("low").alias("low"), F.max("high").alias("high"), F.bit_or("pages").alias("pages"),
-    )
+    return arrow_pass(pages.select("host", "html"), work, "host string, wrapper string, pages bigint")
 
 
 def _merged(rows: DataFrame, *by: str) -> DataFrame:
@@ -453,88 +586,138 @@ def _merged(rows: DataFrame, *by: str) -> DataFrame:
 
 
 def host_wrappers(observed: DataFrame) -> DataFrame:
-    """(host, wrapper, pages): one wrapper per host from its different page streams."""
-    streams = observed.where("kind = 1").select(
-        "host", F.col("key").alias("wrapper"), F.col("n").alias("pages"), F.pmod(F.xxhash64("key"), F.lit(SALTS)).alias("salt")
-    )
-    return _merged(_merged(streams, "host", "salt"), "host")
+    """(host, wrapper, pages): one wrapper per host from those of the batches."""
+    salted = observed.withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(SALTS)))
+    return _merged(_merged(salted.select("host", "wrapper", "pages", "salt"), "host", "salt"), "host")
+
+
+def _named(found: list[Block]) -> bool:
+    """True if the page names its article by an article or main element."""
+    return any(b.main and not b.outside for b in found)
 
 
-def article_rule(wrapper: Wrapper, slots: list[dict]) -> dict:
-    """Where the article is on pages of a host that have no article or main element: the element it stands in, and
-    slots inside that are not part of it.
+def slot_sums(pages: DataFrame) -> DataFrame:
+    """Per host, slot and whether pages name their article: sums over the text blocks of ``pages`` (host, html, wrapper).
 
-    It is the deepest element with all the text that differs between pages and is not links. A slot is constant if
-    CONSTANT_PAGES different pages have it with one text; copies of a page say nothing about it.
+    Blocks in marked elements are left out, and on pages that name their article all blocks outside it. ``pages`` has a
+    bit for the digest of the blocks of every page: as many bits are as many different pages at least, however
+    often each is repeated.
     """
-    sums = {tuple(s["key"].split("\n")) if s["key"] else (): s for s in slots}
-    skip, places = [], []
-    # no label stands twice in a level of the wrapper, so a path names one slot
-    for path in [(), *_paths(wrapper)]:
-        slot = sums.get(path)
-        if slot is None:
-            continue
-        if slot["pages"].bit_count() >= CONSTANT_PAGES and slot["low"] == slot["high"]:
-            skip.append(path)
-        elif slot["chars"] > slot["links"]:
-            places.append(path)
-    mains = []
-    if places:
-        first, last = min(places), max(places)
-        depth = next((k for k, (x, y) in enumerate(zip(first, last)) if x != y), min(len(first), len(last)))
-        mains = [first[:depth]]
-        if mains[0] and mains[0][-1].split(".")[0] in ("p", "li", "h1", "h2", "h3", "td", "blockquote", "pre"):
-            mains = [mains[0][:-1]]
-    return {"main": sorted("\n".join(p) for p in mains), "skip": sorted("\n".join(p) for p in skip)}
-
-
-def _paths(wrapper: Wrapper) -> Iterator[tuple[str, ...]]:
-    todo = [((), wrapper)]
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        _go_deep()
+        sums: dict[tuple, list] = {}
+        for host, page, wrapper in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            found, stream = blocks(page or "")
+            named = _named(found)
+            shown = [
+                (slot, b, b.text())
+                for slot, b in zip(matcher(wrapper).slots(stream), found)
+                if not b.outside and (b.main or not named)
+            ]
+            digest = xxhash.xxh3_64_intdigest("\n".join(t for _, _, t in shown).encode("utf-8", "replace"))
+            for slot, block, text in shown:
+                mark = xxhash.xxh3_64_intdigest(text.encode("utf-8", "replace")) >> 1
+                row = sums.setdefault((host, named, slot), [0, 0, mark, mark, 0])
+                row[0] += len(text)
+                row[1] += len(text) if mostly_links(block, text) else 0
+                row[2], row[3] = min(row[2], mark), max(row[3], mark)
+                row[4] |= 1 << digest % 63
+        keys = list(sums)
+        columns = [
+            pa.array([k[0] for k in keys], pa.string()),
+            pa.array([k[1] for k in keys], pa.bool_()),
+            pa.array([k[2] for k in keys], pa.int32()),
+            *(pa.array([sums[k][i] for k in keys], pa.int64()) for i in range(5)),
+        ]
+        return pa.RecordBatch.from_arrays(columns, ["host", "named", "slot", "chars", "links", "low", "high", "pages"])
+
+    schema = "host string, named boolean, slot int, chars bigint, links bigint, low bigint, high bigint, pages bigint"
+    rows = arrow_pass(pages.select("host", "html", "wrapper"), work, schema)
+    return rows.groupBy("host", "named", "slot").agg(
+        F.sum("chars").alias("chars"), F.sum("links").alias("links"),
+        F.min("low").alias("low"), F.max("high").alias("high"), F.bit_or("pages").alias("pages"),
+    )
+
+
+def _is_constant(row: dict) -> bool:
+    return row["low"] == row["high"] and row["pages"].bit_count() >= CONSTANT_PAGES
+
+
+def decided(text: str, rows: list[dict]) -> str:
+    """The written wrapper with the decision on every text slot in its flags, from the sums of the slots.
+
+    4: part of the article on pages that name it. A slot with one text is not, unless it is a heading or such
+    slots hold most of the article's text, which is what versions of one article look like.
+    8: part of the article on other pages. It is the deepest element with all text that differs between
+    pages and is not links, without the slots that have one text.
+    """
+    m = matcher(text)
+    flags: dict[int, int] = defaultdict(int)
+    named = [r for r in rows if r["named"] and r["slot"] > 0]
+    fixed = [r for r in named if _is_constant(r) and m.labels[m.above[r["slot"]]].split(".")[0] not in HEADINGS]
+    template = {r["slot"] for r in fixed}
+    if 2 * sum(r["chars"] for r in fixed) >= sum(r["chars"] for r in named):
+        template = set()
+    for r in named:
+        if r["slot"] not in template:
+            flags[r["slot"]] |= ARTICLE
+    others = [r for r in rows if not r["named"] and r["slot"] > 0 and not _is_constant(r)]
+    around = m.around([r["slot"] for r in others if r["chars"] > r["links"]])
+    inside = m.under(around) if around is not None else set()
+    for r in others:
+        if r["slot"] in inside:
+            flags[r["slot"]] |= PLACE
+    return _with_flags(text, m, flags)
+
+
+def _with_flags(text: str, m: Matcher, flags: dict[int, int]) -> str:
+    """The written wrapper with these flags added to its items, which are numbered as the matcher does."""
+    wrapper = read_wrapper(text)
+    number, todo = 1, [wrapper]
     while todo:
-        path, items = todo.pop()
-        for label, _, inner in items:
-            if label != "#":
-                yield (*path, label)
-                if inner:
-                    todo.append(((*path, label), inner))
+        items = todo.pop()
+        for item in items:
+            item[1] |= flags.get(number, 0)
+            number += 1
+            if item[2]:
+                todo.append(item[2])
+    return written(wrapper)
 
 
-def article_text(page: str | None, rule: dict | None) -> str:
-    """The main text of one page under the rule of its host; empty if there is none.
+def article_text(page: str | None, rule: str | None) -> str:
+    """The main text of one page under the decided wrapper of its host; empty if there is none.
 
-    A page with an article or main element goes by that. Without one the rule decides, and where a page has not the
-    places it names, all text outside marked elements; what is mostly links on this page goes.
+    Blocks in marked elements never belong to it. Of a page that names its article, the blocks of it go by the flag 4
+    of their slots; of another one all blocks go by 8, and what is mostly links on this page goes. Without a
+    wrapper, or if it keeps nothing of the page, these hints decide alone.
     """
-    found, _ = blocks(page or "")
-    found = [b for b in found if not b.outside]
-    mains = [tuple(m.split("\n")) if m else () for m in (rule or {}).get("main", [])]
-    skip = {tuple(s.split("\n")) if s else () for s in (rule or {}).get("skip", [])}
-    own = [b for b in found if b.main]
-    inside = [b for b in found if any(b.path[: len(m)] == m for m in mains)] if mains else []
-    if own:
-        kept = own
-    else:
-        kept = [b for b in (inside or found) if b.path not in skip and not mostly_links(b, b.text())]
-    return " ".join(t for t in (b.text() for b in kept) if t)
+    found, stream = blocks(page or "")
+    named = _named(found)
+    slots = matcher(rule).slots(stream) if rule else [-1] * len(found)
+    shown = [(s, b) for s, b in zip(slots, found) if not b.outside and (b.main or not named)]
+    if not named:
+        shown = [(s, b) for s, b in shown if not mostly_links(b, b.text())]
+    if rule:
+        flags, wanted = matcher(rule).flags, ARTICLE if named else PLACE
+        shown = [(s, b) for s, b in shown if s >= 0 and flags[s] & wanted] or shown
+    return " ".join(t for t in (b.text() for _, b in shown) if t)
 
 
 def host_rules(pages: DataFrame) -> DataFrame:
-    """(host, rule) for every host of ``pages`` (host, html); the rule is JSON with the paths of the article."""
-    observed = settled(_observed(pages))
+    """(host, rule) for the hosts of ``pages`` (host, html) with CONSTANT_PAGES pages or more: their decided wrappers."""
+    wrappers = settled(host_wrappers(_observed(pages)).where(F.col("pages") >= CONSTANT_PAGES).select("host", "wrapper"))
+    sums = slot_sums(pages.select("host", "html").join(small_side(wrappers), "host"))
     # one entry per text slot of the host's wrapper, however many pages it has
-    slots = observed.where("kind = 0").groupBy("host").agg(
-        F.collect_list(F.struct("key", "n", "chars", "links", "low", "high", "pages")).alias("slots")
-    )
-    both = host_wrappers(observed).select("host", "wrapper").join(slots, "host", "left")
+    slots = sums.groupBy("host").agg(F.collect_list(F.struct("named", "slot", "chars", "links", "low", "high", "pages")).alias("slots"))
+    both = wrappers.join(slots, "host")
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rules = [
-            json.dumps(article_rule(read_wrapper(w), s or []))
-            for w, s in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())
-        ]
+        _go_deep()
+        rules = [decided(w, rows) for w, rows in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(rules, pa.string())], ["host", "rule"])
 
-    return settled(arrow_pass(both, work, "host string, rule string"))
+    return settled(arrow_pass(both.select("host", "wrapper", "slots"), work, "host string, rule string"))
 
 
 def main_texts(pages: DataFrame) -> DataFrame:
@@ -546,16 +729,10 @@ def main_texts(pages: DataFrame) -> DataFrame:
     kind = pages.schema["page_id"].dataType.simpleString()
     slim = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
     slim = slim.join(small_side(host_rules(slim)), "host", "left")
-    seen: dict[str | None, dict | None] = {}
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = []
-        for page, rule in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-            if rule not in seen:
-                if len(seen) > 10_000:
-                    seen.clear()
-                seen[rule] = json.loads(rule) if rule else None
-            texts.append(article_text(page, seen[rule]))
+        _go_deep()
+        texts = [article_text(page, rule) for page, rule in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
         columns = [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
         return pa.RecordBatch.from_arrays(columns, ["page_id", "url", "text", "n_chars"])
 

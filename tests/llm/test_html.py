@@ -125,6 +125,117 @@ def test_written_wrappers_read_back():
         assert html.written(html.read_wrapper(html.written(wrapper))) == html.written(wrapper)
 
 
+TEMPLATE = "<body><div><p>{top}</p></div><div><h2>Head {i}</h2><p>{one}</p></div><div><p>{bottom}</p><hr></div></body>"
+
+
+def plain_template(n):
+    """Pages without a class word or an article element: only the place of a div tells what it is."""
+    pages, stories = [], []
+    for i in range(n):
+        story = f"Story {i} goes on for many words that no other page has."
+        pages.append(TEMPLATE.format(top="Welcome to the site", i=i, one=story, bottom="All rights are reserved"))
+        stories.append(f"Head {i} {story}")
+    return pages, stories
+
+
+def test_the_alignment_decides(spark, monkeypatch):
+    """Elements of one path are told apart by their place; without the alignment the texts are others."""
+    shown, stories = plain_template(6)
+    assert texts(spark, [(f"http://o.org/{i}", x) for i, x in enumerate(shown)]) == stories
+
+    rows = []
+    wrappers = [html.wrapper_of(html.blocks(x)[1]) for x in shown]
+    # every label of a level gathered into one item, as if the place did not count
+    def paths_only(items):
+        return html._gathered([[x, f, paths_only(c)] for x, f, c in items], {x[0] for x in items})
+
+    for wrapper in (wrappers[0], paths_only(wrappers[0])):
+        for other in shown[1:]:
+            wrapper = html.aligned(wrapper, html.wrapper_of(html.blocks(other)[1]))
+        rows.append(extracted(shown, html.written(wrapper)))
+    assert rows[0] == stories
+    assert rows[1] != stories and all("Welcome" in t for t in rows[1])
+
+
+def extracted(shown, wrapper):
+    """The rule and its texts in plain Python, sums over all pages by hand."""
+    m, sums = html.Matcher(html.read_wrapper(wrapper)), {}
+    for page in shown:
+        found, stream = html.blocks(page)
+        named = any(b.main and not b.outside for b in found)
+        own = [(s, b) for s, b in zip(m.slots(stream), found) if not b.outside and (b.main or not named)]
+        whole = tuple(b.text() for _, b in own)
+        for slot, b in own:
+            chars, links, seen, pages = sums.setdefault((named, slot), [0, 0, set(), set()])
+            is_link = b.links > len(b.text()) / 2
+            sums[named, slot] = [chars + len(b.text()), links + len(b.text()) * is_link, seen | {b.text()}, pages | {whole}]
+    rows = [
+        {"named": k[0], "slot": k[1], "chars": c, "links": n, "low": 0, "high": len(t) - 1, "pages": 2 ** len(p) - 1}
+        for k, (c, n, t, p) in sums.items()
+    ]
+    rule = html.decided(wrapper, rows)
+    return [html.article_text(page, rule) for page in shown]
+
+
+def test_optional_and_repeated_parts_between_pages(spark):
+    """A lead that some pages have and paragraphs in any number; the notice below them is the same everywhere."""
+    rows, wanted = [], []
+    for i in range(9):
+        lead = f"<h3>Lead {i} of its own words</h3>" if i % 3 else ""
+        paragraphs = [f"Paragraph {k} of page {i} has words of its own." for k in range(1 + i % 4)]
+        body = "".join(f"<p>{x}</p>" for x in paragraphs)
+        rows.append((f"http://p.org/{i}", f"<body><div><p>Top of all</p></div><div>{lead}{body}</div><div><p>Terms of use</p></div></body>"))
+        wanted.append(" ".join(([f"Lead {i} of its own words"] if lead else []) + paragraphs))
+    assert texts(spark, rows) == wanted
+    wrapper = html.read_wrapper(html.host_wrappers(html._observed(pages(spark, rows).select(html.host_of(F.col("url")).alias("host"), "html"))).first().wrapper)
+    assert html._counted(wrapper[0][2]) == {"div": 3}
+    assert {x: f for x, f, _ in wrapper[0][2][1][2]} == {"h3": html.OPTIONAL, "p": html.REPEATED}
+
+
+def test_template_text_inside_articles(spark):
+    """A note that every article carries goes, a heading stays; versions of one article stay whole."""
+    story = lambda i: f"Story {i} goes on for many words that no other page has. " * 3
+    noted = [(f"http://q.org/{i}", f"<article><h1>Title {i}</h1><h2>Summary</h2><p>{story(i)}</p><div><p>Ask us anything.</p></div></article>") for i in range(5)]
+    assert texts(spark, noted) == [f"Title {i} Summary {story(i).strip()}" for i in range(5)]
+    versions = [(f"http://r.org/{i}", f"<article><h1>Title</h1><p>{story(0)}</p><p>{story(1)}</p><p>Version {i}</p></article>") for i in range(5)]
+    assert texts(spark, versions) == [f"Title {story(0).strip()} {story(1).strip()} Version {i}" for i in range(5)]
+
+
+def random_page(rng, depth=0):
+    parts = []
+    for _ in range(rng.randrange(1, 4)):
+        tag = rng.choice(["div", "ul", "section", "h2"])
+        if depth < 3 and tag != "h2" and rng.random() < 0.6:
+            parts.append(f"<{tag}>{random_page(rng, depth + 1)}</{tag}>")
+        else:
+            parts.append(f"<{tag}>t{rng.randrange(99)}</{tag}>" if rng.random() < 0.8 else "words")
+    return "".join(parts)
+
+
+def test_pages_match_their_wrapper_in_any_order():
+    """No block is without a slot, and two blocks share one in every order of alignment or in none."""
+    import random
+
+    rng = random.Random(8)
+    for _ in range(60):
+        streams = [html.blocks(random_page(rng))[1] for _ in range(rng.randrange(1, 7))]
+        groupings = set()
+        for _ in range(4):
+            order = rng.sample(range(len(streams)), len(streams))
+            parts = [html.wrapper_of(streams[i]) for i in order]
+            while len(parts) > 1:  # in any grouping as well
+                i = rng.randrange(len(parts) - 1)
+                parts[i : i + 2] = [html.aligned(parts[i], html.read_wrapper(html.written(parts[i + 1])))]
+            m = html.Matcher(parts[0])
+            slots = [m.slots(s) for s in streams]
+            assert all(x > 0 and m.labels[x] == "#" for s in slots for x in s)
+            names = {}
+            groupings.add(tuple(names.setdefault(x, len(names)) for s in slots for x in s))
+            flags = [f & html.OPTIONAL for f in m.flags]
+            assert len(flags) == len(m.inside)
+        assert len(groupings) == 1
+
+
 def test_common_labels_are_a_longest_common_sequence():
     import random
 
