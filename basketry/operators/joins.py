@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
-from typing import Mapping, Sequence
+from dataclasses import dataclass, field, replace
+from typing import Collection, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from basketry.operators.sizing import dimension
+
 # Columns of the wide view and of the fact, in their published order.
 MERGED_COLUMNS = (
     "order_id", "customer_id", "order_status", "order_purchase_timestamp", "order_approved_at",
@@ -59,6 +61,23 @@ class SalesTables:
         return views | ({"payments": self.payments} if self.payments is not None else {})
 
 
+def with_dimensions(tables: SalesTables, columns: Collection[str]) -> SalesTables:
+    """The same tables; products, sellers and customers have only their keys and ``columns``, and are broadcast if small.
+
+    Items then move once, by their order, instead of by product, seller and order.
+    """
+
+    def slim(df: DataFrame, key: str) -> DataFrame:
+        return dimension(df.select(*(c for c in df.columns if c == key or c in columns)))
+
+    return replace(
+        tables,
+        products=slim(tables.products, "product_id"),
+        sellers=slim(tables.sellers, "seller_id"),
+        customers=slim(tables.customers, "customer_id"),
+    )
+
+
 def order_lines(tables: SalesTables) -> DataFrame:
     return tables.order_items.join(tables.sellers, "seller_id").join(tables.products, "product_id")
 
@@ -97,6 +116,7 @@ def prepared_join(
 ) -> DataFrame:
     """Items with their order, product, customer and seller, and the review if there is one."""
     reviews = latest_review(tables.order_reviews) if dedupe_reviews else tables.order_reviews
+    tables = with_dimensions(tables, {*PREPARED_COLUMNS, *extra})
     rows = left_join_reviews(order_heads(tables), reviews.select("order_id", "review_score")).join(
         order_lines(tables), "order_id"
     )

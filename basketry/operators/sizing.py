@@ -9,6 +9,21 @@ from basketry.session import cut_lineage
 MAX_BROADCAST_ROWS = 20_000
 MAX_BROADCAST_BYTES = 16 << 20
 ROWS_PER_TASK = 10_000
+# A dimension of this many narrow rows takes about 150 MB of an executor as a hash table.
+DIMENSION_ROWS = 2_000_000
+DIMENSION_BYTES = 128 << 20
+
+
+def dimension(df: DataFrame) -> DataFrame:
+    """A table with a row per key, marked for broadcast if it has at most DIMENSION_ROWS rows and DIMENSION_BYTES.
+
+    Its rows are counted now, the columns of text with their lengths; nothing is held. Hand in only the columns
+    that are wanted. A larger one comes back as it is and is joined by shuffle.
+    """
+    texts = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in df.schema if f.dataType.simpleString() in ("string", "binary")]
+    size = sum(texts, F.lit(16 * len(df.columns))).cast("bigint")
+    held = df.select(size.alias("_size")).limit(DIMENSION_ROWS + 1).agg(F.count(F.lit(1)), F.sum("_size")).first()
+    return F.broadcast(df) if held[0] <= DIMENSION_ROWS and (held[1] or 0) <= DIMENSION_BYTES else df
 
 
 def small_side(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:

@@ -177,7 +177,8 @@ def sql_view(fx: Fixture) -> DataFrame:
 
 
 def sql_scan(fx: Fixture) -> DataFrame:
-    readers.register_views(fx.tables.as_views())
+    wanted = ("product_category_name", "customer_state", "seller_state")
+    readers.register_views(joins.with_dimensions(fx.tables, wanted).as_views())
     return readers.sql_scan(
         fx.spark,
         """SELECT order_id, price, freight_value, product_category_name, customer_state, seller_state,
