@@ -18,6 +18,8 @@ from basketry.session import cut_lineage
 from basketry.sources.schemas import STATES_OF_REGION
 
 KEYS = ("customer_state", "order_month", "product_category_name", "seller_id")
+# Items whose orders are told apart in one task, about 100 MB as pairs of order and key.
+ITEMS_PER_TASK = 500_000
 
 
 def state_sales(fact: DataFrame, regions: Column | DataFrame | None = None) -> DataFrame:
@@ -101,32 +103,32 @@ def top_sellers(fact: DataFrame, k: int = 10) -> DataFrame:
 
 
 def dashboard_totals(fact: DataFrame) -> DataFrame:
-    """Totals per state, month, category and seller from one scan; ``total_of`` names the key of a row.
+    """Totals per state, month, category and seller; ``total_of`` names the key of a row.
 
-    Items are added up per order and keys first; that table, not the items, is unfolded into grouping sets of the order
-    and one key. There an order stands once per value of a key, so orders are counted without a distinct. Rows
+    Sums go by grouping sets straight from the items, so only groups move. Orders are counted apart: the order and the
+    keys of an item move once, by the order, and the different pairs of order and key are found where they land. Rows
     without a value of the key are left out of its totals.
     """
-    order_lines = fact.groupBy("order_id", *KEYS).agg(
-        F.sum(F.col("price").cast("decimal(18,2)")).alias("price"),
-        F.sum(F.col("freight_value").cast("decimal(18,4)")).alias("freight"),
-        F.count("freight_value").alias("freights"),
-        F.sum(F.col("review_score").cast("decimal(18,4)")).alias("score"),
-        F.count("review_score").alias("scores"),
-        F.sum(F.col("delivery_time").cast("decimal(18,0)")).alias("days"),
-        F.count("delivery_time").alias("deliveries"),
+    c = F.col
+    items = fact.select(
+        *KEYS,
+        c("price").cast("decimal(18,2)").alias("price"),
+        c("freight_value").cast("decimal(18,4)").alias("freight"),
+        c("review_score").cast("decimal(18,4)").alias("score"),
+        c("delivery_time").cast("decimal(18,0)").alias("days"),
     )
-    sums = ("price", "freight", "freights", "score", "scores", "days", "deliveries")
-    sets = [["order_id", key] for key in KEYS]
-    per_order = order_lines.groupingSets(sets, "order_id", *KEYS).agg(
-        F.grouping_id().alias("set_id"), *(F.sum(c).alias(c) for c in sums)
+    sums = items.groupingSets([[key] for key in KEYS], *KEYS).agg(
+        F.grouping_id().alias("set_id"),
+        *(F.sum(v).alias(v) for v in ("price", "freight", "score", "days")),
+        *(F.count(v).alias(n) for v, n in (("freight", "freights"), ("score", "scores"), ("days", "deliveries"))),
     )
-    # a bit of the id is set for each key that a row is not grouped by; the order is the highest bit, always clear
+    # a bit of the id is set for each key that a row is not grouped by
     every = 2 ** len(KEYS) - 1
     key_of = {every - 2 ** (len(KEYS) - 1 - i): key for i, key in enumerate(KEYS)}
     named = F.create_map(*(F.lit(x) for pair in key_of.items() for x in pair))
-    rows = per_order.withColumn("total_of", named[F.col("set_id").cast("int")]).where(F.coalesce(*(F.col(k).cast("string") for k in KEYS)).isNotNull())
-    totals = rows.groupBy("total_of", *KEYS).agg(F.count("order_id").alias("order_count"), *(F.sum(c).alias(c) for c in sums))
+    known_key = F.coalesce(*(c(k).cast("string") for k in KEYS))
+    sums = sums.withColumns({"total_of": named[c("set_id").cast("int")], "_key": known_key}).where(known_key.isNotNull())
+    totals = sums.join(_orders_of(fact), ["total_of", "_key"], "left")
 
     def mean(total: str, count: str) -> Column:
         return F.try_divide(F.col(total).cast("double"), F.col(count).cast("double"))
@@ -134,7 +136,7 @@ def dashboard_totals(fact: DataFrame) -> DataFrame:
     return totals.select(
         "total_of",
         *KEYS,
-        "order_count",
+        F.coalesce("order_count", F.lit(0).cast("bigint")).alias("order_count"),
         F.coalesce(F.col("price").cast("double"), F.lit(0.0)).alias("total_price"),
         mean("freight", "freights").alias("mean_freight"),
         mean("score", "scores").alias("mean_score"),
@@ -142,6 +144,17 @@ def dashboard_totals(fact: DataFrame) -> DataFrame:
     )
 
 
+def _orders_of(fact: DataFrame) -> DataFrame:
+    """(total_of, _key, order_count): different orders per value of each key, the value as text."""
+    placed = fact.select("order_id", *KEYS).where(F.col("order_id").isNotNull())
+    tasks = max(fact.sparkSession.sparkContext.defaultParallelism, -(-fact.count() // ITEMS_PER_TASK))
+    keys = F.array(*(F.struct(F.lit(k).alias("total_of"), F.col(k).cast("string").alias("_key")) for k in KEYS))
+    pairs = placed.repartition(tasks, "order_id").select("order_id", F.inline(keys)).where(F.col("_key").isNotNull())
+    # placed by the order, so equal pairs are in one task and no further exchange is needed
+    pairs = pairs.groupBy("order_id", "total_of", "_key").agg(F.lit(1).alias("_one"))
+    return pairs.groupBy("total_of", "_key").agg(F.count("_one").alias("order_count"))
+
+
 def dashboard_reports(fact: DataFrame, regions: Column | DataFrame | None = None, k: int = 10) -> dict[str, DataFrame]:
     """All result sets of the dashboard from one scan of the fact."""
     totals = cut_lineage(dashboard_totals(fact))
