@@ -50,12 +50,19 @@ def fresh_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def arrow_pass(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """One record batch in, one out, streamed; nothing is kept between batches."""
+def arrow_pass(
+    df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, at_once: int | None = None
+) -> DataFrame:
+    """One record batch in, one out, streamed; nothing is kept between batches.
+
+    With ``at_once`` a larger batch is handed to ``work`` in parts of about that many bytes, whatever the length of its rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield work(batch)
+            rows = batch.num_rows if not at_once else max(1, batch.num_rows * at_once // max(1, batch.nbytes))
+            for at in range(0, max(1, batch.num_rows), max(1, rows)):
+                yield work(batch.slice(at, rows))
 
     return df.mapInArrow(run, schema)
 

@@ -34,6 +34,8 @@ from basketry.llm.toxicity import slices
 from basketry.llm.wordhash import Words, mixed_bits, words_of
 
 _LAST = (1 << 63) - 1
+# Bytes of rows that a worker has as objects at a time.
+AT_ONCE = 4 << 20
 
 
 def _parsed(texts: list[bytes], span: int, rounds: int) -> tuple[Words, Anchors, np.ndarray, np.ndarray, Sums]:
@@ -87,7 +89,7 @@ def group_rows(keyed: DataFrame, span: int, rounds: int) -> DataFrame:
         ]
         return pa.RecordBatch.from_arrays(columns, ["at", "mark", "place", "name", "context"])
 
-    return arrow_pass(keyed, work, f"at bigint, mark {MARK}, place int, name bigint, context bigint")
+    return arrow_pass(keyed, work, f"at bigint, mark {MARK}, place int, name bigint, context bigint", AT_ONCE)
 
 
 def _window_rows(opened: DataFrame, span: int, rounds: int) -> DataFrame:
@@ -118,7 +120,7 @@ def _window_rows(opened: DataFrame, span: int, rounds: int) -> DataFrame:
         ]
         return pa.RecordBatch.from_arrays(columns, ["at", "mark", "start", "name", "hash"])
 
-    return arrow_pass(opened, work, f"at bigint, mark {MARK}, start int, name bigint, hash bigint")
+    return arrow_pass(opened, work, f"at bigint, mark {MARK}, start int, name bigint, hash bigint", AT_ONCE)
 
 
 def _listed(groups: Anchors, place: np.ndarray, lists: list) -> np.ndarray:
@@ -216,6 +218,6 @@ def deduplicated(
         )
 
     schema = StructType([*docs.schema.fields, StructField(counts[0], LongType()), StructField(counts[1], LongType())])
-    return arrow_pass(joined, work, schema)
+    return arrow_pass(joined, work, schema, AT_ONCE)
 
 

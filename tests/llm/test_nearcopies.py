@@ -127,3 +127,26 @@ def test_pairs_near_the_threshold_are_settled_exactly(spark):
     exact = set(brute_classes(texts))
     assert 30 < len(exact) < 60
     assert exact <= kept and len(kept - exact) <= 0.1 * (60 - len(exact))
+
+
+def test_no_pair_of_the_similarity_is_left_out(spark, monkeypatch):
+    """200 pairs of similarity exactly 0.8: of a SimHash index about one in sixteen was not met at all."""
+    rng = random.Random(21)
+    texts = []
+    for _ in range(200):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(94)]  # 90 shingles, 80 of them shared
+        texts += [" ".join(base), " ".join(base[:-10] + [f"x{rng.randrange(10**6)}" for _ in range(10)])]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert {r.doc_id for r in nearcopies.first_near_copies(docs).collect()} == set(range(0, 400, 2))
+
+
+def test_chains_of_similar_texts_hold_in_a_crowd(spark, monkeypatch):
+    """Neighbours in a chain are similar, its ends are not; crowds in blocks of few sets keep every link."""
+    rng = random.Random(22)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(600)]
+    texts = [" ".join(words[i * 6 : i * 6 + 90]) for i in range(24)] + [" ".join(f"y{rng.randrange(10**6)}" for _ in range(90))]
+    assert set(brute_classes(texts)) == {0, 24}
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    monkeypatch.setattr(nearcopies, "links", functools.partial(nearcopies.links, heavy=1))
+    monkeypatch.setattr(nearcopies, "BLOCK", 8)
+    assert {r.doc_id for r in nearcopies.first_near_copies(docs).collect()} == {0, 24}
