@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from basketry.llm.common import arrow_pass, cut_lineage, fresh_name, text_bytes
 from basketry.llm.components import connected_components
+from basketry.operators.sizing import dimension
 
 SEED = 42
 SHINGLE = 3
@@ -189,9 +190,12 @@ def first_of_each(
     kept = cut_lineage(kept)
     repeated = prints.groupBy(F.col("doc_id.a").alias(a), F.col("doc_id.b").alias(b)).agg(F.count("*").alias("n"))
     repeated = cut_lineage(repeated.where("n > 1").select(a, b))
+    # the rows that go are fewer than those that stay; as a broadcast they move no text
+    every = prints.select(F.col("doc_id.a").alias(a), F.col("doc_id.b").alias(b)).distinct()
+    gone = every.join(kept, [a, b], "left_anti")
     if repeated.isEmpty():
-        return marked.join(kept, [a, b], "left_semi").drop(a, b)
+        return marked.join(dimension(cut_lineage(gone)), [a, b], "left_anti").drop(a, b)
     # rows that are the same in every column: one of them, combined before the exchange
-    single = marked.join(kept.join(repeated, [a, b], "left_anti"), [a, b], "left_semi")
-    several = marked.join(kept.join(repeated, [a, b], "left_semi"), [a, b], "left_semi").dropDuplicates([a, b])
+    single = marked.join(dimension(cut_lineage(gone.union(repeated))), [a, b], "left_anti")
+    several = marked.join(dimension(cut_lineage(kept.join(repeated, [a, b], "left_semi"))), [a, b], "left_semi").dropDuplicates([a, b])
     return single.union(several).drop(a, b)

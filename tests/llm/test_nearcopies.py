@@ -150,3 +150,18 @@ def test_chains_of_similar_texts_hold_in_a_crowd(spark, monkeypatch):
     monkeypatch.setattr(nearcopies, "links", functools.partial(nearcopies.links, heavy=1))
     monkeypatch.setattr(nearcopies, "BLOCK", 8)
     assert {r.doc_id for r in nearcopies.first_near_copies(docs).collect()} == {0, 24}
+
+
+def test_texts_that_stay_do_not_move(spark):
+    """Few rows go, so they are broadcast to the table; crowds of few sets meet as a whole."""
+    rng = random.Random(23)
+    texts = [t for _ in range(6) for t in family(rng, 80, 3, 1)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    kept = nearcopies.first_near_copies(docs)
+    assert {r.doc_id for r in kept.collect()} == set(brute_classes(texts))
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+    crowds = spark.createDataFrame([(1, n, size) for n, size in ((1, 90), (2, 100), (3, 40))], "crowd long, node long, size long")
+    found = spark.createDataFrame([(n, list(range(size))) for n, size in ((1, 90), (2, 100), (3, 40))], "node long, found array<long>")
+    met = nearcopies.crowd_links(crowds, found)
+    assert [set(r) for r in met.collect()] == [{1, 2}]
