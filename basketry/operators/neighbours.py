@@ -9,7 +9,8 @@ Comparing every pair does not scale, so three steps narrow the pairs down and lo
 3. Each point looks into the grid cells that its bound touches. The grid has one level per power
    of two and a point uses the level whose cells are just larger than its reach, so it looks into
    at most two cells per dimension, in dense and sparse regions alike. At most three dimensions
-   are divided, so a lookup visits at most eight cells however many features there are. Only pairs within the bound
+   are divided, so a lookup visits at most eight cells however many features there are. A point is listed at a level
+   only where lookups of that level are near, so its copies do not grow with the number of levels. Only pairs within the bound
    leave the join, and only the k best per point and task enter the exchange after it.
 """
 
@@ -21,7 +22,7 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from basketry.operators.ordered import BUCKETS, ROWS_PER_BUCKET, cut_points, with_bucket
-from basketry.operators.sizing import small_side
+from basketry.operators.sizing import dimension, small_side
 from basketry.session import cut_lineage
 
 LEVELS = 40
@@ -32,6 +33,11 @@ CURVE_REACH = 2
 CELL_REACHES = 2
 # A grid cell with more points than this is split over several join keys.
 CELL_ROWS = 50_000
+# Cells, or blocks of cells, that tell the tasks where lookups of a level are.
+ASKED_BLOCKS = 200_000
+# Lookups and listed points that a task of the join has, about.
+ASKS_PER_TASK = 20_000
+POINTS_PER_TASK = 100_000
 
 
 def distinct_points(df: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -111,6 +117,16 @@ def asked_cells(asked: DataFrame, lows: dict[str, float], side: float) -> DataFr
     return asked
 
 
+def _asked_blocks(asks: DataFrame, cells: list[str]) -> tuple[DataFrame, int]:
+    """The different blocks of 2^shift cells a side that lookups visit, by level, and the shift; at most ASKED_BLOCKS."""
+    for shift in range(LEVELS + 1):
+        blocks = asks.select("_level", *(F.shiftright(c, shift).alias(c) for c in cells)).distinct()
+        rows = blocks.limit(ASKED_BLOCKS + 1).count()
+        if rows <= ASKED_BLOCKS:
+            break
+    return cut_lineage(blocks), shift
+
+
 def _split_crowded_cells(
     asks: DataFrame, listed: DataFrame, keys: list[str], n: int
 ) -> tuple[DataFrame, DataFrame]:
@@ -144,7 +160,7 @@ def nearest_neighbours(
     # the bound is read by both sides of the join
     points = cut_lineage(_with_bound(points, features, k))
     lows, side = _extent(points, features)
-    asked = points if queries is None else points.join(queries.select(*features), features, "left_semi")
+    asked = points if queries is None else points.join(dimension(queries.select(*features)), features, "left_semi")
 
     # a bucket with few points may give no bound; the whole extent is one
     widest = float(len(features)) * side * side
@@ -171,11 +187,19 @@ def nearest_neighbours(
         {f"_cell{d}": _cell(F.col(f"p.{f}"), low, side, F.col("_level")) for d, (f, low) in enumerate(lows.items())}
     )
     asks = asks.select(F.struct(*features).alias("q"), "copies", "bound", "_level", *cells)
-    asks, listed = _split_crowded_cells(asks, listed, ["_level", *cells], points.count())
-
-    pairs = asks.join(listed, ["_level", "_salt", *cells]).withColumn(
-        "distance2", _squared_distance(features, "q", "p")
-    )
+    blocks, shift = _asked_blocks(asks, cells)
+    near = [F.col("_level") == F.col("_at_level"), *(F.shiftright(c, shift) == F.col(f"_at{c}") for c in cells)]
+    blocks = F.broadcast(blocks.select(*(F.col(c).alias(f"_at{c}") for c in ("_level", *cells))))
+    listed = listed.join(blocks, near, "left_semi")
+    n = points.count()
+    asks, listed = _split_crowded_cells(asks, listed, ["_level", *cells], n)
+
+    # tasks are cut by rows: parts of so many bytes grow with the pairs that come of them
+    keys = ["_level", "_salt", *cells]
+    tasks = max(asks.count() // ASKS_PER_TASK, n // POINTS_PER_TASK)
+    if tasks > int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        asks, listed = asks.repartition(tasks, *keys), listed.repartition(tasks, *keys)
+    pairs = asks.join(listed, keys).withColumn("distance2", _squared_distance(features, "q", "p"))
     # a point is its own neighbour only through its other copies
     others = F.when(F.col("q") == F.col("p"), F.col("p_copies") - 1).otherwise(F.col("p_copies"))
     pairs = pairs.where(F.col("distance2") <= F.col("bound")).withColumn("p_copies", others)

@@ -158,3 +158,23 @@ def test_curve_needs_no_room_of_its_own(spark):
     df = frame(spark, points("uniform")).withColumn("v", F.col("a"))
     cuts = ordered.cut_points(df, "v", 8)
     assert len(cuts) == 7 and cuts == sorted(cuts)
+
+
+@pytest.mark.parametrize("blocks", [200_000, 1])
+def test_points_are_listed_at_levels_asked_near_them(spark, monkeypatch, blocks):
+    """Clusters of very different density: lookups use many levels, each point is listed at few."""
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(10_000 * i, 10.0**-i, (150, 3)) for i in range(6)])
+    listed, split = [], neighbours._split_crowded_cells
+
+    def counted(asks, found, keys, n):
+        listed.append((found.count(), asks.select("_level").distinct().count()))
+        return split(asks, found, keys, n)
+
+    monkeypatch.setattr(neighbours, "_split_crowded_cells", counted)
+    monkeypatch.setattr(neighbours, "ASKED_BLOCKS", blocks, raising=False)
+    monkeypatch.setattr(neighbours, "ASKS_PER_TASK", 100, raising=False)
+    got = sorted(tuple(r) for r in neighbours.neighbour_rows(frame(spark, x), NAMES, 5).collect())
+    assert got == brute(x, 5)
+    (rows, levels), = listed
+    assert levels > 8 and (blocks == 1 or rows < levels * len(x) / 4)
