@@ -9,6 +9,8 @@ from basketry.session import cut_lineage
 MAX_BROADCAST_ROWS = 20_000
 MAX_BROADCAST_BYTES = 16 << 20
 ROWS_PER_TASK = 10_000
+# Rows of a part that is held in memory and read in every round of a fit: some 70 MB of vectors.
+ROWS_PER_PART = 250_000
 # A dimension of this many narrow rows takes about 150 MB of an executor as a hash table.
 DIMENSION_ROWS = 2_000_000
 DIMENSION_BYTES = 128 << 20
@@ -53,3 +55,11 @@ def for_iterations(df: DataFrame) -> DataFrame:
     """
     return df.coalesce(max(1, -(-df.count() // ROWS_PER_TASK)))
 
+
+def in_parts(df: DataFrame, rows: int = ROWS_PER_PART) -> DataFrame:
+    """A checkpointed or written frame in more partitions, if they have more than ``rows`` rows on average.
+
+    Files and joins give partitions of so many bytes; what a task then holds of narrow rows is many times that.
+    """
+    parts = -(-df.count() // rows)
+    return df.repartition(parts) if parts > df.rdd.getNumPartitions() else df

@@ -14,6 +14,7 @@ from basketry.operators import aggregates as agg
 from basketry.operators import distributions as dist
 from basketry.operators import cells, clustering, factorised, filters, joins, metrics, neighbours, oversample, scaling, summaries
 from basketry.operators.quantiles import exact_quantiles, quantile_values
+from basketry.operators.sizing import in_parts
 from basketry.plans import dashboard, delay, exploration, retention, satisfaction, segments
 from basketry.plans.prepare import add_features, clean_rows, prepared_fact
 from basketry.registry import tpch
@@ -459,11 +460,11 @@ def delay_cells_check(fx: Fixture) -> DataFrame:
     features = [c for c in rows.columns if c not in ("is_late", "row_key")]
     balanced = cut_lineage(oversample.smote_oversample(rows, features, "is_late"))
     train, _ = oversample.train_test_split(balanced)
-    binned = cut_lineage(cells.in_cells(train, cells.cell_cuts(train, features, 8)))
+    binned = cut_lineage(cells.in_cells(train, cells.cell_cuts(train, features, 8)).select(*features, "is_late"))
     counted = cut_lineage(cells.cell_counts(binned, features, "is_late"))
     options = {"trees": 3, "rate": 0.1, "depth": 4, "seed": 42, "bins": 32}
     by_cell = delay.fit_cells(counted, features, **options)
-    by_row = delay.fit_cells(binned.withColumn("row_count", F.lit(1.0)), features, **options)
+    by_row = delay.fit_cells(in_parts(binned).withColumn("row_count", F.lit(1.0)), features, **options)
     vectors = delay.feature_vectors(counted.select(*features, "is_late"), features)
 
     def scores(model, name: str) -> DataFrame:
