@@ -33,8 +33,8 @@ CURVE_REACH = 2
 CELL_REACHES = 2
 # A grid cell with more points than this is split over several join keys.
 CELL_ROWS = 50_000
-# Cells, or blocks of cells, that tell the tasks where lookups of a level are.
-ASKED_BLOCKS = 200_000
+# Cells, or blocks of cells, that tell the tasks where lookups of a level are, 64 bits each.
+ASKED_BLOCKS = 1_000_000
 # Lookups and listed points that a task of the join has, about.
 ASKS_PER_TASK = 20_000
 POINTS_PER_TASK = 100_000
@@ -117,10 +117,15 @@ def asked_cells(asked: DataFrame, lows: dict[str, float], side: float) -> DataFr
     return asked
 
 
+def _block(cells: list[str], shift: int) -> Column:
+    """64 bits of a level and a block of its cells; equal ones of two blocks only list more points."""
+    return F.xxhash64("_level", *(F.shiftright(c, shift) for c in cells))
+
+
 def _asked_blocks(asks: DataFrame, cells: list[str]) -> tuple[DataFrame, int]:
-    """The different blocks of 2^shift cells a side that lookups visit, by level, and the shift; at most ASKED_BLOCKS."""
+    """Hashes of the different blocks of 2^shift cells a side that lookups visit, by level, and the shift; at most ASKED_BLOCKS."""
     for shift in range(LEVELS + 1):
-        blocks = asks.select("_level", *(F.shiftright(c, shift).alias(c) for c in cells)).distinct()
+        blocks = asks.select(_block(cells, shift).alias("_block")).distinct()
         rows = blocks.limit(ASKED_BLOCKS + 1).count()
         if rows <= ASKED_BLOCKS:
             break
@@ -188,9 +193,7 @@ def nearest_neighbours(
     )
     asks = asks.select(F.struct(*features).alias("q"), "copies", "bound", "_level", *cells)
     blocks, shift = _asked_blocks(asks, cells)
-    near = [F.col("_level") == F.col("_at_level"), *(F.shiftright(c, shift) == F.col(f"_at{c}") for c in cells)]
-    blocks = F.broadcast(blocks.select(*(F.col(c).alias(f"_at{c}") for c in ("_level", *cells))))
-    listed = listed.join(blocks, near, "left_semi")
+    listed = listed.withColumn("_block", _block(cells, shift)).join(F.broadcast(blocks), "_block", "left_semi").drop("_block")
     n = points.count()
     asks, listed = _split_crowded_cells(asks, listed, ["_level", *cells], n)
 
