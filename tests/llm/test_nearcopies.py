@@ -165,3 +165,22 @@ def test_texts_that_stay_do_not_move(spark):
     found = spark.createDataFrame([(n, list(range(size))) for n, size in ((1, 90), (2, 100), (3, 40))], "node long, found array<long>")
     met = nearcopies.crowd_links(crowds, found)
     assert [set(r) for r in met.collect()] == [{1, 2}]
+
+
+def test_texts_that_quote_one_passage_do_not_all_meet(spark, monkeypatch):
+    """Quoted shingles that the sample misses go to the end of the order, so pairs do not grow with the square of the quoting texts."""
+    rng = random.Random(24)
+    monkeypatch.setattr(nearcopies, "SAMPLE", 2)
+    held, met = nearcopies.alike, []
+
+    def seen(pairs, *rest):
+        met.append(pairs.count())
+        return held(pairs, *rest)
+
+    monkeypatch.setattr(nearcopies, "alike", seen)
+    passage = " ".join(f"p{i}" for i in range(50))
+    for n in (30, 60):
+        texts = [f"{family(rng, 70, 0, 0)[0]} {passage}" for _ in range(n)] + family(rng, 90, 12, 1) + family(rng, 90, 1, 1)
+        docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+        assert {r.doc_id for r in nearcopies.first_near_copies(docs).collect()} == set(brute_classes(texts))
+    assert max(met) <= 13 * 12 // 2 + 1  # those of the families
