@@ -2,7 +2,9 @@
 
 A round hangs every node on the smallest node it sees (large star), then joins the smaller
 neighbours of a node with each other (small star). Edges never multiply, a few rounds suffice for
-any graph (logarithmic in practice), and every round ends in a checkpoint. Minima are checkpointed
+any graph (logarithmic in practice), and every round ends in a written table. A checkpoint would not do:
+it keeps the size that Spark estimated, for a join the product of both sides, so that a few rounds on the driver
+would multiply numbers of millions of digits. Minima are checkpointed
 before the join that hands them out, so that adaptive execution can split the rows of a hub.
 """
 
@@ -10,7 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from basketry.session import cut_lineage
+from basketry.llm.common import cut_lineage, settled
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -22,7 +24,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     current = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(
         F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("u") != F.col("v"))
     )
-    current = cut_lineage(current.distinct())
+    current = settled(current.distinct())
     before = None
     while True:
         now = _signature(current)
@@ -31,7 +33,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
                 current.select("v", "v").distinct()
             )
         before = now
-        current = _small_star(_large_star(current))
+        current = settled(_small_star(_large_star(current)))
 
 
 def _signature(edges: DataFrame) -> tuple:
@@ -52,4 +54,4 @@ def _small_star(edges: DataFrame) -> DataFrame:
     least = cut_lineage(edges.groupBy("u").agg(F.min("v").alias("m")))
     moved = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     hung = least.select("u", F.col("m").alias("v"))
-    return cut_lineage(moved.union(hung).where("u != v").distinct())
+    return moved.union(hung).where("u != v").distinct()

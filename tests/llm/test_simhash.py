@@ -113,3 +113,11 @@ def test_components_of_chains_and_hubs(spark):
     edges = [(i, i + 1) for i in range(0, 50)] + [(100, i) for i in range(101, 160)] + [(7, 7), (None, 3), (3, 2)]
     found = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert found == {**{i: 0 for i in range(51)}, **{i: 100 for i in range(100, 160)}}
+
+
+def test_rounds_of_components_do_not_raise_the_estimated_size(spark):
+    """The size of a join is estimated as a product; kept over the rounds, its digits grew fourfold with each one."""
+    path = random.Random(6).sample(range(200), 200)
+    found = connected_components(spark.createDataFrame(list(zip(path, path[1:])), "a long, b long").repartition(4))
+    assert {tuple(r) for r in found.collect()} == {(i, 0) for i in range(200)}
+    assert found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 2**200
