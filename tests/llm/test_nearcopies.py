@@ -184,3 +184,19 @@ def test_texts_that_quote_one_passage_do_not_all_meet(spark, monkeypatch):
         docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
         assert {r.doc_id for r in nearcopies.first_near_copies(docs).collect()} == set(brute_classes(texts))
     assert max(met) <= 13 * 12 // 2 + 1  # those of the families
+
+
+def test_pairs_of_just_the_similarity_are_linked_in_a_crowd(spark, monkeypatch):
+    """Sets of 90 shingles that share 80, and of 396 that share 352: exactly 0.8, which 32-bit products round to less."""
+    for size, shared in ((9, 8), (90, 80), (117, 104), (396, 352), (1800, 1600)):
+        sets = [np.arange(size), np.arange(size) + (size - shared), np.arange(size) + 10_000]
+        a, b = nearcopies._connecting(np.array([5, 6, 7]), sets, 0.8)
+        assert list(zip(a.tolist(), b.tolist())) == [(5, 6)], size
+    rng = random.Random(25)
+    texts = []
+    for _ in range(40):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(400)]  # 396 shingles, 352 of them shared
+        texts += [" ".join(base), " ".join(base[:-44] + [f"x{rng.randrange(10**6)}" for _ in range(44)])]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    monkeypatch.setattr(nearcopies, "links", functools.partial(nearcopies.links, heavy=1))
+    assert {r.doc_id for r in nearcopies.first_near_copies(docs).collect()} == set(range(0, 80, 2))
