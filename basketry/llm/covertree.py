@@ -152,14 +152,18 @@ class Search:
 
     ``low`` and ``high`` (queries x windows, both ends included) say the windows; an empty one has low above high.
     Points count whose label equals that of the query (``same``) or differs from it; a query's own row does not.
+    ``least`` (of the shape of ``low``) says scores below which a point is of no use, for what other trees have.
     """
 
-    def __init__(self, tree: Tree, queries: np.ndarray, rows: np.ndarray, labels: np.ndarray, low: np.ndarray, high: np.ndarray, same: bool, k: int):
+    def __init__(
+        self, tree: Tree, queries: np.ndarray, rows: np.ndarray, labels: np.ndarray, low: np.ndarray, high: np.ndarray, same: bool, k: int,
+        least: np.ndarray | None = None,
+    ):
         self.tree, self.queries, self.rows, self.labels = tree, queries, rows, labels
         self.low, self.high, self.same, self.k = low, high, same, k
         self.lengths = np.einsum("ij,ij->i", queries, queries)
         # what a point must reach to count: the foot of the window, then the k-th best so far
-        self.least = np.where(low <= high, low, np.inf)
+        self.least = np.where(low <= high, low if least is None else np.maximum(low, least), np.inf)
         self.found = [np.zeros(0, kind) for kind in (np.int64, np.float64, np.int64)]  # query and window, score, point
 
     def _useful(self, query: np.ndarray, upper: np.ndarray, lower: np.ndarray) -> np.ndarray:
@@ -249,3 +253,26 @@ class Search:
 def _groups(key: np.ndarray, value: np.ndarray) -> tuple[list, list]:
     cuts = np.flatnonzero(np.diff(key)) + 1
     return key[np.concatenate(([0], cuts))].tolist(), np.split(value, cuts)
+
+
+def best_of(
+    trees: list[Tree], queries: np.ndarray, rows: np.ndarray, labels: np.ndarray, low: np.ndarray, high: np.ndarray, same: bool, k: int
+) -> tuple[np.ndarray, ...]:
+    """(query, window, score, row, id) of the best ``k`` points of all ``trees`` in each window, arguments as for ``Search``.
+
+    What the trees before have bounds the search in the next. Of equal scores the smaller ids stay, then the smaller rows.
+    """
+    windows = low.shape[1]
+    least = np.full(low.shape, -np.inf)
+    found = [np.zeros(0, kind) for kind in (np.int64, np.float64, np.int64, np.int64)]  # query and window, score, row, id
+    for tree in trees:
+        query, window, score, point = Search(tree, queries, rows, labels, low, high, same, k, least).run()
+        new = (query * windows + window, score, tree.rows[point], tree.ids[point])
+        key, score, row, number = (np.concatenate(pair) for pair in zip(found, new))
+        order = np.lexsort((row, number, -score, key))
+        key, score, row, number = (x[order] for x in (key, score, row, number))
+        rank = np.arange(len(key)) - np.searchsorted(key, key)
+        least.reshape(-1)[key[rank == k - 1]] = score[rank == k - 1]
+        found = [x[rank < k] for x in (key, score, row, number)]
+    key, score, row, number = found
+    return key // windows, key % windows, score, row, number

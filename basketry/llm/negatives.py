@@ -17,11 +17,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from basketry.llm.common import settled
-from basketry.llm.covertree import Search, Tree, built, narrowest, packed, unpacked
+from basketry.llm.covertree import Tree, best_of, built, narrowest, packed, unpacked
 
 BLOCK_ROWS = 2048
 ANCHORS = 1024
 PIVOTS = 256  # at most
+# Bytes of trees and of queries, as float64, that meet in one group at most (one of each at least).
+MEETING_BYTES = 16 << 20
+GROUPS_PER_CORE = 8
 
 POSITIVES, NEGATIVES = 5, 3
 LOW, HIGH = 50, 95  # a negative's share of the positive's score, per cent
@@ -66,6 +69,11 @@ def _numbers(column: pa.Array) -> np.ndarray:
     return column.to_numpy(zero_copy_only=False).astype(np.int64) if isinstance(column, pa.Array) else column.to_numpy().astype(np.int64)
 
 
+def _up_to(n: int) -> Column:
+    """A row for each of 0, ..., n - 1."""
+    return F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
+
+
 class Forest:
     """Cover trees over all rows: a written table (block, tree), blocks numbered from 0."""
 
@@ -114,6 +122,16 @@ class Forest:
         blocks = placed.select(block.cast("bigint").alias("block"), *names[:4])
         return blocks.groupBy("block").applyInArrow(tree_of, "block bigint, tree binary")
 
+    def _meetings(self, chunks: int, windows: int) -> tuple[int, int]:
+        """On how many shelves the trees stand and on how many piles the chunks of queries lie. A shelf meets a pile in one group."""
+        pile = max(1, MEETING_BYTES // (ANCHORS * 8 * (self.width + 2 * windows + 2)))
+        piles = -(-chunks // pile)
+        shelf = max(1, MEETING_BYTES // (BLOCK_ROWS * 8 * (self.width + 3)))
+        # fewer trees on a shelf while there are not enough groups for all cores
+        groups = GROUPS_PER_CORE * self.rows.sparkSession.sparkContext.defaultParallelism
+        shelf = max(1, min(shelf, self.blocks * piles // groups))
+        return -(-self.blocks // shelf), piles
+
     def best(self, queries: DataFrame, windows: int, same: bool, k: int) -> DataFrame:
         """(query, window, score, row, vec_id): the first ``k`` rows in each window of each row of ``queries``.
 
@@ -127,28 +145,26 @@ class Forest:
             arrays = {name: _numbers(table.column(name)) for name in ("row", "label")}
             arrays["vec"] = narrowest(_matrix(table.column("vec"), width))
             arrays |= {name: _matrix(table.column(name), windows) for name in ("low", "high")}
-            return pa.table({"queries": pa.array([packed(**arrays)], pa.binary())})
+            return pa.table({"chunk": table.column("chunk").slice(0, 1), "queries": pa.array([packed(**arrays)], pa.binary())})
 
         chunk = F.pmod(F.xxhash64("row"), F.lit(parts)).alias("chunk")
-        chunks = queries.select(chunk, "row", "label", "vec", "low", "high").groupBy("chunk").applyInArrow(together, "queries binary")
-        everywhere = chunks.withColumn("block", F.explode(F.sequence(*(F.lit(n).cast("bigint") for n in (0, self.blocks - 1)))))
-
-        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            last, tree = None, None
-            for batch in batches:
-                for block, data, blob in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
-                    if block != last:
-                        last, tree = block, Tree.from_bytes(data.as_py())
-                    q = unpacked(blob.as_py())
-                    query, window, score, point = Search(
-                        tree, q["vec"].astype(np.float64), q["row"], q["label"], q["low"], q["high"], same, k
-                    ).run()
-                    columns = (q["row"][query], window, score.astype(np.int64), tree.rows[point], tree.ids[point])
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
+        chunks = queries.select(chunk, "row", "label", "vec", "low", "high").groupBy("chunk").applyInArrow(together, "chunk bigint, queries binary")
+        shelves, piles = self._meetings(parts, windows)
+
+        def search(trees: pa.Table, queries: pa.Table) -> pa.Table:
+            shelf = [Tree.from_bytes(t.as_py()) for t in trees.column("tree")]
+            found = [np.zeros((0, len(names)), np.int64)]
+            for blob in queries.column("queries"):
+                q = unpacked(blob.as_py())
+                query, window, score, row, vec_id = best_of(shelf, q["vec"].astype(np.float64), q["row"], q["label"], q["low"], q["high"], same, k)
+                found.append(np.column_stack((q["row"][query], window, score.astype(np.int64), row, vec_id)))
+            return pa.table(dict(zip(names, np.concatenate(found).T)))
 
         names = ["query", "window", "score", "row", "vec_id"]
-        met = self.trees.join(everywhere, "block").select("block", "tree", "queries")
-        found = met.mapInArrow(search, ", ".join(f"{n} bigint" for n in names))
+        asked = chunks.select(F.pmod("chunk", F.lit(piles)).alias("pile"), "queries").withColumn("shelf", _up_to(shelves))
+        stored = self.trees.select(F.pmod("block", F.lit(shelves)).alias("shelf"), "tree").withColumn("pile", _up_to(piles))
+        met = stored.groupBy("shelf", "pile").cogroup(asked.groupBy("shelf", "pile"))
+        found = met.applyInArrow(search, ", ".join(f"{n} bigint" for n in names))
         order = Window.partitionBy("query", "window").orderBy(F.desc("score"), "vec_id", "row")
         return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
 

@@ -151,3 +151,48 @@ def test_rounding_never_hides_a_tie():
         scores = np.array([[3.0, 5.0, 5.0, -np.inf, 5.0, 1.0]]) * factor
         line, column = covertree._first(scores, 2)
         assert sorted(column.tolist()) == [1, 2] and line.tolist() == [0, 0]
+
+
+def test_shelves_of_trees_meet_piles_of_queries(spark, monkeypatch):
+    """A tree goes to a pile of queries once, not beside every chunk of them in an Arrow batch; groups have bounded bytes at any size."""
+    monkeypatch.setattr(negatives, "BLOCK_ROWS", 40)
+    monkeypatch.setattr(negatives, "ANCHORS", 3)
+    rows = make_rows()
+    taken = negatives.labelled(spark.createDataFrame(rows, SCHEMA).repartition(7), negatives.contract_label())
+    forest = negatives.Forest(taken)
+    ends = F.array(F.lit(float("-inf"))), F.array(F.lit(float("inf")))
+    near = forest.best(taken.withColumns({"low": ends[0], "high": ends[1]}), 1, True, 5)
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "\nMapInArrow" not in plan and " MapInArrow" not in plan
+    monkeypatch.setattr(negatives.Forest, "_meetings", lambda *_: (3, 2))
+    assert mined(spark.createDataFrame(rows, SCHEMA).repartition(7)) == plain(rows)
+    monkeypatch.undo()
+    for forest.blocks, forest.width, chunks in ((7_700, 64, 301), (7_700, 100_000, 301), (3, 64, 1), (400, 64, 12)):
+        shelves, piles = forest._meetings(chunks, 5)
+        assert 1 <= shelves <= forest.blocks and 1 <= piles <= chunks
+        trees, queries = -(-forest.blocks // shelves), -(-chunks // piles)
+        assert trees == 1 or trees * negatives.BLOCK_ROWS * 8 * forest.width <= negatives.MEETING_BYTES
+        assert queries == 1 or queries * negatives.ANCHORS * 8 * forest.width <= negatives.MEETING_BYTES
+
+
+def test_trees_together_are_one_tree(monkeypatch):
+    monkeypatch.setattr(covertree, "SMALL_NODE", 6)
+    monkeypatch.setattr(covertree, "LEAF", 2)
+    one, points = tree_and_points(600, seed=4)
+    ids, rows, labels = (x[np.argsort(one.rows)] for x in (one.ids, one.rows, one.labels))
+    shelf = [covertree.built(points[i::4], ids[i::4] // 2, rows[i::4], labels[i::4], one.reach) for i in range(4)]
+    queries, low = points[:40], np.tile([[-np.inf, 300.0, 5.0]], (40, 1))
+    high = np.tile([[np.inf, 900.0, 4.0]], (40, 1))
+    for same in (True, False):
+        found = covertree.best_of(shelf, queries, rows[:40], labels[:40], low, high, same, 3)
+        got = list(zip(*(x.astype(int).tolist() for x in found)))
+        expected = []
+        for q in range(40):
+            for w in range(3):
+                fits = [
+                    (-int(s), int(i) // 2, int(r))
+                    for s, i, r, b in zip(points @ queries[q], ids, rows, labels)
+                    if (b == labels[q]) == same and r != rows[q] and low[q, w] <= s <= high[q, w]
+                ]
+                expected += [(q, w, -s, r, i) for s, i, r in sorted(fits)[:3]]
+        assert got == expected and len(got) > 100
