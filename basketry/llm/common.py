@@ -67,10 +67,14 @@ def arrow_pass(
     return df.mapInArrow(run, schema)
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """The frame written as Parquet in the shared folder and read again: lineage is cut, lost executors cost nothing."""
+def settled(df: DataFrame, long_rows: bool = False) -> DataFrame:
+    """The frame written as Parquet in the shared folder and read again: lineage is cut, lost executors cost nothing.
+
+    With ``long_rows`` a page ends at its bytes after any row; else it has 100 rows at least, whatever their length.
+    """
     path = scratch_path(df.sparkSession, "tables", uuid.uuid4().hex)
-    df.write.parquet(path)
+    pages = {"parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1"} if long_rows else {}
+    df.write.options(**pages).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

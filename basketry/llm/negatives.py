@@ -84,7 +84,7 @@ class Forest:
         # rows are short of this length by less than the rounding of a square root
         self.reach = float(np.sqrt(longest or 0.0)) * (1 + 1e-12)
         if count:
-            self.trees = settled(self._built(count))
+            self.trees = settled(self._built(count), long_rows=True)
 
     def _built(self, count: int) -> DataFrame:
         width, reach = self.width, self.reach

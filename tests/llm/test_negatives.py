@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from basketry.llm import covertree, negatives
+from basketry.llm import common, covertree, negatives
 
 SCHEMA = "vec_id bigint, embedding array<float>, label int, `row` string, place int, `Block` string"
 
@@ -196,3 +196,22 @@ def test_trees_together_are_one_tree(monkeypatch):
                 ]
                 expected += [(q, w, -s, r, i) for s, i, r in sorted(fits)[:3]]
         assert got == expected and len(got) > 100
+
+
+def test_long_rows_are_written_in_pages_of_bounded_bytes(spark):
+    """A page is decompressed as a whole, outside the heap; 50 trees of 300 kB would be one page."""
+    rows = spark.range(0, 50, 1, 1).select("id", F.expr("cast(array_join(transform(sequence(1, 5000), i -> sha2(concat(id, '-', i), 256)), '') as binary)").alias("tree"))
+    parquet, hadoop = spark._jvm.org.apache.parquet.hadoop, spark._jvm.org.apache.hadoop
+
+    def pages(table):
+        file = parquet.util.HadoopInputFile.fromPath(hadoop.fs.Path(table.inputFiles()[0]), spark._jsc.hadoopConfiguration())
+        reader = parquet.ParquetFileReader.open(file)
+        try:
+            blocks = reader.getFooter().getBlocks()
+            return sum(reader.readOffsetIndex(b.getColumns().get(1)).getPageCount() for b in blocks)
+        finally:
+            reader.close()
+
+    table = common.settled(rows, long_rows=True)
+    assert pages(table) >= 10 and table.count() == 50
+    assert pages(common.settled(rows)) < 3
